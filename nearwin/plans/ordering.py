@@ -50,7 +50,7 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     """Adds, for each ``out: value`` of ``sums``, the sum of ``value`` over all rows before a row, and ``position`` from 0.
 
     The order is ``keys``, then ``bucket``, then ``order``; sums start anew for each value of ``keys``. ``df`` is read
-    twice, so it should be a written table. Totals by (keys, bucket) are made by a partial aggregate; only they are
+    twice, so it should be a written table; ``keys`` and ``bucket`` hold no nulls. Totals by (keys, bucket) are made by a partial aggregate; only they are
     ordered across buckets, at most MOST_BUCKETS rows for a key.
     """
     by = [*keys, bucket]
@@ -61,6 +61,6 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     offsets = totals.select(*(F.col(k).alias(f"__k_{k}") for k in by), *(F.coalesce(F.sum(f"__t_{o}").over(ahead), F.lit(0)).alias(f"__o_{o}") for o in every))
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumns({f"__l_{o}": F.coalesce(F.sum(value(v)).over(inside), F.lit(0)) for o, v in every.items()})
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by]
+    same = [F.col(k) == F.col(f"__k_{k}") for k in by]
     joined = local.join(offsets, same)
     return joined.select(*(c for c in df.columns), *((F.col(f"__l_{o}") + F.col(f"__o_{o}")).alias(o) for o in every))
