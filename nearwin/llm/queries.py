@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearwin.llm import arrowstream, sharding
+from nearwin.llm import arrowstream, sharding, simhash
 from nearwin.llm.tables import table
 
 
@@ -21,6 +21,10 @@ def op6_arrow_stream(spark, sf_dir):
     return arrowstream.token_places(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream)}
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash)}
 
 ORACLES: dict[str, str] = {}
