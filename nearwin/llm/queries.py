@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearwin.llm import arrowstream, sharding, simhash
+from nearwin.llm import arrowstream, langid, sharding, simhash
 from nearwin.llm.tables import table
 
 
@@ -25,6 +25,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash)}
+def op9_langid(spark, sf_dir):
+    return langid.language_of(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid)}
 
 ORACLES: dict[str, str] = {}
