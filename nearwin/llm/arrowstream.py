@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwin.llm.tokens import Encoder
+from nearwin.llm.tokens import encoder
 from nearwin.plans.ordering import order_key
 from nearwin.plans.shared import shared_dir
 
@@ -110,11 +110,11 @@ def write_streams(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_
         fs, root = open_folder(folder)
         fs.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}"
-        encoder, index, n = Encoder(tokenizer), [], 0
+        tokens, index, n = encoder(tokenizer), [], 0
         with fs.open_output_stream(f"{root}/{name}.ids.arrow") as sink:
-            out = StreamWriter(sink, pa.from_numpy_dtype(encoder.dtype))
+            out = StreamWriter(sink, pa.from_numpy_dtype(tokens.dtype))
             for batch in batches:
-                counts, flat = encoder.encode(batch.column("text").to_pylist(), end_id)
+                counts, flat = tokens.encode(batch.column("text").to_pylist(), end_id)
                 out.add(flat)
                 index.append(pa.record_batch([batch.column("doc_id"), pa.array(n + np.cumsum(counts) - counts), pa.array(counts)], names=["doc_id", "start", "n_tokens"]))
                 n += len(flat)
