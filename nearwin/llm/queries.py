@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearwin.llm import arrowstream, langid, sharding, simhash
+from nearwin.llm import arrowstream, langid, sharding, simhash, toxicity
 from nearwin.llm.tables import table
 
 
@@ -29,6 +29,10 @@ def op9_langid(spark, sf_dir):
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid)}
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity)}
 
 ORACLES: dict[str, str] = {}
