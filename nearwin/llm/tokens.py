@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from nearwin.llm.words import WORDS, Kept
+from nearwin.llm.words import Kept
 
 #: ASCII punctuation that no added token ends with and no contraction starts with.
 TAIL = ".,;:!?#$%&*)|"
@@ -38,21 +38,23 @@ class Encoder:
         if joined != [i for w in "a b\nab ' s a's 1 2".split() for i in self._ids(w)] or self._ids("ab.") != self._ids("ab") + self._ids("."):
             raise ValueError(f"{path} does not split words as is relied on here")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.kept = Kept(self._bytes)
+        self.kept = Kept(self._bytes, 700_000)
 
     def _ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _bytes(self, word: str) -> bytes:
+    def _bytes(self, word: bytes) -> bytes:
         """Ids of a word not kept so far; from its kept parts where a letter and the punctuation after it must part."""
-        core = word.rstrip(TAIL)
-        if core and core is not word and len(core) < len(word) and core[-1].isalpha() and len(core[-1].lower()) == 1:
-            return self.kept[core] + self.kept[word[len(core) :]]
-        return array(self.code, self._ids(word)).tobytes()
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each text has, ``end_id`` at its end included, and all ids in one array."""
+        text = word.decode(errors="replace")
+        core = text.rstrip(TAIL)
+        if core and len(core) < len(text) and core[-1].isalpha() and len(core[-1].lower()) == 1:
+            tail = len(text) - len(core)
+            return self.kept[word[:-tail]] + self.kept[word[-tail:]]
+        return array(self.code, self._ids(text)).tobytes()
+
+    def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each UTF-8 text has, ``end_id`` at its end included, and all ids in one array."""
         end = np.array([end_id], self.dtype).tobytes()
         of = self.kept.__getitem__
-        runs = [b"".join(map(of, WORDS.findall(text or ""))) + end for text in texts]
+        runs = [b"".join(map(of, (text or b"").split())) + end for text in texts]
         return np.fromiter(map(len, runs), np.int64, len(runs)) // self.dtype.itemsize, np.frombuffer(b"".join(runs), self.dtype)
