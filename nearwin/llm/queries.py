@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearwin.llm import arrowstream, langid, sharding, simhash, toxicity
+from nearwin.llm import arrowstream, langid, mixing, sharding, simhash, toxicity
 from nearwin.llm.tables import table
 
 
@@ -33,6 +33,33 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity)}
-
-ORACLES: dict[str, str] = {}
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity, op8_mixing)}
+
+#: For op8: targets by the level of words per unit of weight, and what each pass over a source takes of a document.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source
+), w AS (
+  SELECT *, [3, 1, 2][src % 3 + 1] AS weight, source_size * 2 AS room, source_size * 2 / [3, 1, 2][src % 3 + 1] AS ratio FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(room) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(room::DOUBLE, (SELECT arg_min(level, (ratio, src)) FROM l WHERE level <= ratio) * weight) AS target FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5) AS words,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead_words
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, words - lead_words)) + greatest(0, least(size, words - source_size - lead_words)))::BIGINT AS taken
+FROM p
+"""
+
+ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL}
