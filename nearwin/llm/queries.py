@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearwin.llm import arrowstream, langid, mixing, sharding, simhash, toxicity
+from nearwin.llm import arrowstream, langid, mixing, packing, sharding, simhash, spans, toxicity
 from nearwin.llm.tables import table
 
 
@@ -37,7 +37,15 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity, op8_mixing)}
+def op5_sentence_spans(spark, sf_dir):
+    return spans.span_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity, op8_mixing, op5_sentence_spans, op10_packing)}
 
 #: For op8: targets by the level of words per unit of weight, and what each pass over a source takes of a document.
 OP8_SQL = r"""
