@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearwin.llm import arrowstream, fingerprints, langid, mixing, packing, sharding, simhash, spans, toxicity
+from nearwin.llm import arrowstream, fingerprints, langid, media, mixing, packing, sharding, simhash, spans, toxicity
 from nearwin.llm.tables import table
 
 
@@ -49,7 +49,11 @@ def op1_multiset_hash(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity, op8_mixing, op5_sentence_spans, op10_packing, op1_multiset_hash)}
+def op4_progressive_jpeg(spark, sf_dir):
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity, op8_mixing, op5_sentence_spans, op10_packing, op1_multiset_hash, op4_progressive_jpeg)}
 
 #: For op8: targets by the level of words per unit of weight, and what each pass over a source takes of a document.
 OP8_SQL = r"""
