@@ -24,6 +24,11 @@ def _total(values: Column, term, mask: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, h: (a + term(h)).bitwiseAND(F.lit(mask)))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: a lambda's argument is kept, an expression in a lambda is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hashes(parts: Column, seed: int) -> Column:
     return F.transform(parts, lambda p: F.xxhash64(F.lit(seed), p))
 
@@ -39,13 +44,12 @@ def lanes(text: Column) -> Column:
     some = F.coalesce(text, F.lit(""))
     paragraphs = F.filter(F.split(some, "\n"), lambda p: p != "")
     phrases = F.transform(F.regexp_extract_all(some, F.lit(PHRASE), F.lit(0)), lambda p: F.trim(p))
-    wide = []
-    for seed in WIDE:
-        h = _hashes(paragraphs, seed)
-        wide += [_total(h, lambda x: x.bitwiseAND(F.lit(MOD)), MOD), _total(h, lambda x: F.shiftrightunsigned(x, 33), MOD)]
-    narrow = [F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), _signs(_hashes(phrases, seed))) for seed in NARROW]
-    count = F.size(phrases).cast("long").bitwiseAND(F.lit(COUNT))
-    return F.concat(F.array(*wide), *narrow, F.array(count))
+    halves = lambda h: F.array(_total(h, lambda x: x.bitwiseAND(F.lit(MOD)), MOD), _total(h, lambda x: F.shiftrightunsigned(x, 33), MOD))
+    wide = let(paragraphs, lambda p: F.concat(*(let(_hashes(p, seed), halves) for seed in WIDE)))
+    signs = lambda h: F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), _signs(h))
+    count = lambda p: F.array(F.size(p).cast("long").bitwiseAND(F.lit(COUNT)))
+    narrow = let(phrases, lambda p: F.concat(*(let(_hashes(p, seed), signs) for seed in NARROW), count(p)))
+    return F.concat(wide, narrow)
 
 
 def _signs(hashes: Column):
@@ -82,9 +86,8 @@ def likeness(a: Column, b: Column) -> Column:
     spread 1 / sqrt(126 lanes).
     """
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    x, y = _centered(a), _centered(b)
-    norm = F.sqrt(dot(x, x) * dot(y, y))
-    return F.when(a == b, 1.0).when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / norm))).otherwise(0.0)
+    cosine = lambda x, y: let(F.sqrt(dot(x, x) * dot(y, y)), lambda norm: F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / norm))).otherwise(0.0))
+    return F.when(a == b, 1.0).otherwise(let(_centered(a), lambda x: let(_centered(b), lambda y: cosine(x, y))))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
