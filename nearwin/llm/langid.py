@@ -58,6 +58,8 @@ def log_frequencies(counts: dict[str, Counter], languages: list[str], least: int
 def fit(rows: list[tuple[str, str]]) -> Backoff:
     """A model of (text, lang) rows; a word is known if it is seen SEEN times."""
     languages = sorted({lang for _, lang in rows})
+    if not languages:
+        return Backoff([], {n: {} for n in range(LONGEST + 1)})
     words = {lang: Counter() for lang in languages}
     for text, lang in rows:
         words[lang].update(LETTERS.findall((text or "").lower()))

@@ -41,7 +41,7 @@ def fingerprint(text: Column, words: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([simhash(t, words) for t in texts.to_pylist()], pa.int64())
+        return pa.array([simhash(t.as_py(), words) for t in texts], pa.int64())
 
     return of(text.cast("binary"))
 

@@ -111,8 +111,8 @@ def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text") -> Da
         if model is None:
             return pa.array([0.0] * len(texts), pa.float64())
         if not hasattr(model, "kept"):
-            model.kept = Kept(model.word, 300_000)
-        return pa.array([model.score(t, model.kept) for t in texts.to_pylist()], pa.float64())
+            model.kept = Kept(model.word, 150_000)
+        return pa.array([model.score(t.as_py(), model.kept) for t in texts], pa.float64())
 
     return docs.withColumn("__score", of(F.col(text_col)))
 
