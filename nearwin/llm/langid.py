@@ -22,6 +22,12 @@ LONGEST, SHORTEST, SEEN = 4, 1, 2
 SLICE = 1 << 16
 
 
+def grams(word: str, n: int) -> list[str]:
+    """Runs of n characters, with the word's edges marked; single characters without marks."""
+    marked = f"<{word}>" if n > 1 else word
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+
 @dataclass
 class Backoff:
     """Per-language log frequencies of words, and of character n-grams of each length with word edges marked.
@@ -37,10 +43,9 @@ class Backoff:
         known = self.tables[0].get(word)
         if known is not None:
             return known
-        marked = f"<{word}>"
         for n in range(LONGEST, SHORTEST - 1, -1):
             of = self.tables[n]
-            found = [of[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in of]
+            found = [of[g] for g in grams(word, n) if g in of]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.languages))
@@ -63,14 +68,13 @@ def fit(rows: list[tuple[str, str]]) -> Backoff:
     words = {lang: Counter() for lang in languages}
     for text, lang in rows:
         words[lang].update(LETTERS.findall((text or "").lower()))
-    grams = {n: {lang: Counter() for lang in languages} for n in range(SHORTEST, LONGEST + 1)}
+    seen = {n: {lang: Counter() for lang in languages} for n in range(SHORTEST, LONGEST + 1)}
     for lang in languages:
         for word, count in words[lang].items():
-            marked = f"<{word}>"
-            for n, of in grams.items():
-                for i in range(len(marked) - n + 1):
-                    of[lang][marked[i : i + n]] += count
-    return Backoff(languages, {0: log_frequencies(words, languages, SEEN)} | {n: log_frequencies(of, languages, SEEN) for n, of in grams.items()})
+            for n, of in seen.items():
+                for gram in grams(word, n):
+                    of[lang][gram] += count
+    return Backoff(languages, {0: log_frequencies(words, languages, SEEN)} | {n: log_frequencies(of, languages, SEEN) for n, of in seen.items()})
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
