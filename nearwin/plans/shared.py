@@ -20,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """``df``, in a session that sends Python workers batches of ``most`` bytes at most, so that long texts take no more memory."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = str(conf.get(key, "0")).rstrip("b")
-    if not given.isdigit() or not 0 < int(given) <= most:
+    given = str(conf.get(key)).rstrip("b")
+    if not given.isdigit() or int(given) > most:
         conf.set(key, f"{most}b")
     return df
 
