@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nearwin.llm.tokens import encoder
 from nearwin.plans.ordering import order_key
-from nearwin.plans.shared import shared_dir
+from nearwin.plans.shared import shared_dir, small_batches
 
 #: Ids in a sequence, and sequences in a batch.
 LENGTH, ROWS = 1024, 256
@@ -127,7 +127,7 @@ def write_streams(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_
                 out.write_batch(x)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [sum(x.num_rows for x in index)], "n_tokens": [n]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     ordered = rows.repartitionByRange(order_key("doc_id"), F.crc32(F.coalesce("text", F.lit(b"")))).sortWithinPartitions(order_key("doc_id"), F.crc32(F.coalesce("text", F.lit(b""))))
     return sorted(ordered.mapInArrow(write, FILES).collect())  # a row a file
 

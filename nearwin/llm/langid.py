@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.llm.words import Kept
+from nearwin.plans.shared import small_batches
 
 #: Runs of letters: word characters without digits and underscores.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -112,7 +113,7 @@ def identify(docs: DataFrame, model: Backoff, id_col: str = "doc_id", text_col:
                 scores.append(float(p[best] / p.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, 4, 2).alias("held_out"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, 4, 2).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.llm.jpeg import Batch, encode, payload
+from nearwin.plans.shared import small_batches
 
 #: Bytes of payloads or files coded at a time; a larger one is coded by itself.
 AT_A_TIME = 1 << 21
@@ -43,7 +44,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 files = encode([padded(t) for t in raw[part]])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], pa.array([len(t) for t in raw[part]], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(put, STORED)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(put, STORED)
 
 
 def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -60,7 +61,7 @@ def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                     i += f is not None
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], *(pa.array([None if t is None else t.shape[k] for t in rows], pa.int32()) for k in (0, 1)), pa.array([None if t is None else t.tobytes() for t in rows], pa.binary())], names=["doc_id", "height", "width", "rgb"])
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(look, "doc_id long, height int, width int, rgb binary")
+    return small_batches(media).select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(look, "doc_id long, height int, width int, rgb binary")
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

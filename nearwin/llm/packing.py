@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearwin.llm.tokens import encoder
 from nearwin.plans.ordering import running_total
-from nearwin.plans.shared import written
+from nearwin.plans.shared import small_batches, written
 
 CAPACITY = 4096
 #: Lengths priced in one knapsack, and configurations of the program at most; what they leave is packed by best fit.
@@ -141,7 +141,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
             crc = [zlib.crc32(wide[a : a + n].tobytes()) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.llm.components import components
-from nearwin.plans.shared import written
+from nearwin.plans.shared import small_batches, written
 
 BITS, SLICE = 64, 1 << 16
 
@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
     part, and is a component's id only if all ids of the component are null. Empty table: no rows. Other columns are not
     looked at.
     """
-    prints = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")))
+    prints = written(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")))
     return classes(prints, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -108,7 +108,7 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str
 
     Columns stay as they are. The table with its fingerprints is written once, for the classes and for the rows kept.
     """
-    held = written(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp"), F.monotonically_increasing_id().alias("at")))
+    held = written(small_batches(docs).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp"), F.monotonically_increasing_id().alias("at")))
     found = classes(held.select("doc_id", "fp", "at"), distance)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("kept")).select(F.col("kept.at").alias("kept_at"))
     return held.join(kept, held.at == kept.kept_at, "left_semi").select("row.*")

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearwin.plans.shared import small_batches
+
 #: A sentence ends with its signs and the white space after them, or with a line; all sentences joined are the text.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n)\s*|[^.!?\n]+")
 #: Sentences in a span, and words that it has at least; a shorter run is a span if it has LONG words.
@@ -57,7 +59,7 @@ def span_table(docs: DataFrame, id_col: str, text_col: str, **shape: int) -> Dat
             doc = batch.column("doc").to_numpy().repeat(counts)
             yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(doc)], names=["a", "b", "doc"])
 
-    return docs.select(identity(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(emit, "a long, b long, doc long")
+    return small_batches(docs).select(identity(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(emit, "a long, b long, doc long")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **shape: int) -> DataFrame:

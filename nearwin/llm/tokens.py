@@ -38,7 +38,7 @@ class Encoder:
         if joined != [i for w in "a b\nab ' s a's 1 2".split() for i in self._ids(w)] or self._ids("ab.") != self._ids("ab") + self._ids("."):
             raise ValueError(f"{path} does not split words as is relied on here")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.kept = Kept(self._bytes, 350_000)
+        self.kept = Kept(self._bytes, 250_000)
 
     def _ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids

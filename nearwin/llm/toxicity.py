@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from nearwin.llm.langid import SLICE, held_out, sample
 from nearwin.llm.words import Kept
+from nearwin.plans.shared import small_batches
 
 WORD = re.compile(r"[^\W_]+")
 #: Bound of the sample of labelled documents that a model is trained on, whole texts.
@@ -114,7 +115,7 @@ def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text") -> Da
             model.kept = Kept(model.word, 150_000)
         return pa.array([model.score(t.as_py(), model.kept) for t in texts], pa.float64())
 
-    return docs.withColumn("__score", of(F.col(text_col)))
+    return small_batches(docs).withColumn("__score", of(F.col(text_col)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
