@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwin.llm.tokens import encoder
+from nearwin.llm.tokens import KEPT, encoder
 from nearwin.plans.ordering import running_total
 from nearwin.plans.shared import small_batches, written
 
@@ -124,11 +124,11 @@ def places(configs: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, in
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str, kept: int = KEPT) -> DataFrame:
     """Each document's ids with ``end_id``, cut every ``capacity`` ids; a document without a place to cut is one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer)
+        tokens = encoder(tokenizer, kept)
         for batch in batches:
             counts, flat = tokens.encode(batch.column("text").to_pylist(), end_id)
             numbers = -(-counts // capacity)
@@ -144,7 +144,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row of ``docs``.
 
     The histogram has ``capacity`` lengths at most, however many documents there are; the program is solved on it, and
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     alone. Repeated rows keep their pieces each. Empty table: no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col))
+    pieces = written(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, kept))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     slices = max(1, math.ceil(max(counts.values(), default=0) / 1024))
     rows = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))

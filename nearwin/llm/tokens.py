@@ -14,10 +14,14 @@ from nearwin.llm.words import Kept
 TAIL = ".,;:!?#$%&*)|"
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+#: Words that an encoder keeps, twice, at about 200 bytes each. Fewer take less memory and more time.
+KEPT = 700_000
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, most: int = KEPT) -> Encoder:
     """This process's encoder of a vocabulary file, with the words that earlier tasks have met."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 class Encoder:
@@ -28,7 +32,7 @@ class Encoder:
     and kept; the memory for kept words is bounded.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = KEPT) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         if any(t.content[-1] in TAIL for t in self.tokenizer.get_added_tokens_decoder().values()):
@@ -38,7 +42,7 @@ class Encoder:
         if joined != [i for w in "a b\nab ' s a's 1 2".split() for i in self._ids(w)] or self._ids("ab.") != self._ids("ab") + self._ids("."):
             raise ValueError(f"{path} does not split words as is relied on here")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.kept = Kept(self._bytes, 250_000)
+        self.kept = Kept(self._bytes, most)
 
     def _ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
