@@ -12,6 +12,8 @@ from nearwin.llm.queries import tokenizer_path
 from nearwin.llm.tables import table
 from nearwin.plans.shared import written
 
+KEPT_WORDS = 250_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of documents present, does not call toxic."""
@@ -34,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """Token pieces with their places in sequences. Python workers that have served other stages keep fewer words."""
+    return packing.pack(docs, tokenizer_path(), kept=KEPT_WORDS)
 
 
 STAGES = [
