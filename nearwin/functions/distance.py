@@ -16,10 +16,11 @@ At = Callable[[str], Column]
 
 @dataclass(frozen=True)
 class Range:
-    """Least and greatest value of an attribute; none seen: both None."""
+    """Least and greatest value of an attribute, none seen: both None; and whether any value is missing."""
 
     low: float | None
     high: float | None
+    missing: bool = True
 
     @property
     def width(self) -> float:
@@ -27,7 +28,7 @@ class Range:
 
     def norm(self, x: Column) -> Column:
         """0 to 1 within the range; 0 for a range without width."""
-        return (x - F.lit(self.low)) / F.lit(self.width) if self.width else F.lit(0.0)
+        return (x - F.lit(self.low)) / F.lit(self.width) if self.width else F.when(x.isNotNull(), 0.0)
 
 
 def numeric_difference(a: Column, b: Column, r: Range, raw: bool = False) -> Column:
@@ -41,6 +42,14 @@ def numeric_difference(a: Column, b: Column, r: Range, raw: bool = False) -> Col
     return F.when(a.isNull() & b.isNull(), both).when(a.isNull(), far(b)).when(b.isNull(), far(a)).otherwise(plain)
 
 
+def normal_difference(a: Column, b: Column, missing: bool = True) -> Column:
+    """The same for two values that are normalised already; plain where none is missing."""
+    if not missing:
+        return a - b
+    far = lambda v: F.when(v < 0.5, 1.0 - v).otherwise(v)
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull(), far(b)).when(b.isNull(), far(a)).otherwise(a - b)
+
+
 def nominal_difference(a: Column, b: Column) -> Column:
     """0 for equal values; 1 for unequal ones and if either is missing."""
     return F.when(a == b, 0.0).otherwise(1.0)
@@ -52,6 +61,12 @@ def squared(a: At, b: At, spec: FeatureSpec, ranges: dict[str, Range], raw: bool
     return reduce(lambda s, d: s + d * d, parts[1:], parts[0] * parts[0]) if parts else F.lit(0.0)
 
 
+def normal_squared(a: At, b: At, spec: FeatureSpec, ranges: dict[str, Range]) -> Column:
+    """``squared`` of rows whose numeric attributes are normalised already, once a row and not once a pair."""
+    parts = [normal_difference(a(c), b(c), ranges[c].missing) for c in spec.numeric] + [nominal_difference(a(c), b(c)) for c in spec.nominal]
+    return reduce(lambda s, d: s + d * d, parts[1:], parts[0] * parts[0]) if parts else F.lit(0.0)
+
+
 def cut_off(d2: Column, most: float) -> Column:
     """Infinite beyond ``most``."""
     return F.when(d2 > most, F.lit(float("inf"))).otherwise(d2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearwin.functions.distance import Range, squared
+from nearwin.functions.distance import Range, normal_squared, squared
 from nearwin.spec import FeatureSpec
 
 #: Query rows that are sent to every task; more are met in blocks of partitions, which needs no copy anywhere.
@@ -33,6 +33,10 @@ def measured(spec: FeatureSpec, ranges: dict[str, Range], raw: bool = False) ->
     return squared(lambda c: F.col(f"q_{c}"), F.col, spec, ranges, raw)
 
 
+def normalised(df: DataFrame, spec: FeatureSpec, ranges: dict[str, Range]) -> DataFrame:
+    return df.withColumns({c: ranges[c].norm(F.col(c)) for c in spec.numeric}) if spec.numeric else df
+
+
 def candidates(train: DataFrame, queries: DataFrame, spec: FeatureSpec, d2: Column, k: int, keep: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """(qid, id, d2, ...) of pairs that can be among a query's k nearest: those up to the k-th distance in a sample.
 
@@ -61,12 +65,25 @@ def nearest(train: DataFrame, queries: DataFrame, spec: FeatureSpec, ranges: dic
 
     ``leave_one_out`` leaves out the query's own row, ``skip_identical`` all rows at distance 0.
     """
-    d2, keep = measured(spec, ranges, raw), F.lit(True)
+    if raw:
+        d2 = measured(spec, ranges, raw)
+    else:
+        own = tuple(c for c in extra if c in spec.numeric)  # extra columns keep their own values
+        train = train.withColumns({f"__{c}": F.col(c) for c in own}) if own else train
+        train, queries = normalised(train, spec, ranges), normalised(queries, spec, ranges)
+        d2 = normal_squared(lambda c: F.col(f"q_{c}"), F.col, spec, ranges)
+        found = candidates(train, queries, spec, d2, k, kept(d2, leave_one_out, skip_identical), tuple(f"__{c}" if c in own else c for c in extra))
+        return ranked(found.withColumnsRenamed({f"__{c}": c for c in own}), k, ties)
+    return ranked(candidates(train, queries, spec, d2, k, kept(d2, leave_one_out, skip_identical), extra), k, ties)
+
+
+def kept(d2: Column, leave_one_out: bool, skip_identical: bool) -> Column:
+    keep = F.lit(True)
     if leave_one_out:
         keep = keep & (F.col("qid") != F.col("id"))
     if skip_identical:
         keep = keep & (d2 > 0)
-    return ranked(candidates(train, queries, spec, d2, k, keep, extra), k, ties)
+    return keep
 
 
 def statistics(train: DataFrame, queries: DataFrame, spec: FeatureSpec) -> DataFrame:

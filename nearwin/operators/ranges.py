@@ -25,8 +25,8 @@ def ranges_of(df: DataFrame, columns: tuple[str, ...]) -> dict[str, Range]:
     """The ranges as values for expressions: one row of partial minima and maxima comes to the driver."""
     if not columns:
         return {}
-    row = df.agg(*(f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("a", F.min), ("b", F.max)))).first()
-    return {c: Range(row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(columns)}
+    row = df.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("a", F.min), ("b", F.max), ("c", F.count)))).first()
+    return {c: Range(row[f"a{i}"], row[f"b{i}"], row[f"c{i}"] < row["n"]) for i, c in enumerate(columns)}
 
 
 def in_ranges(columns: dict[str, Range]) -> Column:

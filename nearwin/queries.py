@@ -285,8 +285,9 @@ def distance_sparse(spark, sf_dir):
 
 @query("WITH " + PAIRS_SQL + " SELECT id, arg_min(qid, (d2, qid)) AS nearest, min(d2) AS d2 FROM p GROUP BY id")
 def closest_point(spark, sf_dir):
-    df = orders(spark, sf_dir)
-    d2 = knn.measured(ORDERS, ranges.ranges_of(df, ORDERS.numeric))
+    of = ranges.ranges_of(orders(spark, sf_dir), ORDERS.numeric)
+    df = knn.normalised(orders(spark, sf_dir), ORDERS, of)
+    d2 = D.normal_squared(lambda c: F.col(f"q_{c}"), F.col, ORDERS, of)
     pairs = knn.spread(df).join(knn.sent(knn.sided(asked(df), ORDERS))).select("id", "qid", d2.alias("d2"))
     return pairs.groupBy("id").agg(F.min(F.struct("d2", "qid")).alias("m")).select("id", F.col("m.qid").alias("nearest"), F.col("m.d2").alias("d2"))
 
