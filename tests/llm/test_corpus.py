@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearwin.llm import mixing, simhash, spans
+from nearwin.llm import mixing, spans
 from nearwin.llm.tables import table
 from nearwin.plans.shared import written
 from tests.conftest import DATA
 from tests.llm import nasty
+from tests.llm.test_hashes import brute_wide, groups
 
 
 def brute_spans(rows):
@@ -129,8 +130,13 @@ def test_pipeline_stages(spark):
         docs = written(stage(spark, given, DATA))
         assert docs.columns == columns, name
         if name == "simhash near-dedup":
-            ids = [r["component_id"] for r in simhash.near_duplicates(given).select("component_id").distinct().collect()]
-            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(ids)
+            rows = sorted((r["doc_id"], r["text"]) for r in given.collect())
+            prints = [brute_wide(t, 5) for _, t in rows]
+            first = {}
+            for (i, _), g in zip(rows, groups(prints, 40), strict=True):
+                first.setdefault(g, i)
+            missed = {r["doc_id"] for r in docs.collect()} ^ set(first.values())
+            assert len(missed) <= 0.02 * len(rows)  # links beyond the guaranteed distance are found with a probability
         if name == "substring dedup":
             rows = sorted((r["doc_id"], r["text"]) for r in given.collect())
             left = {i: "".join(p for k, p in enumerate(parts) if k not in gone) for (i, _), (_, gone, parts) in zip(rows, brute_spans(rows), strict=True)}

@@ -150,11 +150,54 @@ def test_empty_table(spark, f):
     assert f(nasty.frame(spark, [])).count() == 0
 
 
+def brute_wide(text, k):
+    """252 bits by plain counting."""
+    found, out = simhash.shingles((text or "").encode(), k), []
+    hashes = [[int.from_bytes(xxhash.xxh3_128_digest(s, seed), "big") for s in found] for seed in (1, 2)]
+    for h in hashes:
+        for half in (127, 63):  # the lowest bit of each 64 is left out
+            out += [sum(x >> b & 1 for x in h) * 2 > max(1, len(h)) for b in range(half, half - 63, -1)]
+    return sum(b << i for i, b in enumerate(reversed(out)))
+
+
+def test_wide_fingerprint():
+    rng = random.Random(3)
+    for text in [None, "", "one", *(nasty.words(rng, n) for n in (4, 5, 6, 90))]:
+        longs = simhash.wide_simhash(None if text is None else text.encode(), 5)
+        assert sum(x << 63 * (3 - i) for i, x in enumerate(longs)) == brute_wide(text, 5)
+
+
+def test_wide_links_within_the_guarantee(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(252) for _ in range(5)]
+    prints = list({b ^ sum(1 << i for i in rng.sample(range(252), rng.randrange(14))) for b in base for _ in range(25)})
+    rows = [[p >> 63 * (3 - i) & (1 << 63) - 1 for i in range(4)] for p in prints]
+    got = {(r["a"], r["b"]) for r in simhash.wide_links(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in simhash.WIDE)), 23, 63).collect()}
+    first = lambda p: p >> 189
+    assert got == {(first(a), first(b)) for a in prints for b in prints if first(a) < first(b) and (a ^ b).bit_count() <= 23}
+
+
 def test_one_of_each(spark):
     df = nasty.frame(spark)
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns
     rows = [(r[0], r[1]) for r in nasty.rows()]
-    of = groups([brute_print(t, 3) for _, t in rows], 3)
+    of = groups([brute_wide(t, 5) for _, t in rows], 40)
     least = [min((i for (i, _), h in zip(rows, of, strict=True) if h == g and i is not None), default=None) for g in set(of)]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Copies with a similarity of 0.8 to 1 on five-word shingles, against documents of like words."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = [rng.choices(vocabulary, k=400) for _ in range(60)]
+    near = []
+    for w in base[:30]:
+        copy = list(w)
+        for at in rng.sample(range(400), rng.choice([1, 3, 6])):
+            copy[at] = "changed"
+        near.append(copy)
+    texts = [" ".join(w) for w in base + near]
+    kept = {r["doc_id"] for r in simhash.one_of_each(nasty.docs(spark, texts)).collect()}
+    assert kept >= set(range(60)) and len(kept) <= 62
