@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,6 +19,8 @@ from nearwin.plans.shared import small_batches, written
 CAPACITY = 4096
 #: Lengths priced in one knapsack, and configurations of the program at most; what they leave is packed by best fit.
 PRICED, MOST_CONFIGS, ETA, SEED = 128, 3_000, 0.25, 11
+#: Pieces of a length that are ranked in one slice, about.
+SLICE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -155,8 +157,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, kept))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
-    slices = max(1, math.ceil(max(counts.values(), default=0) / 1024))
-    rows = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+    slices = F.from_json(F.lit(json.dumps([max(1, -(-counts.get(n, 0) // SLICE)) for n in range(capacity + 1)])), "array<bigint>")
+    rows = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(slices, F.col("length").cast("int"))).cast("int"))
     ranked = running_total(rows, ["length"], "slice", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], {}, "rank")
     to = spark.createDataFrame(places(configurations(counts, capacity)), "len long, low long, high long, first long, copies int, at int")
     # at most MOST_CONFIGS configurations and a best fit of capacity lengths: megabytes, for any number of documents
