@@ -103,11 +103,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least = docs.agg(F.min(order_key(id_col))).first()[0]
     least = LOWEST if least is None else least
     starts = F.from_json(F.lit(str(bounds)), "array<bigint>")
-    here = F.struct(bucket_of(key, bounds).alias("bucket"), F.lit(0).alias("ghost"))
-    before = F.struct((bucket_of(key, bounds) - 1).alias("bucket"), F.lit(1).alias("ghost"))
+    here = F.struct(F.col("home").alias("bucket"), F.lit(0).alias("ghost"))
+    before = F.struct((F.col("home") - 1).alias("bucket"), F.lit(1).alias("ghost"))
     around = F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(2).alias("ghost"))
-    to = F.when(key == F.lit(least), F.array(here, around)).when(F.array_contains(starts, key), F.array(here, before)).otherwise(F.array(here))
-    dealt = rows.select("doc_id", "text", "fp", F.inline(to))
+    to = F.when(key == F.lit(least), F.array(here, around)).when(F.get(starts, F.col("home") - 1) == key, F.array(here, before)).otherwise(F.array(here))
+    dealt = rows.withColumn("home", bucket_of(key, bounds)).select("doc_id", "text", "fp", F.inline(to))
     order = Window.partitionBy("bucket").orderBy("ghost", order_key("doc_id"), F.crc32(F.col("text").cast("binary")), "text")
     return dealt.select("doc_id", "text", "fp", "ghost", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).filter("ghost = 0").drop("ghost")
 
