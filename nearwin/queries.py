@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, evaluate, knn, primitives, ranges, spacetree, votes
+from nearwin.operators import approx, evaluate, knn, primitives, ranges, spacetree, votes, window
 from nearwin.plans.shared import written
 from nearwin.sources.evallog import COLUMNS, read_log, summary
 from nearwin.sources.registry import open_source
@@ -338,10 +338,35 @@ def ranges_sliding(spark, sf_dir):
 @query(f"WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events) SELECT q.event_id AS qid, e.event_id AS id FROM e q JOIN e ON e.position >= q.position - {WINDOW} AND e.position < q.position WHERE q.event_id % 100 = 0")
 def window_members(spark, sf_dir):
     at = written(ranges.positioned(table(spark, sf_dir, "events").select("event_id"), "event_id"))
-    block = F.floor(F.col("position") / WINDOW)
-    rows = at.select(F.col("event_id").alias("id"), F.col("position").alias("at"), block.alias("block"))
-    queries = at.filter("event_id % 100 = 0").select(F.col("event_id").alias("qid"), "position", F.explode(F.array(block - 1, block)).alias("block"))
-    return rows.join(queries, "block").filter((F.col("at") < F.col("position")) & (F.col("at") >= F.col("position") - WINDOW)).select("qid", "id")
+    queries = asked(at, "event_id").select(F.col("event_id").alias("qid"), F.col("position").alias("q_at"))
+    return window.members(at.select(F.col("event_id").alias("id"), "position"), queries, WINDOW).select("qid", "id")
+
+
+EVENTS = FeatureSpec(("value", "hour"), ("user",), "event_type", "event_id")
+STREAM_SQL = f"""e AS (SELECT event_id AS id, value, hour(ts)::DOUBLE AS hour, user_id AS user, event_type AS label, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events),
+w AS (SELECT *, min(value) OVER f AS a1, max(value) OVER f AS b1, min(hour) OVER f AS a2, max(hour) OVER f AS b2 FROM e WINDOW f AS (ORDER BY position ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING)),
+d AS (SELECT r.id AS qid, e.id, e.label, {norm_sql("r.value", 1)} - {norm_sql("e.value", 1).replace("ELSE 0 END", "ELSE 0.0::DOUBLE END")} AS x, {norm_sql("r.hour", 2)} - {norm_sql("e.hour", 2)} AS y, CASE WHEN r.user = e.user THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS z
+FROM w r JOIN e ON e.position >= r.position - {WINDOW} AND e.position < r.position WHERE r.position >= {WINDOW}),
+n AS (SELECT qid, id, label, x * x + y * y + z AS d2, row_number() OVER (PARTITION BY qid ORDER BY x * x + y * y + z, id) AS rank FROM d QUALIFY rank <= {K})"""
+
+
+def event_neighbours(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"), F.col("user_id").alias("user"), "event_type")
+    return window.window_nearest(df, EVENTS, WINDOW, K)
+
+
+@query("WITH " + STREAM_SQL + " SELECT qid, id, d2, rank FROM n")
+def window_knn(spark, sf_dir):
+    """Every event against the window before it."""
+    return event_neighbours(spark, sf_dir).select("qid", "id", "d2", "rank")
+
+
+@query("WITH " + STREAM_SQL + ", v AS (SELECT qid, label, count(*) AS votes FROM n GROUP BY 1, 2), p AS (SELECT qid, arg_min(label, (-votes, label)) AS label FROM v GROUP BY qid) SELECT p.qid, e.label AS truth, p.label FROM p JOIN e ON e.id = p.qid")
+def window_classify(spark, sf_dir):
+    near = event_neighbours(spark, sf_dir).groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
+    made = near.groupBy("qid").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("label"))).alias("best"))
+    truth = table(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), F.col("event_type").alias("truth"))
+    return made.join(truth, "qid").select("qid", "truth", F.col("best.label").alias("label"))
 
 
 def order_neighbours(spark, sf_dir, k: int = K, **how) -> DataFrame:
