@@ -29,8 +29,8 @@ def quantile_bounds(df: DataFrame, key: Column, rows_per_bucket: int = ROWS_PER_
     buckets = min(MOST_BUCKETS, n // rows_per_bucket)
     if buckets < 2:
         return []
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(key, shares, max(10_000, 8 * buckets)).alias("b")).first()["b"]
+    shares = F.from_json(F.lit(json.dumps([i / buckets for i in range(1, buckets)])), "array<double>")
+    found = df.select(F.call_function("percentile_approx", key, shares, F.lit(max(10_000, 8 * buckets))).alias("b")).first()["b"]
     return sorted(set(found))
 
 
