@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.llm.components import components
+from nearwin.llm.words import Start
 from nearwin.plans.shared import small_batches, written
 
 BITS, SLICE = 64, 1 << 16
@@ -44,8 +45,11 @@ def simhash(text: bytes | None, words: int = 3) -> int:
 def fingerprint(text: Column, words: int = 3) -> Column:
     """The SimHash of a text column as a signed long."""
 
+    start = Start()
+
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
+        start.once()
         return pa.array([simhash(t.as_py(), words) for t in texts], pa.int64())
 
     return of(text.cast("binary"))
@@ -59,30 +63,34 @@ def segments(distance: int) -> list[Cut]:
 
 
 def variants(prints: DataFrame, cuts: list[Cut]) -> DataFrame:
-    """(fp, seg, bit, rest, side): each segment as it is (bit -1, side 2), and with each of its bits deleted (side: that bit).
+    """(fp, key, side): each segment as it is (side 2), and with each of its bits deleted (side: that bit).
 
-    Two fingerprints whose segments are equal meet in the whole segment's key; two whose segments differ in one bit meet
-    in that bit's key, from opposite sides. So a pair meets once a segment, however much it has in common.
+    A key holds the segment's number, the deleted bit's and the rest of the segment. Two fingerprints whose segments are
+    equal meet in the whole segment's key; two whose segments differ in one bit meet in that bit's key, from opposite
+    sides. So a pair meets once a segment, however much it has in common.
     """
-    found = []
-    for s, (column, low, width) in enumerate(cuts):
+    found, before = [], 0
+    for column, low, width in cuts:
         value = F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1))
         each = prints.select("fp", value.alias("value"), F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
-        found.append(each.selectExpr("fp", f"{s} AS seg", "bit", "IF(bit < 0, value, value & ~shiftleft(1L, greatest(bit, 0))) AS rest", "IF(bit < 0, 2, CAST(shiftright(value, greatest(bit, 0)) & 1 AS INT)) AS side"))
+        rest = "IF(bit < 0, value, value & ~shiftleft(1L, greatest(bit, 0)))"
+        key = f"shiftleft(CAST({before} + bit + 1 AS BIGINT), {width}) | {rest}" if width < 56 else f"xxhash64({before} + bit + 1, {rest})"
+        found.append(each.selectExpr("fp", f"{key} AS key", "IF(bit < 0, 2, CAST(shiftright(value, greatest(bit, 0)) & 1 AS INT)) AS side"))
+        before += width + 1
     return reduce(DataFrame.union, found)
 
 
 def meetings(prints: DataFrame, cuts: list[Cut], near: int) -> DataFrame:
     """(a, b): different ``fp`` that meet in a variant and differ in ``near`` bits or fewer.
 
-    The equality join on (segment, deleted bit, rest) checks each pair in its condition, so only such pairs leave it.
-    A pair is found once for each segment that differs in one bit at most; repeats go.
+    The equality join on keys checks each pair in its condition, so only such pairs leave it. A pair is found once for
+    each segment that differs in one bit at most; repeats go.
     """
     found = variants(prints, cuts)
-    left = found.filter("side != 1").select(F.col("fp").alias("x"), "seg", "bit", "rest")
-    right = found.filter("side != 0").select(F.col("fp").alias("y"), "seg", "bit", "rest")
-    close = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= near) & (F.col("x") != F.col("y")) & ((F.col("bit") >= 0) | (F.col("x") < F.col("y")))
-    return left.join(right, ["seg", "bit", "rest"]).filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = found.filter("side != 1").select(F.col("fp").alias("x"), "key")
+    right = found.filter("side != 0").select(F.col("fp").alias("y"), "key")
+    close = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= near) & (F.col("x") != F.col("y"))
+    return left.join(right, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -127,10 +135,11 @@ def wide_simhash(text: bytes | None, words: int) -> tuple[int, int, int, int]:
 
 
 def wide_fingerprint(text: Column, words: int) -> Column:
-    kind = pa.struct([(c, pa.int64()) for c in WIDE])
+    kind, start = pa.struct([(c, pa.int64()) for c in WIDE]), Start()
 
     @F.arrow_udf("struct<" + ", ".join(f"{c}: bigint" for c in WIDE) + ">")
     def of(texts: pa.Array) -> pa.Array:
+        start.once()
         made = np.array([wide_simhash(t.as_py(), words) for t in texts], np.int64).reshape(-1, 4)
         return pa.StructArray.from_arrays([pa.array(made[:, k].copy()) for k in range(4)], fields=list(kind))
 
@@ -156,11 +165,16 @@ def one_of_each(docs: DataFrame, words: int = 5, distance: int = 40, near: int =
 
     Documents are linked at ``distance`` or fewer differing bits of 252 over shingles of ``words`` words: two sets with a
     similarity (Jaccard) of 0.8 differ in 38 bits on average. Texts without words are one component. Columns stay as they
-    are. The table with its fingerprints is written once, for the classes and for the rows kept. Empty table: no rows.
+    are. Only ids, hashes and fingerprints are written; ``docs`` is read again for the rows kept, known by id and hash of
+    the text, of which a repeated row is one. Empty table: no rows.
     """
-    prints = small_batches(docs).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), wide_fingerprint(F.col(text_col), words).alias("print"))
-    held = written(prints.select("row", "doc_id", "print.*", F.monotonically_increasing_id().alias("at")))
-    nodes = written(held.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in WIDE[1:])))
-    found = classes(held.select("doc_id", "fp", "at"), nodes, wide_links(nodes, distance, near))
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("kept")).select(F.col("kept.at").alias("kept_at"))
-    return held.join(kept, held.at == kept.kept_at, "left_semi").select("row.*")
+    place = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")]
+    prints = written(small_batches(docs).select(*place, wide_fingerprint(F.col(text_col), words).alias("print")).select("doc_id", "hash", "print.*"))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in WIDE[1:])))
+    found = classes(prints.select("doc_id", "hash", "fp"), nodes, wide_links(nodes, distance, near))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.hash").alias("kept_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *place)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    if not prints.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "hash"])
+    return rows.select("row.*")

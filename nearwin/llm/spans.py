@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearwin.llm.words import Start
 from nearwin.plans.shared import small_batches
 
 #: A sentence ends with its signs and the white space after them, or with a line; all sentences joined are the text.
@@ -48,7 +49,10 @@ def identity(id_col: str, text_col: str) -> Column:
 def span_table(docs: DataFrame, id_col: str, text_col: str, **shape: int) -> DataFrame:
     """(a, b, doc): each document's different spans, hashes in two longs."""
 
+    start = Start()
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start.once()
         for batch in batches:
             keys, counts = [], []
             for text in batch.column("text").to_pylist():
@@ -73,7 +77,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows equal in id count as one document between them (a span is not repeated by them). Null text: stays null, no
     sentences. Text without a span: stays as it is. Empty table: no rows.
     """
-    names = [c for c in docs.columns]
+    names, start = docs.columns, Start()
     found = span_table(docs, id_col, text_col, **shape)
     first = found.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("a", "b", "first")
     later = found.join(first, ["a", "b"]).filter("doc > first").select("doc", "a")
@@ -81,6 +85,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf("struct<sentences:int,removed:int,text:string>")
     def cut(texts: pa.Array, later: pa.Array) -> pa.Array:
+        start.once()
         out = []
         for text, known in zip(texts.to_pylist(), later.to_pylist(), strict=True):
             if text is None:

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from nearwin.llm.words import Kept
+from nearwin.llm.words import KEEPERS, Kept
 
 #: ASCII punctuation that no added token ends with and no contraction starts with.
 TAIL = ".,;:!?#$%&*)|"
@@ -24,6 +24,9 @@ def encoder(path: str, most: int = KEPT) -> Encoder:
     return Encoder(path, most)
 
 
+KEEPERS["encoder"] = encoder.cache_clear
+
+
 class Encoder:
     """``Tokenizer.encode(text, add_special_tokens=False)`` of a tokenizer that drops white space.
 

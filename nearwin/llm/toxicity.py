@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.llm.langid import SLICE, held_out, sample
-from nearwin.llm.words import Kept
+from nearwin.llm.words import Kept, Start
 from nearwin.plans.shared import small_batches
 
 WORD = re.compile(r"[^\W_]+")
@@ -24,6 +24,7 @@ BUCKETS, DIMS, SHORTEST, LONGEST = 1 << 20, 8, 3, 6
 STEPS, BATCH, RATE, SEED = 300, 64, 0.5, 7
 #: A bucket has a vector if this share of the sample's documents has it (two documents at least); rarer ones only count.
 SEEN = 0.02
+KEPT = 150_000
 
 
 def subwords(word: str) -> np.ndarray:
@@ -104,15 +105,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "d
     return train([r[1] for r in got], [r[2] for r in got]) if got else None
 
 
-def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``__score``."""
+def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text", kept: int = KEPT) -> DataFrame:
+    """``docs`` with a column ``__score``; a task keeps the sums of ``kept`` words, twice."""
+
+    start = Start()
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         if model is None:
             return pa.array([0.0] * len(texts), pa.float64())
+        start.once()
         if not hasattr(model, "kept"):
-            model.kept = Kept(model.word, 150_000)
+            model.kept = Kept(model.word, kept)
         return pa.array([model.score(t.as_py(), model.kept) for t in texts], pa.float64())
 
     return small_batches(docs).withColumn("__score", of(F.col(text_col)))
@@ -131,6 +135,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str
     return scored.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
-def clean_only(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_only(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, columns as they are."""
-    return score(docs, fit(docs, labels, most, id_col, text_col), text_col).filter("__score < 0.5").drop("__score")
+    return score(docs, fit(docs, labels, most, id_col, text_col), text_col, kept).filter("__score < 0.5").drop("__score")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+
 #: A word: anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
@@ -30,3 +33,26 @@ class Kept(dict):
                 self.clear()
             self[word] = value
         return value
+
+
+#: What this process keeps for later tasks, by name: a call that drops it.
+KEEPERS: dict[str, Callable] = {}
+
+
+class Start:
+    """Goes out with a task's code; at its first batch ``once`` drops what tasks of other kinds have kept in this process."""
+
+    def __init__(self) -> None:
+        self.began = False
+
+    def once(self) -> None:
+        if self.began:
+            return
+        self.began = True
+        for drop in KEEPERS.values():
+            drop()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own counsel
+            pass
