@@ -12,12 +12,13 @@ from nearwin.llm.queries import tokenizer_path
 from nearwin.llm.tables import table
 from nearwin.plans.shared import written
 
-KEPT_WORDS = 250_000
+#: Words that Python workers keep, fewer than by default: they serve all stages.
+KEPT_WORDS = 75_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of documents present, does not call toxic."""
-    return toxicity.clean_only(docs, table(spark, sf_dir, "labels"))
+    return toxicity.clean_only(docs, table(spark, sf_dir, "labels"), kept=KEPT_WORDS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences. Python workers that have served other stages keep fewer words."""
+    """Token pieces with their places in sequences."""
     return packing.pack(docs, tokenizer_path(), kept=KEPT_WORDS)
 
 
