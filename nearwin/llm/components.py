@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from nearwin.plans.shared import written
 
 
+#: Links in a file of a round's table: few links make few files and tasks.
+PER_FILE = 100_000
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -34,7 +38,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = written(edges)
     was = _digest(edges)
     while was[0]:
-        edges = written(_round(edges))
+        edges = written(_round(edges).coalesce(-(-was[0] // PER_FILE)))
         now = _digest(edges)
         if now == was:
             break

@@ -62,8 +62,8 @@ def segments(distance: int) -> list[Cut]:
     return [("fp", a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(prints: DataFrame, cuts: list[Cut]) -> DataFrame:
-    """(fp, key, side): each segment as it is (side 2), and with each of its bits deleted (side: that bit).
+def variants(prints: DataFrame, cuts: list[Cut], *more: str) -> DataFrame:
+    """(fp, key, side) and more columns: each segment as it is (side 2), and with each of its bits deleted (side: that bit).
 
     A key holds the segment's number, the deleted bit's and the rest of the segment. Two fingerprints whose segments are
     equal meet in the whole segment's key; two whose segments differ in one bit meet in that bit's key, from opposite
@@ -72,27 +72,38 @@ def variants(prints: DataFrame, cuts: list[Cut]) -> DataFrame:
     found, before = [], 0
     for column, low, width in cuts:
         value = F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1))
-        each = prints.select("fp", value.alias("value"), F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
+        each = prints.select("fp", *more, value.alias("value"), F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
         rest = "IF(bit < 0, value, value & ~shiftleft(1L, greatest(bit, 0)))"
         key = f"shiftleft(CAST({before} + bit + 1 AS BIGINT), {width}) | {rest}" if width < 56 else f"xxhash64({before} + bit + 1, {rest})"
-        found.append(each.selectExpr("fp", f"{key} AS key", "IF(bit < 0, 2, CAST(shiftright(value, greatest(bit, 0)) & 1 AS INT)) AS side"))
+        found.append(each.selectExpr("fp", *more, f"{key} AS key", "IF(bit < 0, 2, CAST(shiftright(value, greatest(bit, 0)) & 1 AS INT)) AS side"))
         before += width + 1
     return reduce(DataFrame.union, found)
 
 
-def meetings(prints: DataFrame, cuts: list[Cut], near: int) -> DataFrame:
-    """(a, b): different ``fp`` that meet in a variant and differ in ``near`` bits or fewer.
+def meetings(prints: DataFrame, cuts: list[Cut], near: int, known: str | None = None) -> DataFrame:
+    """(a, b): different ``fp`` that meet in a variant and differ in ``near`` bits or fewer, and in the column ``known``.
 
     The equality join on keys checks each pair in its condition, so only such pairs leave it. A pair is found once for
     each segment that differs in one bit at most; repeats go.
     """
-    found = variants(prints, cuts)
-    left = found.filter("side != 1").select(F.col("fp").alias("x"), "key")
-    right = found.filter("side != 0").select(F.col("fp").alias("y"), "key")
+    more = [known] if known else []
+    found = variants(prints, cuts, *more)
+    left = found.filter("side != 1").select(F.col("fp").alias("x"), *(F.col(c).alias("of_x") for c in more), "key")
+    right = found.filter("side != 0").select(F.col("fp").alias("y"), *(F.col(c).alias("of_y") for c in more), "key")
     close = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= near) & (F.col("x") != F.col("y"))
+    close = close & (F.col("of_x") != F.col("of_y")) if known else close
     return left.join(right, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def stars(prints: DataFrame, cuts: list[Cut], near: int) -> DataFrame:
+    """(a, b): pairs of each ``fp`` with the least and the greatest of those that share a whole segment, if they are near."""
+    whole = variants(prints, cuts).filter("side = 2").select("fp", "key")
+    ends = whole.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
+    each = whole.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("end"))
+    close = (F.col("fp") != F.col("end")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("end"))) <= near)
+    return each.filter(close).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
+
+
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b): every pair of different fingerprints, of a table of distinct ones, at ``distance`` or fewer differing bits."""
     return meetings(prints, segments(distance), distance)
@@ -147,17 +158,25 @@ def wide_fingerprint(text: Column, words: int) -> Column:
 
 
 def wide_links(nodes: DataFrame, distance: int, near: int) -> DataFrame:
-    """(a, b): pairs of wide fingerprints, named by their first long, at ``distance`` or fewer of 252 differing bits.
+    """(a, b): links of wide fingerprints, named by their first long, that give all components at ``distance`` of 252 bits.
 
-    Pairs at up to 2 * 12 - 1 = 23 bits are all found: one of the twelve segments differs in one bit at most. Farther
-    pairs are found if one segment does, which holds for 86 in 100 at a similarity of 0.8, 95 at 0.85 and 99 at 0.9. The
-    join checks the first long (``near`` bits of 63); those few that pass are verified on all four.
+    Pairs at up to 2 * 12 - 1 = 23 bits all meet: one of the twelve segments differs in one bit at most. Farther pairs
+    meet if one segment does, which holds for 86 in 100 at a similarity of 0.8, 95 at 0.85 and 99 at 0.9. The joins check
+    the first long (``near`` bits of 63); those few that pass are verified on all four. A large group of near copies is
+    not expanded into pairs: its members are first linked to a few of it, and only pairs of different components so far
+    meet after that.
     """
-    met = written(meetings(nodes, WIDE_CUTS, near))
     side = lambda n: nodes.select(*(F.col(c).alias(f"{n}_{c}") for c in WIDE))
-    both = met.join(side("a"), F.col("a") == F.col("a_fp")).join(side("b"), F.col("b") == F.col("b_fp"))
     bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in WIDE), F.lit(0))
-    return both.filter(bits <= distance).select("a", "b")
+
+    def verified(met: DataFrame) -> DataFrame:
+        both = met.join(side("a"), F.col("a") == F.col("a_fp")).join(side("b"), F.col("b") == F.col("b_fp"))
+        return written(both.filter(bits <= distance).select("a", "b"))
+
+    first = verified(stars(nodes, WIDE_CUTS, near))
+    roots = components(first, "a", "b")
+    held = written(nodes.join(roots, nodes.fp == roots.node, "left").select(*WIDE, F.coalesce("root", "fp").alias("root")))
+    return first.union(verified(meetings(held, WIDE_CUTS, near, "root")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, distance: int = 40, near: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
