@@ -31,7 +31,7 @@ def subwords(word: str) -> np.ndarray:
     """Buckets of the word with its edges marked, and of its character n-grams of SHORTEST to LONGEST characters."""
     marked = f"<{word}>"
     grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)} | {marked}
-    return np.fromiter((crc32(g.encode(errors="replace")) % BUCKETS for g in sorted(grams)), np.int64, len(grams))
+    return np.fromiter((crc32(g.encode(errors="replace")) % BUCKETS for g in sorted(grams)), np.int32, len(grams))
 
 
 @dataclass
@@ -55,10 +55,10 @@ class Toxicity:
 
 def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's buckets and their shares of all its subwords, repeats counted."""
-    kept, out = Kept(subwords, 200_000), []
+    kept, out = Kept(subwords, 50_000), []
     for text in texts:
         words = Counter(WORD.findall(text.lower())) if text else Counter()
-        at = np.concatenate([kept[w] for w in words] or [np.zeros(0, np.int64)])
+        at = np.concatenate([kept[w] for w in words] or [np.zeros(0, np.int32)])
         n = np.repeat(np.fromiter(words.values(), float, len(words)), [len(kept[w]) for w in words] or 0)
         of, inverse = np.unique(at, return_inverse=True)
         sums = np.bincount(inverse, n, len(of))
@@ -102,7 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "d
     marks = sample(marks.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")), most, "doc_id")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(marks), F.col("__id") == F.col("doc_id"))  # bounded by most
     got = sorted(((r["__id"], r["__text"] or "", r["__toxic"]) for r in rows.collect()))
-    return train([r[1] for r in got], [r[2] for r in got]) if got else None
+    model = train([r[1] for r in got], [r[2] for r in got]) if got else None
+    del got
+    Start().once()  # the driver keeps nothing of the training but the model
+    return model
 
 
 def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text", kept: int = KEPT) -> DataFrame:
