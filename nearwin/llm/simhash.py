@@ -162,9 +162,9 @@ def wide_links(nodes: DataFrame, distance: int, near: int) -> DataFrame:
 
     Pairs at up to 2 * 12 - 1 = 23 bits all meet: one of the twelve segments differs in one bit at most. Farther pairs
     meet if one segment does, which holds for 86 in 100 at a similarity of 0.8, 95 at 0.85 and 99 at 0.9. The joins check
-    the first long (``near`` bits of 63); those few that pass are verified on all four. A large group of near copies is
-    not expanded into pairs: its members are first linked to a few of it, and only pairs of different components so far
-    meet after that.
+    the first long (``near`` bits of 63); those few that pass are verified on all four. Members of
+    a large group are first linked to a few of it, and only pairs of different components so far meet after that; those
+    can still be many, where the first links leave a group in parts.
     """
     side = lambda n: nodes.select(*(F.col(c).alias(f"{n}_{c}") for c in WIDE))
     bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in WIDE), F.lit(0))
