@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearwin.llm import jaccard
 from nearwin.llm.components import components
 from nearwin.llm.words import Start
 from nearwin.plans.shared import small_batches, written
@@ -179,21 +180,28 @@ def wide_links(nodes: DataFrame, distance: int, near: int) -> DataFrame:
     return first.union(verified(meetings(held, WIDE_CUTS, near, "root")))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, distance: int = 40, near: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = jaccard.LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest id (nulls last; of repeated ids, any one).
 
-    Documents are linked at ``distance`` or fewer differing bits of 252 over shingles of ``words`` words: two sets with a
-    similarity (Jaccard) of 0.8 differ in 38 bits on average. Texts without words are one component. Columns stay as they
-    are. Only ids, hashes and fingerprints are written; ``docs`` is read again for the rows kept, known by id and hash of
-    the text, of which a repeated row is one. Empty table: no rows.
+    Documents are linked if their sets of shingles of ``words`` words have a similarity (Jaccard) of ``least``, a
+    fraction, or more; that is decided by the whole sets. Texts without words are one component. Columns stay as they
+    are. Only ids, hashes, bands and the sets of documents that share a band are written; ``docs`` is read again for the
+    sets and for the rows kept, known by id and hash of the text, of which a repeated row is one. Empty table: no rows.
     """
     place = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")]
-    prints = written(small_batches(docs).select(*place, wide_fingerprint(F.col(text_col), words).alias("print")).select("doc_id", "hash", "print.*"))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in WIDE[1:])))
-    found = classes(prints.select("doc_id", "hash", "fp"), nodes, wide_links(nodes, distance, near))
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.hash").alias("kept_hash"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *place)
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    prints = written(small_batches(docs).select(*place, jaccard.sketch(F.col(text_col), words).alias("print")).select("doc_id", "hash", "print.*"))
+    nodes = written(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("kept"), F.min("size").alias("size"), F.min("bands").alias("bands")))
+    shared = jaccard.sharing(nodes)
+
+    def read_again(wanted: DataFrame, how: str, *columns: Column) -> DataFrame:
+        wanted = wanted.withColumns({"kept_id": F.col("kept.doc_id"), "kept_hash": F.col("kept.hash")}).drop("kept")
+        return docs.select(*columns, *place).join(wanted, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), how)
+
+    texts = read_again(nodes.select("node", "kept").join(shared.select("node").distinct(), "node"), "inner", F.col(text_col).alias("__text"))
+    sets = written(texts.dropDuplicates(["node"]).select("node", jaccard.whole_set(F.col("__text"), words).alias("set")))
+    roots = components(jaccard.links(shared, sets, least), "a", "b").withColumnRenamed("node", "of")
+    kept = nodes.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))
+    rows = read_again(kept.select("kept"), "left_semi", F.struct(*docs.columns).alias("row"))
     if not prints.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id", "hash"])
     return rows.select("row.*")

@@ -204,3 +204,37 @@ def test_near_copies_go_and_others_stay(spark):
     texts = [" ".join(w) for w in base + near]
     kept = {r["doc_id"] for r in simhash.one_of_each(nasty.docs(spark, texts)).collect()}
     assert kept >= set(range(60)) and len(kept) <= 62
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs a little above and below 0.8, and a group of near copies, against all pairs' Jaccard."""
+    rng = random.Random(21)
+    texts = []
+    for changes in list(range(2, 14)) * 8:
+        w = [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([8, 60, 200]))]
+        copy = list(w)
+        for at in rng.sample(range(len(w)), min(len(w), changes * len(w) // 300)):
+            copy[at] = "changed"
+        texts += [" ".join(w), " ".join(copy) + rng.choice(["", " tail", " tail " * (changes * len(w) // 100)])]
+    base = [f"b{i}" for i in range(100)]
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.sample(range(100), rng.randrange(1, 5)):
+            copy[at] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    kept = {r["doc_id"] for r in simhash.one_of_each(nasty.docs(spark, texts)).collect()}
+    assert kept == {i for i in range(len(texts)) if find(i) == i}
