@@ -17,26 +17,37 @@ from nearwin.plans.shared import small_batches
 #: A sentence ends with its signs and the white space after them, or with a line; all sentences joined are the text.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n)\s*|[^.!?\n]+")
 #: Sentences in a span, and words that it has at least; a shorter run is a span if it has LONG words.
-RUN, LEAST, LONG = 3, 8, 40
+RUN, LEAST, LONG = 3, 8, 14
+#: Bytes that count as a word where there are fewer spaces, as in scripts that have none.
+WORD_BYTES = 12
 
 
 def spans(text: str, run: int = RUN, least: int = LEAST, long: int = LONG) -> tuple[list[str], list[tuple[int, int, bytes]]]:
     """The sentences of a text, and (first sentence, number of sentences, 16-byte hash) of each span.
 
-    Every run of ``run`` consecutive sentences of ``least`` words or more is a span; so is every shorter run of ``long``
-    words or more, so that a long passage of one or two sentences is one too. Sentences count without the white space
-    around them, and blank ones not at all.
+    A run of consecutive sentences is long enough with ``run`` sentences or more and ``least`` words, or with ``long``
+    words. The spans are the shortest such run from each sentence on and the shortest up to each sentence: a run that is
+    long enough, of any length, is covered by the spans inside it. Sentences count without the white space around them,
+    and blank ones not at all.
     """
     parts = SENTENCE.findall(text)
     said = [(i, s) for i, s in enumerate(map(str.strip, parts)) if s]
-    words = np.cumsum([0] + [s.count(" ") + 1 for _, s in said]).tolist()
     raw = [s.encode(errors="replace") for _, s in said]
-    out = []
-    for n in range(1, run + 1):
-        need = least if n == run else long
-        for k in range(len(said) - n + 1):
-            if words[k + n] - words[k] >= need:
-                out.append((k, n, xxhash.xxh3_128_digest(b"\n".join(raw[k : k + n]))))
+    words = [0]
+    for (_, s), r in zip(said, raw, strict=True):
+        words.append(words[-1] + max(s.count(" ") + 1, len(r) // WORD_BYTES))
+    found, start = {}, 0
+    for end in range(1, len(said) + 1):
+        was = start
+        while start < end and ((n := words[end] - words[start]) >= long or (end - start >= run and n >= least)):
+            found[start, end] = None  # the shortest from this start, unless an earlier end gave one
+            start += 1
+        if start > was:
+            continue
+        if start and (start - 1, end) not in found:
+            low = start - 1
+            found[low, end] = None  # the shortest up to this end
+    out = [(k, end - k, xxhash.xxh3_128_digest(b"\n".join(raw[k:end]))) for k, end in found]
     return parts, [(said[k][0], said[k + n - 1][0] - said[k][0] + 1, h) for k, n, h in out]
 
 

@@ -144,3 +144,33 @@ def test_pipeline_stages(spark):
     assert before > docs.select("doc_id").distinct().count() > 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert pieces.filter("piece = 0").count() == docs.count()
+
+
+def test_spans_of_short_sentences_and_cut_passages(spark):
+    """Repeats of one-word sentences, of lines without spaces, and passages pasted in the middle of sentences go."""
+    rng = random.Random(9)
+    shout = " ".join(f"Word{k}!" for k in range(60))
+    lines = "\n".join("漢字かなの長い行" + chr(0x4E00 + 7 * k) for k in range(12)) + "\n"
+    whole = "The second sentence of it has seventeen words in all and stands between two that are cut."
+    passage = " ".join(f"p{k}" for k in range(18)) + ". " + whole + " " + " ".join(f"q{k}" for k in range(20))
+    own = lambda: " ".join(f"o{rng.randrange(10**9)}" for _ in range(9))
+    texts = [f"{own()}.\n{x}\n{own()}." for x in (shout, lines) for _ in range(2)] + [f"{own()} {passage} {own()}." for _ in range(2)]
+    got = {r["doc_id"]: r["text"] for r in spans.span_dedup(nasty.docs(spark, texts)).collect()}
+    for i in (0, 2, 4):
+        assert got[i] == texts[i]
+    assert "Word" not in got[1] and "漢字" not in got[3]
+    assert whole not in got[5] and "p17" in got[5] and "q0" in got[5]
+
+
+def test_spans_cover_every_long_enough_run():
+    rng = random.Random(10)
+    for _ in range(200):
+        text = "".join(rng.choice(["a ", "bb ", "c. ", "d.\n", "e! ", "f " * 9]) for _ in range(rng.randrange(60)))
+        parts, found = spans.spans(text)
+        said = [(k, p.strip()) for k, p in enumerate(parts) if p.strip()]
+        size = [max(s.count(" ") + 1, len(s.encode()) // spans.WORD_BYTES) for _, s in said]
+        for i in range(len(said)):
+            for j in range(i + 1, len(said) + 1):
+                if sum(size[i:j]) >= spans.LONG or j - i >= spans.RUN and sum(size[i:j]) >= spans.LEAST:
+                    inside = [(at, at + n) for at, n, _ in found if at >= said[i][0] and at + n <= said[j - 1][0] + 1]
+                    assert all(any(a <= k < b for a, b in inside) for k, _ in said[i:j])
