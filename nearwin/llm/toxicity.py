@@ -2,98 +2,161 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, islice
-from zlib import crc32
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwin.llm.langid import SLICE, held_out, sample
-from nearwin.llm.words import Kept, Start
+from nearwin.llm.langid import held_out, sample
+from nearwin.llm.words import Start
 from nearwin.plans.shared import small_batches
 
-WORD = re.compile(r"[^\W_]+")
 #: Bound of the sample of labelled documents that a model is trained on, whole texts.
 SAMPLE = 4_000
-BUCKETS, DIMS, SHORTEST, LONGEST = 1 << 20, 8, 3, 6
-STEPS, BATCH, RATE, SEED = 300, 64, 0.5, 7
-#: A bucket has a vector if this share of the sample's documents has it (two documents at least); rarer ones only count.
-SEEN = 0.02
-KEPT = 150_000
+BITS, DIMS, SHORTEST, LONGEST = 20, 8, 3, 6
+BUCKETS = 1 << BITS
+#: Words of at most so many characters also have a vector of their own; longer ones only those of their n-grams.
+WHOLE = 40
+STEPS, BATCH, RATE, SEED = 400, 64, 0.5, 7
+#: Documents of the sample that must have a bucket for it to get a vector; rarer ones only count in the mean.
+SEEN = 3
+#: Characters whose n-grams are hashed at a time, and those looked at beyond them.
+SLICE, BEYOND = 1 << 15, WHOLE + 2
+#: An odd base of polynomial hashes modulo 2^64, and an odd factor that mixes them.
+BASE, MIX = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+EDGE = 32
 
 
-def subwords(word: str) -> np.ndarray:
-    """Buckets of the word with its edges marked, and of its character n-grams of SHORTEST to LONGEST characters."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)} | {marked}
-    return np.fromiter((crc32(g.encode(errors="replace")) % BUCKETS for g in sorted(grams)), np.int32, len(grams))
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SLICE + BEYOND + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+@lru_cache(maxsize=1)
+def _wordy() -> np.ndarray:
+    """For each code point, whether it is part of a word: letters and digits."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
+def subwords(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(first position, text of each position, [(which positions have a subword, its bucket)]) for each slice of all characters.
+
+    Texts are lower-cased and stand one after the other between edges; all that is no letter or digit is an edge. The
+    subwords of a word, which has an edge at either end, are its runs of SHORTEST to LONGEST characters, edges included,
+    and the whole of it if that is longer. A prefix sum of characters times powers of BASE gives the hash of any run in
+    a subtraction and a product, so a subword costs a few vector steps and no Python object.
+    """
+    low = [(t or "").lower() for t in texts]
+    codes = np.frombuffer(f" {' '.join(low)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(low) + 1), [len(t) + 1 for t in low] + [1])
+    for at in range(0, len(codes), SLICE):
+        n = min(SLICE, len(codes) - at)
+        part = codes[at : at + n + BEYOND]
+        wordy = np.zeros(n + BEYOND, bool)
+        wordy[: len(part)] = _wordy()[part]
+        terms = np.full(n + BEYOND, EDGE + 1, np.uint64)
+        np.copyto(terms[: len(part)], part + np.uint64(1), where=wordy[: len(part)])
+        sums = np.zeros(n + BEYOND + 1, np.uint64)
+        np.cumsum(terms * _UP[: n + BEYOND], out=sums[1:])
+        bucket = lambda start, end, down: ((sums[end] - sums[start]) * down * np.uint64(MIX) >> np.uint64(64 - BITS)).astype(np.int32)  # noqa: B023, E731
+        found, inside = [], wordy[1 : n + 1]
+        for k in range(SHORTEST, LONGEST + 1):
+            inside = inside & wordy[k - 2 : n + k - 2] if k > SHORTEST else inside
+            found.append((inside, bucket(slice(0, n), slice(k, n + k), _DOWN[:n])))
+        edges = np.flatnonzero(~wordy)
+        long = (edges[:-1] < n) & (np.diff(edges) >= LONGEST) & (np.diff(edges) <= WHOLE + 1)
+        starts = edges[:-1][long]
+        has, whole = np.zeros(n, bool), np.zeros(n, np.int32)
+        has[starts], whole[starts] = True, bucket(starts, edges[1:][long] + 1, _DOWN[starts])
+        yield at, of[at : at + n], [*found, (has, whole)]
 
 
 @dataclass
 class Toxicity:
     """The trained layers folded into one value a bucket and a bias: a softmax of two classes over a mean is linear in it."""
 
-    values: dict[int, float]
+    values: np.ndarray
     bias: float
 
-    def word(self, word: str) -> bytes:
-        at = subwords(word)
-        return np.array([sum(self.values.get(i, 0.0) for i in at.tolist()), len(at)]).tobytes()
-
-    def score(self, text: str | None, kept: Kept) -> float:
-        found, total = WORD.findall(text.lower()) if text else [], np.zeros(2)
-        for at in range(0, len(found), SLICE):
-            total += np.frombuffer(b"".join(map(kept.__getitem__, found[at : at + SLICE]))).reshape(-1, 2).sum(axis=0)
-        z = self.bias + (total[0] / total[1] if total[1] else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-
-
-def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's buckets and their shares of all its subwords, repeats counted."""
-    kept, out = Kept(subwords, 50_000), []
-    for text in texts:
-        words = Counter(WORD.findall(text.lower())) if text else Counter()
-        at = np.concatenate([kept[w] for w in words] or [np.zeros(0, np.int32)])
-        n = np.repeat(np.fromiter(words.values(), float, len(words)), [len(kept[w]) for w in words] or 0)
-        of, inverse = np.unique(at, return_inverse=True)
-        sums = np.bincount(inverse, n, len(of))
-        out.append((of.astype(np.int32), (sums / max(1.0, sums.sum())).astype(np.float32)))
-    return out
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        total, count = np.zeros(len(texts) + 1), np.zeros(len(texts) + 1)
+        for _, of, found in subwords(texts):
+            value, number = np.zeros(len(of)), np.zeros(len(of))
+            for has, bucket in found:
+                value += np.where(has, self.values[bucket], 0)
+                number += has
+            first = of[0]
+            total[first : of[-1] + 1] += np.bincount(of - first, value)
+            count[first : of[-1] + 1] += np.bincount(of - first, number)
+        z = self.bias + total[:-1] / np.maximum(1, count[:-1])
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's different buckets and their shares of all its subwords, repeats counted."""
+    every = [bucket[has] for _, _, found in subwords([text]) for has, bucket in found]
+    of, n = np.unique(np.concatenate(every), return_counts=True)
+    return of, (n / max(1, n.sum())).astype(np.float32)
+
+
+def gradients(e: np.ndarray, w: np.ndarray, b: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> tuple:
+    """(loss, embedding rows, and the gradients of them, of w and of b) of the weighted mean cross entropy of a batch."""
+    of, share = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
+    row = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
+    near = e[of] * share[:, None]
+    mean = np.stack([np.bincount(row, near[:, d], len(docs)) for d in range(e.shape[1])], axis=1)
+    z = mean @ w + b
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    each, at = weights / len(docs), np.arange(len(docs))
+    loss = float(-(each * np.log(np.maximum(p[at, labels], 1e-300))).sum())
+    p[at, labels] -= 1
+    p *= each[:, None]
+    back = (p @ w.T)[row] * share[:, None]
+    rows, inverse = np.unique(of, return_inverse=True)
+    de = np.stack([np.bincount(inverse, back[:, d], len(rows)) for d in range(e.shape[1])], axis=1)
+    return loss, rows, de, mean.T @ p, p.sum(axis=0)
 
 
 def train(texts: list[str | None], labels: list[int]) -> Toxicity:
-    """Embeddings and output layer by Adagrad on the cross entropy, in a fixed order of fixed batches."""
+    """Embeddings and output layer by Adagrad on the cross entropy, in a fixed order of fixed batches.
+
+    Each class weighs half of the loss, by its count in the training labels, so a score of 0.5 is where the text speaks
+    for neither, however rare one class is.
+    """
     rng, y = np.random.default_rng(SEED), np.asarray(labels, np.int64)
-    docs = bags(texts)
-    seen = np.bincount(np.concatenate([of for of, _ in docs]), minlength=BUCKETS)
-    known = np.flatnonzero(seen >= max(2, SEEN * len(docs)))
-    place = np.full(BUCKETS, -1)
+    docs = [bag(t) for t in texts]
+    seen = np.zeros(BUCKETS, np.int32)
+    for of, _ in docs:
+        seen[of] += 1
+    known = np.flatnonzero(seen >= min(SEEN, max(1, len(docs))))
+    place = np.full(BUCKETS, -1, np.int32)
     place[known] = np.arange(len(known))
     docs = [(place[of[has]], share[has]) for of, share in docs for has in [place[of] >= 0]]
+    weights = (len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2))))[y]
     e, w, b = rng.normal(0, 0.1, (len(known), DIMS)), rng.normal(0, 0.1, (DIMS, 2)), np.zeros(2)
     ge, gw, gb = np.full(e.shape, 1e-8), np.full(w.shape, 1e-8), np.full(2, 1e-8)
-    orders = chain.from_iterable(np.array_split(o, range(BATCH, len(o), BATCH)) for o in (rng.permutation(len(docs)) for _ in count()))
-    for part in islice(orders, STEPS):
-        of, share = (np.concatenate([docs[i][k] for i in part]) for k in (0, 1))
-        row = np.repeat(np.arange(len(part)), [len(docs[i][0]) for i in part])
-        near = e[of] * share[:, None]
-        mean = np.stack([np.bincount(row, near[:, d], len(part)) for d in range(DIMS)], axis=1)
-        z = mean @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(part)), y[part]] -= 1
-        p /= len(part)
-        back = (p @ w.T)[row] * share[:, None]
-        de = np.stack([np.bincount(of, back[:, d], len(known)) for d in range(DIMS)], axis=1)
-        for x, g, s in ((e, de, ge), (w, mean.T @ p, gw), (b, p.sum(axis=0), gb)):
+    order = np.zeros(0, np.int64)
+    for _ in range(STEPS):
+        order = order if len(order) else rng.permutation(len(docs))
+        part, order = order[:BATCH], order[BATCH:]
+        _, rows, de, dw, db = gradients(e, w, b, [docs[i] for i in part], y[part], weights[part])
+        ge[rows] += de * de
+        e[rows] -= RATE * de / np.sqrt(ge[rows])
+        for x, g, s in ((w, dw, gw), (b, db, gb)):
             s += g * g
             x -= RATE * g / np.sqrt(s)
-    return Toxicity(dict(zip(known.tolist(), (e @ (w[:, 1] - w[:, 0])).tolist(), strict=True)), float(b[1] - b[0]))
+    values = np.zeros(BUCKETS, np.float32)
+    values[known] = e @ (w[:, 1] - w[:, 0])
+    return Toxicity(values, float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Toxicity | None:
@@ -101,15 +164,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "d
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
     marks = sample(marks.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")), most, "doc_id")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(marks), F.col("__id") == F.col("doc_id"))  # bounded by most
-    got = sorted(((r["__id"], r["__text"] or "", r["__toxic"]) for r in rows.collect()))
-    model = train([r[1] for r in got], [r[2] for r in got]) if got else None
+    got = rows.select("__id", "__text", "__toxic").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["__id"], r["__text"] or "", r["__toxic"]))
+    model = train([r["__text"] for r in got], [int(r["__toxic"] > 0) for r in got]) if got else None
     del got
     Start().once()  # the driver keeps nothing of the training but the model
     return model
 
 
-def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text", kept: int = KEPT) -> DataFrame:
-    """``docs`` with a column ``__score``; a task keeps the sums of ``kept`` words, twice."""
+def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``__score``."""
 
     start = Start()
 
@@ -118,9 +182,7 @@ def score(docs: DataFrame, model: Toxicity | None, text_col: str = "text", kept:
         if model is None:
             return pa.array([0.0] * len(texts), pa.float64())
         start.once()
-        if not hasattr(model, "kept"):
-            model.kept = Kept(model.word, kept)
-        return pa.array([model.score(t.as_py(), model.kept) for t in texts], pa.float64())
+        return pa.array(model.scores(texts.to_pylist()), pa.float64())
 
     return small_batches(docs).withColumn("__score", of(F.col(text_col)))
 
@@ -138,6 +200,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str
     return scored.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
-def clean_only(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+def clean_only(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, columns as they are."""
-    return score(docs, fit(docs, labels, most, id_col, text_col), text_col, kept).filter("__score < 0.5").drop("__score")
+    return score(docs, fit(docs, labels, most, id_col, text_col), text_col).filter("__score < 0.5").drop("__score")

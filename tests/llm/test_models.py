@@ -2,7 +2,9 @@
 
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearwin.llm import langid, toxicity
@@ -29,12 +31,67 @@ def test_unseen_misspellings(spark):
     plain = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(40))
     texts = [plain() + (f" dreadful{rng.choice('abcdef')} horrid{rng.choice('abcdef')}" if i % 3 == 0 else "") for i in range(300)]
     model = toxicity.train(texts, [int(i % 3 == 0) for i in range(300)])
-    kept = toxicity.Kept(model.word)
-    found = [model.score(plain() + " dreadfulzz horridx", kept) > 0.5 for _ in range(40)]
-    clean = [model.score(plain(), kept) > 0.5 for _ in range(40)]
+    found = model.scores([plain() + " dreadfulzz horridx" for _ in range(40)]) > 0.5
+    clean = model.scores([plain() for _ in range(40)]) > 0.5
     assert "dreadfulzz" not in " ".join(texts) and sum(found) >= 24 and not any(clean)
 
 
+def plain_subwords(text):
+    """Runs of 3 to 6 characters of each word with an edge at either end, and the whole if longer, with repeats."""
+    words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    out = []
+    for w in (f" {w} " for w in words):
+        out += [w[i : i + k] for k in range(3, 7) for i in range(len(w) - k + 1)] + [w] * (6 < len(w) <= 42)
+    return out
+
+
+def plain_bucket(gram):
+    h = sum((ord(c) + 1) * pow(toxicity.BASE, i, 1 << 64) for i, c in enumerate(gram))
+    return (h * toxicity.MIX % (1 << 64)) >> 44
+
+
+def test_scores_against_brute_force():
+    """Whole texts, longer than a slice, of words longer than a slice, with signs of many scripts."""
+    rng = random.Random(4)
+    alphabet = "abcXYZ äßÉ漢🙂_-.,\n09"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(30)]
+    texts += [None, "", " .\n", "a", "ab", "x" * 39, "x" * 40, "x" * 41, "y" * 100, " ".join(rng.choice(texts) for _ in range(900)), "z" * (toxicity.SLICE + 50) + " end"]
+    texts.append("q" * (toxicity.SLICE - 20) + " spansslices " + "r" * 10)
+    values = np.random.default_rng(0).normal(size=toxicity.BUCKETS).astype(np.float32)
+    got = toxicity.Toxicity(values, 0.25).scores(texts)
+    for t, s in zip(texts, got, strict=True):
+        grams = Counter(plain_subwords(t))
+        z = 0.25 + sum(values[plain_bucket(g)] * n for g, n in grams.items()) / max(1, grams.total())
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-6
+        assert sum(len(b[h]) for _, _, f in toxicity.subwords([t]) for h, b in f) == grams.total()
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    e, w, b = rng.normal(size=(9, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    docs = [(np.array([0, 2, 5]), np.array([0.5, 0.3, 0.2])), (np.array([2, 8]), np.array([0.9, 0.1])), (np.zeros(0, int), np.zeros(0))]
+    y, weights = np.array([1, 0, 1]), np.array([2.0, 0.5, 1.0])
+    loss = lambda: toxicity.gradients(e, w, b, docs, y, weights)[0]
+    _, rows, de, dw, db = toxicity.gradients(e, w, b, docs, y, weights)
+    whole = np.zeros_like(e)
+    whole[rows] = de
+    for x, g in ((e, whole), (w, dw), (b, db)):
+        for at in np.ndindex(x.shape):
+            was = x[at]
+            x[at] = was + 1e-6
+            up = loss()
+            x[at] = was - 1e-6
+            down = loss()
+            x[at] = was
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-6
+
+
+def test_clean_only_keeps_what_is_scored_under_a_half(spark):
+    docs, labels = table(spark, BIG, "documents"), table(spark, BIG, "labels")
+    want = {r["doc_id"] for r in toxicity.toxicity(docs, labels).filter("score < 0.5").collect()}
+    assert sorted(r["doc_id"] for r in toxicity.clean_only(docs, labels).collect()) == sorted(want)
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)] + [(1, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(nasty.frame(spark), labels).collect()
