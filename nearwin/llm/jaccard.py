@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearwin.llm.components import components
+from nearwin.llm.shingles import hashes, majority
 from nearwin.llm.words import Start
 from nearwin.plans.shared import written
 
@@ -18,13 +19,7 @@ BANDS, DEEP = 24, 5
 LEAST = (4, 5)
 SLICE = 512
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * DEEP, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """The sorted different 64-bit hashes of a text's shingles; none for a text without words."""
-    from nearwin.llm.simhash import shingles
-
-    return np.array(sorted({xxhash.xxh3_64_intdigest(s) for s in shingles(text or b"", words)}), np.uint64)
+SKETCH = {"node": pa.int64(), "size": pa.int32(), "fp": pa.int64(), "bands": pa.list_(pa.int64())}
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -36,43 +31,44 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def sketch(text: Column, words: int) -> Column:
-    """node, a hash of the text's whole set of shingles (0 for none), size, the set's, and its bands."""
+    """node, a hash of the text's whole set of shingles (0 for none), size, the set's, fp, its SimHash, and its bands."""
     start = Start()
 
-    @F.arrow_udf("struct<node: bigint, size: int, bands: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, size: int, fp: bigint, bands: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         start.once()
         rows = []
         for t in texts:
-            found = shingle_set(t.as_py(), words)
-            rows.append((xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else 0, len(found), bands(found)))
-        node, size, keys = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "bands"])
+            every = hashes(t.as_py(), words)
+            found = np.unique(every)
+            rows.append((xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else 0, len(found), majority(every), bands(found)))
+        columns = zip(*rows, strict=True) if rows else ((),) * len(SKETCH)
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, SKETCH.values(), strict=True)], names=list(SKETCH))
 
     return of(text.cast("binary"))
 
 
 def whole_set(text: Column, words: int) -> Column:
-    """``shingle_set`` as bytes."""
+    """The sorted different hashes of a text's shingles, as signed longs."""
     start = Start()
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
         start.once()
-        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
+        return pa.array([np.unique(hashes(t.as_py(), words)).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
     return of(text.cast("binary"))
 
 
 def alike(a: Column, b: Column, least: tuple[int, int] = LEAST) -> Column:
-    """Whether two sets given as bytes have a similarity of ``least`` or more, in whole numbers."""
+    """Whether two sets given as arrays have a similarity of ``least`` or more, in whole numbers."""
     up, down = least
 
     @F.arrow_udf("boolean")
     def of(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left, right, strict=True):
-            u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            u, v = x.values.to_numpy(), y.values.to_numpy()
             both = np.sort(np.concatenate([u, v]), kind="stable")
             shared = int((both[1:] == both[:-1]).sum())
             out.append(down * shared >= up * (len(u) + len(v) - shared))
@@ -88,26 +84,72 @@ def sharing(nodes: DataFrame) -> DataFrame:
     return written(each.join(several, "key").select("node", "size", "key"))
 
 
-def links(shared: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(a, b): links that give all components of the pairs that share a band and have a similarity of ``least`` or more.
+def met(one: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b): the different pairs of (node, size, other, other_size) whose sizes don't rule out a similarity of ``least``."""
+    up, down = least
+    fits = down * F.least("size", "other_size") >= up * F.greatest("size", "other_size")
+    return one.filter("node != other").filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def to_pivots(shared: DataFrame) -> DataFrame:
+    """(node, size, other, other_size): each node beside one node of each of its bands, which meets the most others in all its bands.
 
-    ``shared``: a table of ``sharing``; ``sets``: node and set, of all its nodes. Each pair is decided by the whole sets.
-    First each node meets the first and the last node of its bands. Then all pairs that share a band meet, but for those
-    that are of one component already: a large group of near copies is mostly one by then, and links within it add nothing.
+    In a group of near copies that is one with few changes, to which most of the group is similar.
+    """
+    counts = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = shared.join(counts, "key").groupBy("node", "size").agg(F.sum("n").alias("weight"))
+    pivots = shared.join(weight.drop("size"), "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("pivot"))
+    return shared.join(pivots, "key").select("node", "size", F.col("pivot.node").alias("other"), F.col("pivot.size").alias("other_size"))
+
+
+def crossing(held: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(node, size, other, other_size) of different roots that may be similar; none that is similar is left out.
+
+    ``held``: a table (node, size, root). Similar sets share one of their rarest tokens: put in the order of how many
+    nodes have them, a set of n tokens must show a common one among its first n - ceil(s n) + 1, and from there on both
+    sets must have tokens enough left for the overlap that similarity s asks for. So nodes meet in such tokens alone, and
+    the places of the token in both sets decide in the join. A token's nodes of its most frequent root never meet each
+    other, and before they meet the rest, both sides lose what cannot fit the other side's best place and least size. So
+    a large group that is one component already costs what the nodes outside of it do.
     """
     up, down = least
-    fits = down * F.least("size", "other_size") >= up * F.greatest("size", "other_size")  # sets so unlike in size are not similar
+    tokens = held.join(sets, "node").select("node", "size", "root", F.explode("set").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    some = tokens.join(counts, "token")
+    of_node = Window.partitionBy("node")
+    unique = F.col("size") - F.count(F.lit(1)).over(of_node)
+    place = unique + F.row_number().over(of_node.orderBy("n", "token")) - 1
+    placed = some.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * up / F.lit(down)))
+    entries = written(placed.select("token", "node", "size", "root", (F.col("size") - F.col("place")).alias("left")))
+    roots = entries.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"), F.max("left").alias("most"), F.min("size").alias("small"))
+    roots = roots.groupBy("token").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.max("most").alias("most"), F.min("small").alias("small"))
+    roots = roots.filter("roots > 1").select("token", F.col("main.root").alias("main"), "most", "small")
+    enough = lambda left, most, size, small: (up + down) * F.least(left, most) >= up * (F.col(size) + F.col(small))
+    fit = entries.join(roots, "token").filter(enough("left", "most", "size", "small")).drop("most", "small")
+    outside = fit.filter("root != main")
+    reach = outside.groupBy("token").agg(F.max("left").alias("most"), F.min("size").alias("small"))
+    inside = fit.join(reach, "token").filter((F.col("root") != F.col("main")) | enough("left", "most", "size", "small"))
+    other = inside.select("token", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"), F.col("left").alias("other_left"))
+    once = (F.col("other_root") == F.col("main")) | (F.col("node") < F.col("other"))
+    pairs = outside.join(other, "token").filter((F.col("root") != F.col("other_root")) & once & enough("left", "other_left", "size", "other_size"))
+    return pairs.select("node", "size", "other", "other_size")
+
+
+def links(close: DataFrame, shared: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(a, b): links that give all components of the pairs that are in ``close`` or share a band and have a similarity of ``least``.
+
+    ``close``: different pairs (a, b); ``shared``: a table of ``sharing``; ``sets``: node and set, of all nodes of
+    both. Each pair is decided by the whole sets. First come the pairs given and those of each node with the pivots of
+    its bands. Then, of bands whose nodes are not all of one component, the nodes of different components.
+    """
 
-    def verified(met: DataFrame) -> DataFrame:
-        pairs = met.filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    def verified(found: DataFrame) -> DataFrame:
         side = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"of_{n}"))
-        return written(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("of_a"), F.col("of_b"), least)).select("a", "b"))
+        return written(found.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("of_a"), F.col("of_b"), least)).select("a", "b"))
 
-    own = F.struct("node", "size")
-    ends = shared.groupBy("key").agg(F.array(F.min(own), F.max(own)).alias("ends")).select("key", F.explode("ends").alias("end"))
-    first = verified(shared.join(ends, "key").select("node", "size", F.col("end.node").alias("other"), F.col("end.size").alias("other_size")).filter("node != other"))
-    held = written(shared.join(components(first, "a", "b").withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "size", "key", F.coalesce("root", "node").alias("root")))
+    first = verified(close.union(met(to_pivots(shared), least)).distinct())
+    rooted = shared.join(components(first, "a", "b").withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    held = written(rooted.select("node", "size", "key", F.coalesce("root", "node").alias("root")))
     parted = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    held = held.join(parted, "key")
-    other = held.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-    return first.union(verified(held.join(other, "key").filter("node < other AND root != other_root")))
+    held = written(held.join(parted, "key").select("node", "size", "root").distinct())
+    return first.union(verified(met(crossing(held, sets, least), least)))

@@ -4,43 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.llm import jaccard
 from nearwin.llm.components import components
+from nearwin.llm.shingles import BITS, hashes, majority, shingles  # noqa: F401
 from nearwin.llm.words import Start
 from nearwin.plans.shared import small_batches, written
 
-BITS, SLICE = 64, 1 << 16
-#: A segment: its column, lowest bit and width.
-Cut = tuple[str, int, int]
-#: Wide fingerprints: four longs of 63 bits, three segments of 21 bits each.
-WIDE = ("fp", "fp1", "fp2", "fp3")
-WIDE_CUTS = [(c, low, 21) for c in WIDE for low in (0, 21, 42)]
-
-
-def shingles(text: bytes, words: int) -> list[bytes]:
-    """Runs of ``words`` words of an ASCII-lower-cased text, repeats included; the whole sequence if it is shorter."""
-    w = text.lower().split()  # on bytes: A-Z only, and at space and 09-0D only
-    if len(w) <= words:
-        return [b" ".join(w)] if w else []
-    return list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+#: A segment: its lowest bit and width.
+Cut = tuple[int, int]
 
 
 def simhash(text: bytes | None, words: int = 3) -> int:
     """64 bits, each 1 if it is set in over half the shingles' XXH64 (seed 42); 0 for a text without words."""
-    found = shingles(text or b"", words)
-    if not found:
-        return 0
-    seen = np.zeros(BITS, np.int64)
-    for at in range(0, len(found), SLICE):
-        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in found[at : at + SLICE]], dtype=">u8")
-        seen += np.unpackbits(h.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(seen * 2 > len(found)).tobytes(), "big", signed=True)
+    return majority(hashes(text, words))
 
 
 def fingerprint(text: Column, words: int = 3) -> Column:
@@ -60,56 +40,40 @@ def segments(distance: int) -> list[Cut]:
     """``distance`` // 2 + 1 segments of the 64 bits: of ``distance`` differing bits, one segment has one at most."""
     m = distance // 2 + 1
     cuts = [BITS * i // m for i in range(m + 1)]
-    return [("fp", a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(prints: DataFrame, cuts: list[Cut], *more: str) -> DataFrame:
-    """(fp, key, side) and more columns: each segment as it is (side 2), and with each of its bits deleted (side: that bit).
+def variants(prints: DataFrame, cuts: list[Cut]) -> DataFrame:
+    """(fp, key, side): each segment as it is (side 2), and with each of its bits deleted (side: that bit).
 
     A key holds the segment's number, the deleted bit's and the rest of the segment. Two fingerprints whose segments are
     equal meet in the whole segment's key; two whose segments differ in one bit meet in that bit's key, from opposite
     sides. So a pair meets once a segment, however much it has in common.
     """
     found, before = [], 0
-    for column, low, width in cuts:
-        value = F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1))
-        each = prints.select("fp", *more, value.alias("value"), F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
+    for low, width in cuts:
+        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1))
+        each = prints.select("fp", value.alias("value"), F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("bit"))
         rest = "IF(bit < 0, value, value & ~shiftleft(1L, greatest(bit, 0)))"
         key = f"shiftleft(CAST({before} + bit + 1 AS BIGINT), {width}) | {rest}" if width < 56 else f"xxhash64({before} + bit + 1, {rest})"
-        found.append(each.selectExpr("fp", *more, f"{key} AS key", "IF(bit < 0, 2, CAST(shiftright(value, greatest(bit, 0)) & 1 AS INT)) AS side"))
+        found.append(each.selectExpr("fp", f"{key} AS key", "IF(bit < 0, 2, CAST(shiftright(value, greatest(bit, 0)) & 1 AS INT)) AS side"))
         before += width + 1
     return reduce(DataFrame.union, found)
 
 
-def meetings(prints: DataFrame, cuts: list[Cut], near: int, known: str | None = None) -> DataFrame:
-    """(a, b): different ``fp`` that meet in a variant and differ in ``near`` bits or fewer, and in the column ``known``.
+def links(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b): every pair of different fingerprints, of a table of distinct ones, at ``distance`` or fewer differing bits.
 
     The equality join on keys checks each pair in its condition, so only such pairs leave it. A pair is found once for
     each segment that differs in one bit at most; repeats go.
     """
-    more = [known] if known else []
-    found = variants(prints, cuts, *more)
-    left = found.filter("side != 1").select(F.col("fp").alias("x"), *(F.col(c).alias("of_x") for c in more), "key")
-    right = found.filter("side != 0").select(F.col("fp").alias("y"), *(F.col(c).alias("of_y") for c in more), "key")
-    close = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= near) & (F.col("x") != F.col("y"))
-    close = close & (F.col("of_x") != F.col("of_y")) if known else close
+    found = variants(prints, segments(distance))
+    left = found.filter("side != 1").select(F.col("fp").alias("x"), "key")
+    right = found.filter("side != 0").select(F.col("fp").alias("y"), "key")
+    close = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance) & (F.col("x") != F.col("y"))
     return left.join(right, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def stars(prints: DataFrame, cuts: list[Cut], near: int) -> DataFrame:
-    """(a, b): pairs of each ``fp`` with the least and the greatest of those that share a whole segment, if they are near."""
-    whole = variants(prints, cuts).filter("side = 2").select("fp", "key")
-    ends = whole.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    each = whole.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("end"))
-    close = (F.col("fp") != F.col("end")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("end"))) <= near)
-    return each.filter(close).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
-
-
-def links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b): every pair of different fingerprints, of a table of distinct ones, at ``distance`` or fewer differing bits."""
-    return meetings(prints, segments(distance), distance)
-
-
 def classes(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
     """The rows of a written table (doc_id, fp, ...) with root, their component, and component_id, its smallest doc_id.
 
@@ -134,74 +98,46 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
     return classes(prints, nodes, links(nodes.select("fp"), distance)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def wide_simhash(text: bytes | None, words: int) -> tuple[int, int, int, int]:
-    """Four longs of 63 bits, each bit 1 if it is set in over half the shingles' hashes; zeros for a text without words."""
-    found = shingles(text or b"", words)
-    seen = np.zeros(4 * BITS, np.int64)
-    for at in range(0, len(found), SLICE):
-        part = found[at : at + SLICE]
-        raw = b"".join([xxhash.xxh3_128_digest(s, seed) for seed in (1, 2) for s in part])
-        seen += np.concatenate([np.unpackbits(h.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for h in np.split(np.frombuffer(raw, np.uint8), 2)])
-    longs = np.packbits(seen * 2 > max(1, len(found))).view(">u8") >> np.uint64(1)
-    return tuple(longs.tolist())
-
-
-def wide_fingerprint(text: Column, words: int) -> Column:
-    kind, start = pa.struct([(c, pa.int64()) for c in WIDE]), Start()
+def similar_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """(node, size, other, other_size): pairs of a written table (node, size, fp) that SimHashes at ``distance`` bits suggest.
 
-    @F.arrow_udf("struct<" + ", ".join(f"{c}: bigint" for c in WIDE) + ">")
-    def of(texts: pa.Array) -> pa.Array:
-        start.once()
-        made = np.array([wide_simhash(t.as_py(), words) for t in texts], np.int64).reshape(-1, 4)
-        return pa.StructArray.from_arrays([pa.array(made[:, k].copy()) for k in range(4)], fields=list(kind))
-
-    return of(text.cast("binary"))
-
-
-def wide_links(nodes: DataFrame, distance: int, near: int) -> DataFrame:
-    """(a, b): links of wide fingerprints, named by their first long, that give all components at ``distance`` of 252 bits.
-
-    Pairs at up to 2 * 12 - 1 = 23 bits all meet: one of the twelve segments differs in one bit at most. Farther pairs
-    meet if one segment does, which holds for 86 in 100 at a similarity of 0.8, 95 at 0.85 and 99 at 0.9. The joins check
-    the first long (``near`` bits of 63); those few that pass are verified on all four. Members of
-    a large group are first linked to a few of it, and only pairs of different components so far meet after that; those
-    can still be many, where the first links leave a group in parts.
+    Nodes of one fingerprint are paired with its first; the first nodes of linked fingerprints with each other.
     """
-    side = lambda n: nodes.select(*(F.col(c).alias(f"{n}_{c}") for c in WIDE))
-    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in WIDE), F.lit(0))
-
-    def verified(met: DataFrame) -> DataFrame:
-        both = met.join(side("a"), F.col("a") == F.col("a_fp")).join(side("b"), F.col("b") == F.col("b_fp"))
-        return written(both.filter(bits <= distance).select("a", "b"))
-
-    first = verified(stars(nodes, WIDE_CUTS, near))
-    roots = components(first, "a", "b")
-    held = written(nodes.join(roots, nodes.fp == roots.node, "left").select(*WIDE, F.coalesce("root", "fp").alias("root")))
-    return first.union(verified(meetings(held, WIDE_CUTS, near, "root")))
+    heads = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")))
+    same = nodes.join(heads, "fp").select("node", "size", F.col("head.node").alias("other"), F.col("head.size").alias("other_size")).filter("node != other")
+    side = lambda fp, head: heads.select(F.col("fp").alias(fp), F.col("head").alias(head))
+    near = links(heads.select("fp"), distance).join(side("a", "one"), "a").join(side("b", "two"), "b")
+    return same.unionByName(near.select("one.node", "one.size", F.col("two.node").alias("other"), F.col("two.size").alias("other_size")))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = jaccard.LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the one with the smallest id (nulls last; of repeated ids, any one).
+def one_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = jaccard.LEAST, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest id (nulls last; of repeated ids, the least by all columns).
 
     Documents are linked if their sets of shingles of ``words`` words have a similarity (Jaccard) of ``least``, a
-    fraction, or more; that is decided by the whole sets. Texts without words are one component. Columns stay as they
-    are. Only ids, hashes, bands and the sets of documents that share a band are written; ``docs`` is read again for the
-    sets and for the rows kept, known by id and hash of the text, of which a repeated row is one. Empty table: no rows.
+    fraction, or more; that is decided by the whole sets. Close copies are found by SimHashes of those shingles at
+    ``distance`` bits, through deletion variants; the segments of one that would meet at a similarity of 0.8 also meet a
+    share of all documents, so pairs farther apart are found by bands of minima. Texts without words are one component.
+    Columns stay as they are. Only ids, hashes, bands and the sets of documents that share a band or a near SimHash are
+    written; ``docs`` is read again for the sets and for the rows kept, known by id and hash of the text, of which a
+    repeated row is one. Empty table: no rows.
     """
     place = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")]
     prints = written(small_batches(docs).select(*place, jaccard.sketch(F.col(text_col), words).alias("print")).select("doc_id", "hash", "print.*"))
-    nodes = written(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("kept"), F.min("size").alias("size"), F.min("bands").alias("bands")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
+    nodes = written(prints.groupBy("node").agg(first.alias("kept"), *(F.min(c).alias(c) for c in ("size", "fp", "bands"))))
     shared = jaccard.sharing(nodes)
+    close = written(jaccard.met(similar_pairs(nodes.select("node", "size", "fp"), distance), least))
 
     def read_again(wanted: DataFrame, how: str, *columns: Column) -> DataFrame:
         wanted = wanted.withColumns({"kept_id": F.col("kept.doc_id"), "kept_hash": F.col("kept.hash")}).drop("kept")
         return docs.select(*columns, *place).join(wanted, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), how)
 
-    texts = read_again(nodes.select("node", "kept").join(shared.select("node").distinct(), "node"), "inner", F.col(text_col).alias("__text"))
+    asked = shared.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    texts = read_again(nodes.select("node", "kept").join(asked, "node"), "inner", F.col(text_col).alias("__text"))
     sets = written(texts.dropDuplicates(["node"]).select("node", jaccard.whole_set(F.col("__text"), words).alias("set")))
-    roots = components(jaccard.links(shared, sets, least), "a", "b").withColumnRenamed("node", "of")
+    roots = components(jaccard.links(close, shared, sets, least), "a", "b").withColumnRenamed("node", "of")
     kept = nodes.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))
     rows = read_again(kept.select("kept"), "left_semi", F.struct(*docs.columns).alias("row"))
     if not prints.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "hash"])
+        rows = rows.groupBy("doc_id", "hash").agg(F.min("row").alias("row"))
     return rows.select("row.*")

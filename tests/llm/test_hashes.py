@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nearwin.llm import fingerprints, sharding, simhash
+from nearwin.llm import fingerprints, jaccard, sharding, simhash
 from nearwin.llm.components import components
 from tests.llm import nasty
 
@@ -150,44 +150,72 @@ def test_empty_table(spark, f):
     assert f(nasty.frame(spark, [])).count() == 0
 
 
-def brute_wide(text, k):
-    """252 bits by plain counting."""
-    found, out = simhash.shingles((text or "").encode(), k), []
-    hashes = [[int.from_bytes(xxhash.xxh3_128_digest(s, seed), "big") for s in found] for seed in (1, 2)]
-    for h in hashes:
-        for half in (127, 63):  # the lowest bit of each 64 is left out
-            out += [sum(x >> b & 1 for x in h) * 2 > max(1, len(h)) for b in range(half, half - 63, -1)]
-    return sum(b << i for i, b in enumerate(reversed(out)))
+def plain_shingles(text, k):
+    """The set of runs of k words, by a plain split at the six signs of white space."""
+    w, word = [], ""
+    for c in (text or "").translate({c: c + 32 for c in range(65, 91)}) + " ":
+        if c in " \t\n\x0b\x0c\r":
+            w, word = w + [word] * bool(word), ""
+        else:
+            word += c
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)] if w else [])
 
 
-def test_wide_fingerprint():
-    rng = random.Random(3)
-    for text in [None, "", "one", *(nasty.words(rng, n) for n in (4, 5, 6, 90))]:
-        longs = simhash.wide_simhash(None if text is None else text.encode(), 5)
-        assert sum(x << 63 * (3 - i) for i, x in enumerate(longs)) == brute_wide(text, 5)
+def similar_groups(texts, k=5):
+    """Each text's group: all pairs whose sets of shingles have a Jaccard similarity of 0.8 or more, or are equal."""
+    sets = [plain_shingles(t, k) for t in texts]
+    root = list(range(len(sets)))
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets[:a]):
+            if s == t or 5 * len(s & t) >= 4 * len(s | t):
+                root[find(a)] = find(b)
+    return [find(i) for i in range(len(sets))]
 
-def test_wide_links_within_the_guarantee(spark):
-    rng = random.Random(11)
-    base = [rng.getrandbits(252) for _ in range(5)]
-    prints = list({b ^ sum(1 << i for i in rng.sample(range(252), rng.randrange(14))) for b in base for _ in range(25)})
-    rows = [[p >> 63 * (3 - i) & (1 << 63) - 1 for i in range(4)] for p in prints]
-    links = simhash.wide_links(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in simhash.WIDE)), 23, 63)
-    got = {r["node"]: r["root"] for r in components(links, "a", "b").collect()}
-    of, first = groups(prints, 23), [p >> 189 for p in prints]
-    least = {g: min(f for f, h in zip(first, of, strict=True) if h == g) for g in set(of)}
-    assert got == {f: least[g] for f, g in zip(first, of, strict=True) if f != least[g]}
-    assert links.count() < 24 * len(prints) < len({(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 23}) * 100
+
+def first_of_each(rows, k=5):
+    """The smallest id of each group of (id, text); None only if a group has no other."""
+    of = similar_groups([t for _, t in rows], k)
+    return [min((i for (i, _), h in zip(rows, of, strict=True) if h == g and i is not None), default=None) for g in set(of)]
 
 
 def test_one_of_each(spark):
     df = nasty.frame(spark)
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns
-    rows = [(r[0], r[1]) for r in nasty.rows()]
-    of = groups([brute_wide(t, 5) for _, t in rows], 40)
-    least = [min((i for (i, _), h in zip(rows, of, strict=True) if h == g and i is not None), default=None) for g in set(of)]
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first_of_each([(r[0], r[1]) for r in nasty.rows()]))
+
+
+def test_repeated_rows_that_differ_elsewhere_give_one_row_every_time(spark):
+    rows = [(1, "a b c d e f", f"s{i % 7}") for i in range(50)] + [(2, "x y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 3, 8):
+        assert sorted(map(tuple, simhash.one_of_each(df.repartition(n)).collect())) == [(1, "a b c d e f", "s0"), (2, "x y", None)]
+
+
+@pytest.mark.parametrize("most", [0, 3, 9])
+def test_crossing_finds_all_similar_pairs_of_different_roots(spark, most):
+    """Against all pairs: groups around common sets, with roots that join parts of them; a hot root takes half of all."""
+    rng = random.Random(most)
+    sets, rooted = [], []
+    for g in range(4):
+        base = rng.sample(range(10**6), 60)
+        for i in range(40):
+            s = set(base) - set(rng.sample(base, rng.randrange(most + 1))) | {rng.randrange(10**6) for _ in range(rng.randrange(most + 1))}
+            sets.append(frozenset(s if i % 9 else list(s)[: rng.randrange(1, 60)]))
+            rooted.append(g * 1000 + (0 if i % 2 else i))
+    sets, rooted = zip(*dict(zip(sets, rooted, strict=True)).items(), strict=True)
+    held = spark.createDataFrame([(i, len(s), r) for i, (s, r) in enumerate(zip(sets, rooted, strict=True))], "node long, size int, root long")
+    whole = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, set array<bigint>")
+    got = {tuple(sorted((r["node"], r["other"]))) for r in jaccard.crossing(held, whole, (4, 5)).collect()}
+    alike = lambda s, t: 5 * len(s & t) >= 4 * len(s | t)
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if rooted[a] != rooted[b] and alike(sets[a], sets[b])}
+    assert want <= got and len(got) <= max(40, 4 * len(want)) and (want or not most)
 
 
 def test_near_copies_go_and_others_stay(spark):
