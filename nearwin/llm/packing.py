@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,68 +19,106 @@ from nearwin.plans.ordering import running_total
 from nearwin.plans.shared import small_batches, written
 
 CAPACITY = 4096
-#: Lengths priced in one knapsack, and configurations of the program at most; what they leave is packed by best fit.
-PRICED, MOST_CONFIGS, ETA, SEED = 128, 3_000, 0.25, 11
+#: Knapsacks that price the program's columns; a price falls by exp(-ETA x) as the share x of a length is covered.
+ROUNDS, ETA = 64, 2.0
+#: Prices are blurred by so much before a knapsack, and a column is taken if its value is as near to the best.
+BLUR = 0.02
+#: A column waits for the next prices when one of its lengths has under this part of the share that all lengths have left.
+HELD = 0.5
+SEED = 11
 #: Pieces of a length that are ranked in one slice, about.
 SLICE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def knapsack(lengths: list[int], most: list[int], values: list[float], capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths that fits: dynamic programming, numbers of copies in powers of two."""
-    items = []
-    for k, (length, n) in enumerate(zip(lengths, most, strict=True)):
-        n, size = min(n, capacity // length), 1
-        while n > 0:
-            items.append((k, min(size, n)))
-            n, size = n - size, size * 2
-    best, chosen = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
-    for i, (k, copies) in enumerate(items):
-        w = lengths[k] * copies
-        with_it = best[: capacity + 1 - w] + values[k] * copies
-        np.greater(with_it, best[w:], out=chosen[i, w:])
-        best[w:] = np.maximum(with_it, best[w:])
-    at, out = int(np.argmax(best)), defaultdict(int)
-    for i in range(len(items) - 1, -1, -1):
-        if chosen[i, at]:
-            k, copies = items[i]
-            out[lengths[k]] += copies
-            at -= lengths[k] * copies
-    return dict(out)
+@dataclass
+class Program:
+    """A fractional solution of the configuration program.
+
+    ``columns``: sequences of each configuration, a sorted tuple of lengths. ``open``: how much of each length no column
+    has. ``bound``: no packing has fewer sequences, by the best prices found (the dual program's value).
+    """
+
+    columns: dict[tuple[int, ...], float]
+    open: dict[int, float]
+    bound: float
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value that fits into each room up to ``capacity``, and the length to put there first (0: leave one free)."""
+    best, first = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        value = best[room - lengths[: upto[room]]] + prices[: upto[room]]
+        at = int(value.argmax()) if len(value) else 0
+        found = len(value) and value[at] > best[room - 1]
+        best[room], first[room] = (value[at], lengths[at]) if found else (best[room - 1], 0)
+    return best, first
+
+
+def through(lengths: np.ndarray, first: np.ndarray, capacity: int) -> np.ndarray:
+    """For each length, a row with it and what fills the rest of a sequence best; zeros stand for room left free."""
+    room, columns = capacity - lengths, [lengths]
+    while (room > 0).any():
+        item = first[room]
+        columns.append(item)
+        room = room - np.where(item > 0, item, np.minimum(room, 1))
+    return np.stack(columns, axis=1)
+
+
+def program(counts: dict[int, int], capacity: int = CAPACITY) -> Program:
+    """The covering program over all lengths below ``capacity``, solved by multiplicative weights.
+
+    A length's price is its share of a sequence times a weight that falls exponentially as the length gets covered. One
+    dynamic program over all lengths prices every room, and so gives the best configuration through each length. Those
+    near the best of all are taken for half of what their scarcest length has left, in fractions. Prices that no
+    configuration exceeds bound the program from below: each price vector does, scaled by its knapsack's value.
+    """
+    lengths = np.array(sorted(k for k, n in counts.items() if n and k < capacity), np.int64)
+    n = np.array([counts[k] for k in lengths.tolist()], float)
+    whole = counts.get(capacity, 0)
+    found = Program({(capacity,): float(whole)} if whole else {}, {}, float(whole))
+    if not len(lengths):
+        return found
+    rng, total, place = np.random.default_rng(SEED), float((n * lengths).sum()), {k: i for i, k in enumerate(lengths.tolist())}
+    left, columns = n.copy(), defaultdict(float)
+    for turn in range(ROUNDS):
+        share = float((left * lengths).sum()) / total
+        prices = lengths / capacity * np.exp(ETA * (left / n - share)) * rng.uniform(1 - BLUR * (turn > 0), 1, len(lengths))
+        best, first = knapsack(lengths, prices, capacity)
+        found.bound = max(found.bound, whole + float((prices * n).sum()) / best[capacity])
+        value = prices + best[capacity - lengths]
+        rows = through(lengths, first, capacity)
+        for at in np.argsort(-value, kind="stable"):
+            if value[at] < (1 - BLUR) * best[capacity]:
+                break
+            uses = [(place[k], c) for k, c in Counter(x for x in rows[at].tolist() if x).items()]
+            if any(left[i] < HELD * share * n[i] or left[i] <= 0 for i, _ in uses):
+                continue
+            times = min(left[i] / c for i, c in uses) / 2
+            for i, c in uses:
+                left[i] -= c * times
+            columns[tuple(sorted(x for x in rows[at].tolist() if x))] += times
+    found.columns |= columns
+    found.open = {k: float(x) for k, x in zip(lengths.tolist(), left, strict=True)}
+    return found
 
 
 def configurations(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """(number of sequences, {length: copies in each}) that hold every length of ``counts`` as often as it occurs.
 
-    The covering program asks for the fewest configurations that hold all lengths. A length's price is its share of a
-    sequence times a multiplicative weight that falls as the length gets covered; pricing fills one sequence with the
-    most valuable lengths; the configuration found is taken for half of what its scarcest length has left, rounded down
-    to whole sequences (one at least), and the weights follow. A knapsack prices PRICED lengths, drawn by the tokens
-    they have left. What remains after MOST_CONFIGS configurations, or when it is too little to fill sequences, is
-    rounded: packed longest first, each into the fullest sequence that has room.
+    The program's columns are rounded from the most frequent on, each to whole sequences with what the ones before have
+    lost, as far as there are pieces left and the sequences are nearly full. What remains is packed by best fit.
     """
-    rng, out = np.random.default_rng(SEED), []
-    n = np.zeros(capacity + 1, np.int64)
-    for length, count in counts.items():
-        n[length] = count
-    if n[capacity]:
-        out.append((int(n[capacity]), {capacity: 1}))
-        n[capacity] = 0
-    left, sizes = n.copy(), np.arange(capacity + 1)
-    while len(out) < MOST_CONFIGS and (left * sizes).sum() >= 2 * capacity:
-        mass = left * sizes
-        some = np.flatnonzero(mass)
-        if len(some) > PRICED:
-            some = np.sort(rng.choice(some, PRICED, replace=False, p=mass[some] / mass[some].sum()))
-        weight = np.exp(ETA * left[some] / n[some])
-        config = knapsack(some.tolist(), left[some].tolist(), (some * weight).tolist(), capacity)
-        if sum(k * c for k, c in config.items()) < capacity - capacity // 64:
-            break
-        times = max(1, min(int(left[k]) // c for k, c in config.items()) // 2)
-        for k, c in config.items():
-            left[k] -= c * times
-        out.append((times, config))
-    return out + best_fit({int(k): int(left[k]) for k in np.flatnonzero(left)}, capacity)
+    left, out, carry = Counter({k: n for k, n in counts.items() if n}), [], 0.0
+    for column, times in sorted(program(counts, capacity).columns.items(), key=lambda c: (-c[1], c[0])):
+        uses, carry = Counter(column), carry + times
+        whole = min(math.floor(carry + 1e-6), *(left[k] // c for k, c in uses.items()))
+        carry -= math.floor(carry + 1e-6)
+        if whole and sum(column) >= capacity - capacity // 64:
+            out.append((whole, dict(uses)))
+            left.subtract({k: c * whole for k, c in uses.items()})
+    return out + best_fit({k: n for k, n in left.items() if n}, capacity)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -161,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     rows = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(slices, F.col("length").cast("int"))).cast("int"))
     ranked = running_total(rows, ["length"], "slice", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], {}, "rank")
     to = spark.createDataFrame(places(configurations(counts, capacity)), "len long, low long, high long, first long, copies int, at int")
-    # at most MOST_CONFIGS configurations and a best fit of capacity lengths: megabytes, for any number of documents
+    # at most ROUNDS columns a length and a best fit of capacity lengths: megabytes, for any number of documents
     put = ranked.join(F.broadcast(to), (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     inside = F.col("rank") - F.col("low")
     return put.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor(inside / F.col("copies"))).alias("sequence_id"), (F.col("at") + inside % F.col("copies") * F.col("length")).cast("long").alias("offset"))

@@ -12,7 +12,9 @@ from hypothesis import strategies as st
 
 from nearwin.llm import arrowstream, packing
 from nearwin.llm.queries import tokenizer_path
+from nearwin.llm.tables import table
 from nearwin.llm.tokens import encoder
+from tests.conftest import DATA
 from tests.llm import nasty
 
 SIGNS = "abcXYZ'st 0123  ́é\n\t\x0b\x1c\x85.!?<|endoftext|>ΣßİǅÅ漢字🙂‍​#$%&*)ªºⅷ²"
@@ -96,17 +98,34 @@ def test_pack(spark):
 
 
 def test_knapsack_is_optimal():
+    """Each room's value against all multisets of lengths, and the rows through each length against the value."""
     rng = random.Random(5)
     for _ in range(30):
-        lengths = sorted(rng.sample(range(1, 12), 4))
-        most, values = [rng.randrange(1, 4) for _ in lengths], [rng.random() for _ in lengths]
-        got = packing.knapsack(lengths, most, values, 20)
-        best = 0.0
-        grid = np.stack(np.meshgrid(*(np.arange(m + 1) for m in most), indexing="ij")).reshape(4, -1)
-        fit = (np.array(lengths) @ grid) <= 20
-        best = (np.array(values) @ grid)[fit].max()
-        assert sum(k * c for k, c in got.items()) <= 20
-        assert sum(values[lengths.index(k)] * c for k, c in got.items()) == pytest.approx(best)
+        lengths = np.array(sorted(rng.sample(range(2, 12), 4)))
+        prices = np.array([rng.random() for _ in lengths])
+        best, first = packing.knapsack(lengths, prices, 20)
+        grid = np.stack(np.meshgrid(*(np.arange(20 // k + 1) for k in lengths), indexing="ij")).reshape(4, -1)
+        for room in range(21):
+            assert best[room] == pytest.approx((prices @ grid)[lengths @ grid <= room].max())
+        for at, row in enumerate(packing.through(lengths, first, 20)):
+            assert row[0] == lengths[at] and row.sum() <= 20
+            assert sum(prices[list(lengths).index(k)] for k in row if k) == pytest.approx(prices[at] + best[20 - lengths[at]])
+
+
+def test_program_is_fractional_and_bounded(spark):
+    """Columns and what is open are all pieces; the bound is under the sequences, and within 1 % of them on real lengths."""
+    lengths = packing.token_pieces(table(spark, DATA.replace("sf0.001", "sf0.01"), "documents"), tokenizer_path(), 1, 4096, "doc_id", "text").groupBy("length").count()
+    counts = {r["length"]: r["count"] for r in lengths.collect()}
+    found, held = packing.program(counts), Counter()
+    for column, times in found.columns.items():
+        assert times > 0 and sum(column) <= 4096
+        for k in column:
+            held[k] += times
+    for k, n in counts.items():
+        assert held[k] + found.open.get(k, 0) == pytest.approx(n)
+    assert sum(found.columns.values()) > 0.05 * found.bound
+    sequences = sum(times for times, _ in packing.configurations(counts))
+    assert found.bound <= sequences <= 1.01 * found.bound + 1
 
 
 @settings(max_examples=40, deadline=None)
@@ -120,4 +139,4 @@ def test_configurations_hold_everything(counts):
             held[k] += c * times
     assert held == Counter(counts)
     lower = max(-(-sum(k * n for k, n in counts.items()) // 64), sum(n for k, n in counts.items() if k > 32))
-    assert bins <= 1.5 * lower + 2
+    assert bins <= 1.5 * lower + 2 and packing.program(counts, 64).bound <= bins + 1e-6
