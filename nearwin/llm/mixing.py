@@ -96,17 +96,18 @@ def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """
     n = rows.count()
     slices = max(1, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
-    known = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])  # a row a source
+    known = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     mixed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     known = known.withColumn("mixed", mixed).withColumn("slice", F.floor(F.conv(F.substring("mixed", 1, 6), 16, 10).cast("long") * slices / F.lit(1 << 24)).cast("int"))
     return running_total(known, ["src"], "slice", [F.col("mixed"), F.col("doc_id"), F.col("crc")], {"word_start": "size"}).drop("mixed", "slice")
 
 
 def takes(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A written table (doc_id, source, size, crc, ...) with src, source_size, target, word_start, and taken in words.
+    """A written table (doc_id, source, size, crc, ...) with src, source_size, target, word_start, taken, first_slot and passes.
 
     Each source's shuffled words are cut into blocks of ``block`` words; a slot takes the block of its rank, and starts
-    the source again after its last. Documents are joined to slots by the pieces that they have in each block.
+    the source again after its last. Documents are joined to slots by the pieces that they have in each block: passes
+    has, for each pass over the source, the first slot that takes words of the document and how many are taken.
     """
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("size"))))
     at = written(placed(rows, sources))
@@ -115,14 +116,19 @@ def takes(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     pieces = sized.select("src", "word_start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low = F.greatest(F.col("word_start"), F.col("block") * block)
     pieces = pieces.select("src", "word_start", "block", low.alias("low"), F.least(F.col("word_start") + F.col("size"), (F.col("block") + 1) * block).alias("high"))
-    slots = schedule(sources, block).join(F.broadcast(sources.select("src", "source_size", "target")), "src")
+    slots = schedule(sources, block).join(sources.select("src", "source_size", "target"), "src")
     blocks = F.ceil(F.col("source_size") / F.lit(block))
-    turn = F.floor(F.col("rank") / blocks)
-    slots = slots.select("src", F.pmod("rank", blocks).alias("block"), (F.floor(F.col("target") + 0.5) - turn * F.col("source_size")).alias("end"))
-    got = pieces.join(slots, ["src", "block"]).select("src", "word_start", F.greatest(F.least("high", "end") - F.col("low"), F.lit(0)).alias("got"))
-    got = got.groupBy("src", "word_start").agg(F.sum("got").alias("taken"))
-    some = sized.join(got, ["src", "word_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return some.unionByName(at.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    slots = slots.withColumn("turn", F.floor(F.col("rank") / blocks))
+    slots = slots.select("src", "slot", "turn", F.pmod("rank", blocks).alias("block"), (F.floor(F.col("target") + 0.5) - F.col("turn") * F.col("source_size")).alias("end"))
+    got = pieces.join(slots, ["src", "block"]).select("src", "word_start", "slot", "turn", F.greatest(F.least("high", "end") - F.col("low"), F.lit(0)).cast("long").alias("got")).filter("got > 0")
+    turns = range(MOST_TIMES + 1)  # a target over twice the source by rounding alone begins one pass more
+    got = got.groupBy("src", "word_start").agg(*(f(F.when(F.col("turn") == k, F.col(c))).alias(f"{c}_{k}") for k in turns for c, f in (("slot", F.min), ("got", F.sum))))
+    passes = F.filter(F.array(*(F.struct(F.col(f"slot_{k}").alias("slot"), F.col(f"got_{k}").alias("got")) for k in turns)), lambda p: p["got"] > 0)
+    some = sized.join(got.select("src", "word_start", passes.alias("passes")), ["src", "word_start"], "left")
+    rest = F.array().cast("array<struct<slot: bigint, got: bigint>>")
+    every = some.withColumn("passes", F.coalesce("passes", rest)).unionByName(at.filter("size = 0").withColumn("passes", rest))
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda n, p: n + p["got"])
+    return every.withColumns({"taken": taken, "first_slot": F.array_min(F.transform("passes", lambda p: p["slot"]))})
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
@@ -130,28 +136,32 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more
 
 
 def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of ``docs``.
+    """doc_id, size, source_size, target, taken and first_slot (null: not taken) of every row of ``docs``.
 
     Every source's taken words are its rounded target. Null and empty texts: size 0, nothing taken. Null sources are one
     source, the last. Equal ids of a source are ordered by the crc32 of the text; repeated rows keep a row each. All
     sizes 0: targets 0. Empty table: no rows. Other columns are not looked at.
     """
-    return takes(written(measured(docs, id_col, text_col, source_col)), block).select("doc_id", "size", "source_size", "target", "taken")
+    return takes(written(measured(docs, id_col, text_col, source_col)), block).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixture(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a document once for each pass that takes it.
+    """The mix as rows with the columns of ``docs``, in the schedule's order: a document once for each pass that takes it.
 
-    A text that a pass takes in part, at most one a source, is cut after its last word taken. Texts without words are
-    in no mix. An n_chars column follows the text.
+    A document stands at the first slot that takes words of it. Partitions hold ranges of slots, equal in number, so
+    every stretch of the mix is near the target weights. A text that a pass takes in part, at most one a source, is cut
+    after its last word taken. Texts without words are in no mix. An n_chars column follows the text.
     """
+    spark = docs.sparkSession
     held = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")))
     rows = written(measured(held.select(F.col("row.*"), F.col("at").alias("__at")), id_col, text_col, source_col, F.col("__at").alias("at")))
-    took = takes(rows, block).filter("taken > 0").select(F.col("at").alias("took_at"), "size", "taken")
-    each = held.join(took, held.at == took.took_at).select("row.*", F.col("size").alias("__size"), F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))).alias("__pass"), F.col("taken").alias("__taken"))
-    words = F.least(F.col("__size"), F.col("__taken") - F.col("__pass") * F.col("__size"))
-    cut = F.array_join(F.slice(F.filter(F.split(text_col, SPACE + "+"), lambda w: w != ""), F.lit(1), words.cast("int")), " ")
-    out = each.withColumn(text_col, F.when(words < F.col("__size"), cut).otherwise(F.col(text_col)))
+    took = written(takes(rows, block).select(F.col("at").alias("took_at"), "size", "word_start", F.explode("passes").alias("pass")).select("took_at", "size", "word_start", "pass.*"))
+    slots = (took.agg(F.max("slot")).first()[0] or 0) + 1
+    each = held.join(took, held.at == took.took_at).select("row.*", *(F.col(c).alias(f"__{c}") for c in ("size", "word_start", "slot", "got")))
+    cut = F.array_join(F.slice(F.filter(F.split(text_col, SPACE + "+"), lambda w: w != ""), F.lit(1), F.col("__got").cast("int")), " ")
+    out = each.withColumn(text_col, F.when(F.col("__got") < F.col("__size"), cut).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartitionById(parts, F.floor(F.col("__slot") * parts / F.lit(slots)).cast("int"))
+    return out.sortWithinPartitions("__slot", "__word_start").select(*docs.columns)

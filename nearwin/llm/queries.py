@@ -55,7 +55,8 @@ def op4_progressive_jpeg(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op2_sharding, op6_arrow_stream, op7_simhash, op9_langid, op3_toxicity, op8_mixing, op5_sentence_spans, op10_packing, op1_multiset_hash, op4_progressive_jpeg)}
 
-#: For op8: targets by the level of words per unit of weight, and what each pass over a source takes of a document.
+#: For op8: targets by the level of words per unit of weight, the golden-ratio slots of 256 words, and what each pass over
+#: a source takes of a document (by its place among the source's shuffled words) and in which slot first.
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -67,15 +68,38 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(room) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(room::DOUBLE, (SELECT arg_min(level, (ratio, src)) FROM l WHERE level <= ratio) * weight) AS target FROM l
+  SELECT src, source, source_size, least(room::DOUBLE, (SELECT arg_min(level, (ratio, src)) FROM l WHERE level <= ratio) * weight) AS target FROM l
+), u AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS words, ceil(source_size / 256)::BIGINT AS blocks, sum(target) OVER () AS total FROM t
+), k AS (
+  SELECT *, CASE WHEN words > source_size AND source_size > 0
+      THEN words // source_size * blocks + ceil(words % source_size / 256)::BIGINT ELSE ceil(words / 256)::BIGINT END AS need,
+    sum(target / total) OVER (ORDER BY src) AS upto FROM u
+), g AS (
+  SELECT i AS slot, ((i // 1048576) * (0.6180339887498949::DOUBLE * 1048576 % 1.0) + (i % 1048576) * 0.6180339887498949::DOUBLE) % 1.0 AS point
+  FROM range((SELECT sum(need)::BIGINT FROM k)) AS r(i)
+), drawn AS (
+  SELECT slot, (SELECT count(*) FROM k WHERE upto <= point AND src < (SELECT max(src) FROM k)) AS src FROM g
+), ranked AS (
+  SELECT src, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM drawn
+), slots AS (
+  SELECT src, slot, rank FROM ranked JOIN k USING (src) WHERE rank < need
+  UNION ALL
+  SELECT src, (SELECT sum(need)::BIGINT FROM k), unnest(range(have, need)) FROM (
+    SELECT src, need, (SELECT count(*) FROM ranked r WHERE r.src = k.src) AS have FROM k)
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5) AS words,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead_words
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.size, k.src, k.source_size, k.target, k.words, k.blocks,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lead_words
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+), f AS (
+  SELECT p.doc_id, min(slot) AS first_slot
+  FROM p JOIN slots ON p.src = slots.src AND rank % blocks BETWEEN lead_words // 256 AND (lead_words + size - 1) // 256
+  WHERE size > 0 AND greatest(lead_words, rank % blocks * 256) < words - rank // blocks * source_size
+  GROUP BY p.doc_id
 )
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, words - lead_words)) + greatest(0, least(size, words - source_size - lead_words)))::BIGINT AS taken
-FROM p
+  (greatest(0, least(size, words - lead_words)) + greatest(0, least(size, words - source_size - lead_words)))::BIGINT AS taken, first_slot
+FROM p LEFT JOIN f USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL}

@@ -5,16 +5,18 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearwin.llm import mixing, spans
+from nearwin.llm.queries import OP8_SQL
 from nearwin.llm.tables import table
 from nearwin.plans.shared import written
 from tests.conftest import DATA
 from tests.llm import nasty
-from tests.llm.test_hashes import brute_wide, groups
+from tests.llm.test_hashes import first_of_each
 
 
 def brute_spans(rows):
@@ -108,7 +110,7 @@ def test_schedule_is_low_discrepancy(spark):
 
 def test_mix_edges(spark):
     assert mixing.mix(nasty.frame(spark, [])).count() == 0
-    assert [tuple(r) for r in mixing.mix(nasty.docs(spark, ["", None])).orderBy("doc_id").collect()] == [(0, 0, 0, 0.0, 0), (1, 0, 0, 0.0, 0)]
+    assert [tuple(r) for r in mixing.mix(nasty.docs(spark, ["", None])).orderBy("doc_id").collect()] == [(0, 0, 0, 0.0, 0, None), (1, 0, 0, 0.0, 0, None)]
     plan = mixing.mix(nasty.frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -122,6 +124,35 @@ def test_mixture_rows_hold_the_taken_words(spark):
     assert rows.filter("n_chars <> char_length(text)").count() == 0
 
 
+def test_mixture_follows_the_schedule(spark):
+    """Rows in the order of their slots, and every stretch from the start near the target shares of words."""
+    rng = random.Random(13)
+    df = nasty.docs(spark, [nasty.words(rng, rng.randrange(1, 60)) for _ in range(900)], source=[rng.choice("xxxyz") for _ in range(900)])
+    rows = mixing.mixture(df, 16).collect()
+    first = {r["doc_id"]: r for r in mixing.mix(df, 16).collect()}
+    slots, seen = [], Counter()
+    for r in rows:
+        slots += [first[r["doc_id"]]["first_slot"]] if not seen[r["doc_id"]] else []
+        seen[r["doc_id"]] += 1
+    assert slots == sorted(slots) and {i for i, r in first.items() if r["first_slot"] is not None} == set(seen)
+    targets = {r["source"]: r["target"] for r in mixing.targets(written(mixing.measured(df, "doc_id", "text", "source")).groupBy("source").agg(F.sum("size").alias("size"))).collect()}
+    total, words = sum(targets.values()), Counter()
+    for r in rows:
+        words[r["source"]] += len(r["text"].split())
+        assert all(abs(words[s] - sum(words.values()) * t / total) < 16 * 8 + 120 for s, t in targets.items())
+
+
+def test_sql_of_the_mix(spark):
+    """Also targets that need more than a pass, and blocks that a short last pass ends in."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = sorted(con.sql(OP8_SQL).fetchall())
+    got = sorted(tuple(r) for r in mixing.mix(table(spark, DATA, "documents")).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3]) and a[4:] == b[4:]
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, DATA, "documents")
     columns, before = docs.columns, docs.count()
@@ -131,12 +162,7 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns, name
         if name == "simhash near-dedup":
             rows = sorted((r["doc_id"], r["text"]) for r in given.collect())
-            prints = [brute_wide(t, 5) for _, t in rows]
-            first = {}
-            for (i, _), g in zip(rows, groups(prints, 40), strict=True):
-                first.setdefault(g, i)
-            missed = {r["doc_id"] for r in docs.collect()} ^ set(first.values())
-            assert len(missed) <= 0.02 * len(rows)  # links beyond the guaranteed distance are found with a probability
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(first_of_each(rows))
         if name == "substring dedup":
             rows = sorted((r["doc_id"], r["text"]) for r in given.collect())
             left = {i: "".join(p for k, p in enumerate(parts) if k not in gone) for (i, _), (_, gone, parts) in zip(rows, brute_spans(rows), strict=True)}
