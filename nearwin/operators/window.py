@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwin.functions.distance import nominal_difference
+from nearwin.functions.distance import nominal_difference, normal_difference
 from nearwin.operators.knn import ranked
 from nearwin.operators.ranges import windowed
 from nearwin.plans.shared import written
@@ -28,8 +28,8 @@ def members(at: DataFrame, queries: DataFrame, size: int) -> DataFrame:
 def window_nearest(df: DataFrame, spec: FeatureSpec, size: int, k: int, keep: str = "true") -> DataFrame:
     """(qid, id, d2, rank, label): the k nearest of the ``size`` rows before each row, once there are so many.
 
-    Ranges come from those rows alone; an attribute without width there adds nothing. Values must not be missing.
-    ``keep`` is a condition on the rows that are asked. Equal distances: the smaller id first.
+    Ranges come from the values seen in those rows alone; an attribute without width there adds nothing. Missing values
+    differ as in ``normal_difference``: both missing by 1, one by as far as the range lets the other be. ``keep`` is a condition on the rows that are asked. Equal distances: the smaller id first.
     """
     low, high = (lambda c: f"low_{c}"), (lambda c: f"high_{c}")
     bounds = {low(c): F.min(c) for c in spec.numeric} | {high(c): F.max(c) for c in spec.numeric} | {"held": F.count(F.lit(1))}
@@ -39,8 +39,8 @@ def window_nearest(df: DataFrame, spec: FeatureSpec, size: int, k: int, keep: st
 
     def scaled(name: str, c: str):
         width = F.col(high(c)) - F.col(low(c))
-        return F.when(width > 0, (F.col(name) - F.col(low(c))) / width).otherwise(0.0)
+        return F.when(width > 0, (F.col(name) - F.col(low(c))) / width).when(F.col(name).isNotNull(), 0.0)
 
-    parts = [scaled(f"q_{c}", c) - scaled(c, c) for c in spec.numeric] + [nominal_difference(F.col(f"q_{c}"), F.col(c)) for c in spec.nominal]
+    parts = [normal_difference(scaled(f"q_{c}", c), scaled(c, c)) for c in spec.numeric] + [nominal_difference(F.col(f"q_{c}"), F.col(c)) for c in spec.nominal]
     d2 = reduce(lambda s, d: s + d * d, parts[1:], parts[0] * parts[0])
     return ranked(members(rows, asked, size).select("qid", "id", d2.alias("d2"), "label"), k)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, knn, ranges, spacetree
+from nearwin.operators import approx, knn, ranges, spacetree, window
 from nearwin.spec import FeatureSpec
 from nearwin.streaming.window import squared
 
@@ -134,3 +134,33 @@ def test_stream_distance_has_the_same_rules():
         got = squared(x, x[q])
         want = [plain(rows[q], (*r[:3], rows[q][3] or "?", r[4]), limits) - (0.0 if rows[q][3] else 1.0) for r in rows]
         assert got == pytest.approx(want)
+
+
+def test_window_with_missing_values(spark):
+    """Neighbours among the rows before, with gaps in every attribute, against plain Python."""
+    rng = random.Random(17)
+    gap = lambda v: None if rng.random() < 0.3 else v
+    rows = [(i, gap(rng.random() * 9), gap(float(rng.randrange(3))), gap(rng.choice("ab")), "l") for i in range(60)]
+    rows[20:32] = [(i, None, 1.0, "a", "l") for i in range(20, 32)]
+    spec = FeatureSpec(("x", "y"), ("n",), "label", "id")
+    got = window.window_nearest(spark.createDataFrame(rows, "id long, x double, y double, n string, label string"), spec, 8, 3).collect()
+
+    def between(a, b, seen):
+        low, high = (min(seen), max(seen)) if seen else (0, 0)
+        a, b = (v if v is None else (v - low) / (high - low) if high > low else 0.0 for v in (a, b))
+        if a is None and b is None:
+            return 1.0
+        if a is None or b is None:
+            v = b if a is None else a
+            return 1 - v if v < 0.5 else v
+        return a - b
+
+    want = []
+    for q in range(8, 60):
+        past, found = rows[q - 8 : q], []
+        for r in past:
+            d = [between(rows[q][c], r[c], [p[c] for p in past if p[c] is not None]) for c in (1, 2)]
+            d.append(0.0 if rows[q][3] is not None and rows[q][3] == r[3] else 1.0)
+            found.append((sum(v * v for v in d), r[0]))
+        want += [(q, i, pytest.approx(d2), k) for k, (d2, i) in enumerate(sorted(found)[:3], 1)]
+    assert sorted((r["qid"], r["id"], r["d2"], r["rank"]) for r in got) == sorted(want, key=lambda w: (w[0], w[1]))
