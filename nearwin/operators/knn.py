@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearwin.functions.distance import Range, normal_squared, squared
+from nearwin.operators import blocks
+from nearwin.plans.shared import written
 from nearwin.spec import FeatureSpec
 
 #: Query rows that are sent to every task; more are met in blocks of partitions, which needs no copy anywhere.
 MOST_SENT = 50_000
-#: One row in so many makes the sample whose k-th distance bounds each query's search.
-SAMPLE = 64
+#: About so many rows make the sample that bounds the search of queries whose own cell holds fewer than k rows.
+SAMPLE = 4096
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -37,20 +39,43 @@ def normalised(df: DataFrame, spec: FeatureSpec, ranges: dict[str, Range]) -> Da
     return df.withColumns({c: ranges[c].norm(F.col(c)) for c in spec.numeric}) if spec.numeric else df
 
 
-def candidates(train: DataFrame, queries: DataFrame, spec: FeatureSpec, d2: Column, k: int, keep: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(qid, id, d2, ...) of pairs that can be among a query's k nearest: those up to the k-th distance in a sample.
+def kth(pairs: DataFrame, k: int) -> DataFrame:
+    """(qid, bound): each query's k-th distance; queries with fewer pairs are left out."""
+    at = F.row_number().over(Window.partitionBy("qid").orderBy("d2"))
+    return pairs.select("qid", "d2").withColumn("r", at).filter(F.col("r") <= k).filter(F.col("r") == k).select("qid", F.col("d2").alias("bound"))
 
-    The k-th smallest of any part of the rows bounds the k-th of all, so nothing near is lost; few pairs reach the
-    ranking. A query with fewer than k rows in the sample keeps all its pairs.
+
+def candidates(
+    train: DataFrame, queries: DataFrame, spec: FeatureSpec, d2: Column, k: int, half: dict[str, float],
+    keep: Column | None = None, extra: tuple[str, ...] = (),
+) -> DataFrame:
+    """(qid, id, d2, ...) of pairs that can be among a query's k nearest.
+
+    The k-th distance among any part of the rows bounds the k-th of all, so nothing near is lost. That part is the query's
+    own cell of a quantile grid (of an overfull cell every few rows); where that holds fewer than k rows, a sample of the
+    table. A query then meets the rows of those cells only that its bound reaches. One without a bound meets all.
     """
-    sides, keep = sided(queries, spec), F.lit(True) if keep is None else keep
-    rows = train.select(F.col(spec.key).alias("id"), *(c for c in dict.fromkeys((*spec.attributes, *extra)) if c != "id"))
-    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    seen = part.join(sent(sides), keep).select("qid", d2.alias("d2"))
-    kth = seen.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d2"))).filter(F.col("r") == k)
-    bounded = sides.join(kth.select("qid", F.col("d2").alias("bound")), "qid", "left")
+    keep = F.lit(True) if keep is None else keep
+    grid = blocks.laid(train, spec.numeric)
+    columns = [c for c in dict.fromkeys((*spec.attributes, *extra)) if c != "id"]
+    rows = written(grid.placed(spread(train.select(F.col(spec.key).alias("id"), *columns))))
+    sides = grid.placed(sided(queries, spec), "q_").drop("coarse")
+    fine = written(blocks.boxes(rows, ["cell", "coarse"], spec.numeric))
+
+    few = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / (2 * blocks.PER_BLOCK)))) == 0
+    home = rows.join(sent(fine.select("cell", "n")), "cell").filter(few).drop("n")
+    own = written(sides.join(kth(home.join(sent(sides), "cell").filter(keep).select("qid", d2.alias("d2")), k), "qid", "left"))
+    open_ = own.filter("bound IS NULL").drop("bound", "cell")
+    part = rows.drop("cell").filter(F.pmod(F.xxhash64("id"), F.lit(max(1, grid.n // SAMPLE))) == 0)
+    far = kth(part.join(sent(open_), keep).select("qid", d2.alias("d2")), k)
+    bounded = written(own.drop("cell").join(far.withColumnRenamed("bound", "second"), "qid", "left").withColumn("bound", F.coalesce("bound", "second")).drop("second"))
+
+    coarse = blocks.joined_boxes(fine, ["coarse"], spec.numeric)  # at most (COARSE + 2) ** CUT boxes
+    first = bounded.join(F.broadcast(coarse), blocks.in_reach(spec.numeric, half)).select(*bounded.columns, "coarse")
+    reach = first.join(sent(fine), "coarse").filter(blocks.in_reach(spec.numeric, half)).select(*bounded.columns, "cell")
     near = F.col("bound").isNull() | (d2 <= F.col("bound"))
-    return spread(rows).join(sent(bounded), keep & near).select("qid", "id", d2.alias("d2"), *(c for c in extra if c != "id"))
+    met = rows.drop("coarse").join(sent(reach), "cell").filter(keep & near)
+    return met.select("qid", "id", d2.alias("d2"), *(c for c in extra if c != "id"))
 
 
 def ranked(pairs: DataFrame, k: int, ties: bool = False) -> DataFrame:
@@ -66,15 +91,14 @@ def nearest(train: DataFrame, queries: DataFrame, spec: FeatureSpec, ranges: dic
     ``leave_one_out`` leaves out the query's own row, ``skip_identical`` all rows at distance 0.
     """
     if raw:
-        d2 = measured(spec, ranges, raw)
-    else:
-        own = tuple(c for c in extra if c in spec.numeric)  # extra columns keep their own values
-        train = train.withColumns({f"__{c}": F.col(c) for c in own}) if own else train
-        train, queries = normalised(train, spec, ranges), normalised(queries, spec, ranges)
-        d2 = normal_squared(lambda c: F.col(f"q_{c}"), F.col, spec, ranges)
-        found = candidates(train, queries, spec, d2, k, kept(d2, leave_one_out, skip_identical), tuple(f"__{c}" if c in own else c for c in extra))
-        return ranked(found.withColumnsRenamed({f"__{c}": c for c in own}), k, ties)
-    return ranked(candidates(train, queries, spec, d2, k, kept(d2, leave_one_out, skip_identical), extra), k, ties)
+        d2, half = measured(spec, ranges, raw), {c: ranges[c].width / 2 for c in spec.numeric}
+        return ranked(candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), extra), k, ties)
+    own = tuple(c for c in extra if c in spec.numeric)  # extra columns keep their own values
+    train = train.withColumns({f"__{c}": F.col(c) for c in own}) if own else train
+    train, queries = normalised(train, spec, ranges), normalised(queries, spec, ranges)
+    d2, half = normal_squared(lambda c: F.col(f"q_{c}"), F.col, spec, ranges), dict.fromkeys(spec.numeric, 0.5)
+    found = candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), tuple(f"__{c}" if c in own else c for c in extra))
+    return ranked(found.withColumnsRenamed({f"__{c}": c for c in own}), k, ties)
 
 
 def kept(d2: Column, leave_one_out: bool, skip_identical: bool) -> Column:

@@ -34,13 +34,13 @@ def quantile_bounds(df: DataFrame, key: Column, rows_per_bucket: int = ROWS_PER_
     return sorted(set(found))
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
+def bucket_of(key: Column, bounds: list, kind: str = "bigint") -> Column:
     """How many bounds are at or below ``key``, found in two levels of about sqrt(len(bounds)) steps."""
     if not bounds:
         return F.lit(0)
     step = math.isqrt(len(bounds) - 1) + 1
-    groups = F.from_json(F.lit(json.dumps([bounds[i : i + step] for i in range(0, len(bounds), step)])), "array<array<bigint>>")
-    firsts = F.from_json(F.lit(json.dumps(bounds[::step])), "array<bigint>")
+    groups = F.from_json(F.lit(json.dumps([bounds[i : i + step] for i in range(0, len(bounds), step)])), f"array<array<{kind}>>")
+    firsts = F.from_json(F.lit(json.dumps(bounds[::step])), f"array<{kind}>")
     at = F.size(F.filter(firsts, lambda x: x <= key))
     inner = F.size(F.filter(F.get(groups, at - 1), lambda x: x <= key))
     return F.when(at == 0, 0).otherwise((at - 1) * step + inner).cast("int")
