@@ -59,6 +59,12 @@ def laid(df: DataFrame, dims: tuple[str, ...], per_block: int = PER_BLOCK) -> Gr
     return Grid({c: finite(found[f"c{i}"]) for i, c in enumerate(dims)}, n)
 
 
+def thinned(rows: DataFrame, per_block: int) -> DataFrame:
+    """Rows with their block's ``n``, without it: of a block over twice ``per_block`` only every few, by a hash of the id."""
+    few = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / (2 * per_block)))
+    return rows.filter(F.pmod(F.xxhash64("id"), few) == 0).drop("n")
+
+
 def boxes(rows: DataFrame, by: list[str], dims: tuple[str, ...]) -> DataFrame:
     """(by, n, <dim>_low, <dim>_high, <dim>_gap): rows of each block, their extent, and whether a value is missing."""
     of = [x for d in dims for x in (F.min(d).alias(f"{d}_low"), F.max(d).alias(f"{d}_high"), F.bool_or(F.col(d).isNull()).alias(f"{d}_gap"))]

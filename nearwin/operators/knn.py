@@ -45,9 +45,17 @@ def kth(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("qid", "d2").withColumn("r", at).filter(F.col("r") <= k).filter(F.col("r") == k).select("qid", F.col("d2").alias("bound"))
 
 
+def with_bounds(sides: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, d2: Column, k: int, keep: Column) -> DataFrame:
+    """``sides`` with ``bound``, a written table: the k-th distance among ``pairs``, else in a sample of ``rows``, else null."""
+    own = written(sides.join(kth(pairs, k), "qid", "left"))
+    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0)
+    second = kth(part.join(sent(own.filter("bound IS NULL").drop("bound")), keep).select("qid", d2.alias("d2")), k).withColumnRenamed("bound", "second")
+    return written(own.join(second, "qid", "left").withColumn("bound", F.coalesce("bound", "second")).drop("second"))
+
+
 def candidates(
     train: DataFrame, queries: DataFrame, spec: FeatureSpec, d2: Column, k: int, half: dict[str, float],
-    keep: Column | None = None, extra: tuple[str, ...] = (),
+    keep: Column | None = None, extra: tuple[str, ...] = (), per_block: int = blocks.PER_BLOCK,
 ) -> DataFrame:
     """(qid, id, d2, ...) of pairs that can be among a query's k nearest.
 
@@ -56,19 +64,15 @@ def candidates(
     table. A query then meets the rows of those cells only that its bound reaches. One without a bound meets all.
     """
     keep = F.lit(True) if keep is None else keep
-    grid = blocks.laid(train, spec.numeric)
+    grid = blocks.laid(train, spec.numeric, per_block)
     columns = [c for c in dict.fromkeys((*spec.attributes, *extra)) if c != "id"]
     rows = written(grid.placed(spread(train.select(F.col(spec.key).alias("id"), *columns))))
     sides = grid.placed(sided(queries, spec), "q_").drop("coarse")
     fine = written(blocks.boxes(rows, ["cell", "coarse"], spec.numeric))
 
-    few = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / (2 * blocks.PER_BLOCK)))) == 0
-    home = rows.join(sent(fine.select("cell", "n")), "cell").filter(few).drop("n")
-    own = written(sides.join(kth(home.join(sent(sides), "cell").filter(keep).select("qid", d2.alias("d2")), k), "qid", "left"))
-    open_ = own.filter("bound IS NULL").drop("bound", "cell")
-    part = rows.drop("cell").filter(F.pmod(F.xxhash64("id"), F.lit(max(1, grid.n // SAMPLE))) == 0)
-    far = kth(part.join(sent(open_), keep).select("qid", d2.alias("d2")), k)
-    bounded = written(own.drop("cell").join(far.withColumnRenamed("bound", "second"), "qid", "left").withColumn("bound", F.coalesce("bound", "second")).drop("second"))
+    home = blocks.thinned(rows.join(sent(fine.select("cell", "n")), "cell"), per_block)
+    pairs = home.join(sent(sides), "cell").filter(keep).select("qid", d2.alias("d2"))
+    bounded = with_bounds(sides.drop("cell"), pairs, rows.drop("cell", "coarse"), grid.n, d2, k, keep)
 
     coarse = blocks.joined_boxes(fine, ["coarse"], spec.numeric)  # at most (COARSE + 2) ** CUT boxes
     first = bounded.join(F.broadcast(coarse), blocks.in_reach(spec.numeric, half)).select(*bounded.columns, "coarse")
@@ -85,19 +89,20 @@ def ranked(pairs: DataFrame, k: int, ties: bool = False) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id")).cast("long")).filter(F.col("rank") <= k)
 
 
-def nearest(train: DataFrame, queries: DataFrame, spec: FeatureSpec, ranges: dict[str, Range], k: int, *, ties: bool = False, raw: bool = False, leave_one_out: bool = False, skip_identical: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+def nearest(train: DataFrame, queries: DataFrame, spec: FeatureSpec, ranges: dict[str, Range], k: int, *, ties: bool = False, raw: bool = False, leave_one_out: bool = False, skip_identical: bool = False, extra: tuple[str, ...] = (), per_block: int = blocks.PER_BLOCK) -> DataFrame:
     """(qid, id, d2, rank, ...) of each query's nearest rows by the mixed squared distance.
 
-    ``leave_one_out`` leaves out the query's own row, ``skip_identical`` all rows at distance 0.
+    ``leave_one_out`` leaves out the query's own row, ``skip_identical`` all rows at distance 0; about ``per_block`` rows
+    make a cell of the search's grid.
     """
     if raw:
         d2, half = measured(spec, ranges, raw), {c: ranges[c].width / 2 for c in spec.numeric}
-        return ranked(candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), extra), k, ties)
+        return ranked(candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), extra, per_block), k, ties)
     own = tuple(c for c in extra if c in spec.numeric)  # extra columns keep their own values
     train = train.withColumns({f"__{c}": F.col(c) for c in own}) if own else train
     train, queries = normalised(train, spec, ranges), normalised(queries, spec, ranges)
     d2, half = normal_squared(lambda c: F.col(f"q_{c}"), F.col, spec, ranges), dict.fromkeys(spec.numeric, 0.5)
-    found = candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), tuple(f"__{c}" if c in own else c for c in extra))
+    found = candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), tuple(f"__{c}" if c in own else c for c in extra), per_block)
     return ranked(found.withColumnsRenamed({f"__{c}": c for c in own}), k, ties)
 
 

@@ -1,28 +1,58 @@
-"""Space-partitioning trees, one level of all nodes at a time."""
+"""Space-partitioning trees: large nodes one level of all at a time, small ones each in a task."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearwin.operators.knn import ranked
+from nearwin.operators import blocks
+from nearwin.operators.knn import ranked, sent, spread, with_bounds
 from nearwin.plans.shared import written
 
-#: A node with more rows than this is split, to this many levels.
-LEAF, DEPTH = 4, 6
+#: A node with more rows than this is split, if they differ.
+LEAF = 4
+#: A node of up to so many rows is finished in one task.
+WHOLE = 32_768
+#: Rows that a search's leaf may have, and levels that it goes down at once.
+SEARCH_LEAF, STEP = 512, 6
+#: Levels after which the rows are written.
+REWRITE = 4
 
 
-def node_table(df: DataFrame, dims: tuple[str, ...], level: int) -> DataFrame:
-    """(path, level, n, dim, split) of a level's nodes: the widest dimension (of equals the first) and its middle."""
+def node_table(df: DataFrame, dims: tuple[str, ...], leaf: int = LEAF) -> DataFrame:
+    """(path, level, n, dim, split) of all nodes: the widest dimension (of equals the first) and its middle, null for a leaf."""
     of = df.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *(x for d in dims for x in (F.min(d).alias(f"{d}_min"), F.max(d).alias(f"{d}_max"))))
     width = lambda d: F.coalesce(F.col(f"{d}_max") - F.col(f"{d}_min"), F.lit(0.0))
     widest = F.greatest(*map(width, dims)) if len(dims) > 1 else width(dims[0])
     pick = lambda value: reduce(lambda rest, d: F.when(width(d) == widest, value(d)).otherwise(rest), reversed(dims), F.lit(None))
-    splits = (F.col("n") > LEAF) & (widest > 0)
-    return of.select("path", F.lit(level).alias("level"), "n", F.when(splits, pick(lambda d: F.lit(d))).alias("dim"), F.when(splits, pick(lambda d: F.col(f"{d}_min") + width(d) / 2)).alias("split"))
+    split, top = pick(lambda d: F.col(f"{d}_min") + width(d) / 2), pick(lambda d: F.col(f"{d}_max"))
+    splits = (F.col("n") > leaf) & (widest > 0) & (split < top)
+    level = (F.length("path") - 1).cast("int")
+    return of.select("path", level.alias("level"), "n", F.when(splits, pick(lambda d: F.lit(d))).alias("dim"), F.when(splits, split).alias("split"))
+
+
+def grown(x: np.ndarray, path: str, leaf: int) -> tuple[list, list]:
+    """(leaves, nodes) below one node by the same rule: (path, places of rows) and (path, n, dimension, split)."""
+    leaves, nodes, todo = [], [], [(path, np.arange(len(x)))]
+    while todo:
+        path, at = todo.pop()
+        seen = ~np.isnan(x[at])
+        low = np.where(seen, x[at], np.inf).min(axis=0, initial=np.inf)
+        high = np.where(seen, x[at], -np.inf).max(axis=0, initial=-np.inf)
+        width = np.where(high >= low, high - low, 0.0)
+        d = int(width.argmax())
+        split = low[d] + width[d] / 2
+        if len(at) > leaf and width[d] > 0 and split < high[d]:
+            nodes.append((path, len(at), d, split))
+            right = x[at, d] > split
+            todo += [(path + "0", at[~right]), (path + "1", at[right])]
+        else:
+            leaves.append((path, at))
+    return leaves, nodes
 
 
 def chosen(dims: tuple[str, ...]) -> Column:
@@ -30,44 +60,75 @@ def chosen(dims: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in dims))
 
 
-def build(df: DataFrame, key: str, dims: tuple[str, ...], depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def build(df: DataFrame, key: str, dims: tuple[str, ...], leaf: int = LEAF, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """(assigned, nodes): rows with the path of their leaf, and all split nodes.
 
-    A path is 1, then a bit a level: 0 for values up to the split. A missing value goes left. Each level is one
-    aggregate by path; nodes are 2^depth at most, so their table is small enough to be sent.
+    A node is split while it holds more than ``leaf`` rows that differ. A path is the text 1, then a digit a level: 0 for
+    values up to the split. A missing value (or NaN) goes left. Nodes of more than ``whole`` rows are split level by level,
+    all at once, by an aggregate by path; each smaller one is finished by itself in one task.
     """
-    rows, nodes = df.select(key, *dims).withColumn("path", F.lit(1).cast("long")), []
-    for level in range(depth):
-        of = written(node_table(rows, dims, level).filter("dim IS NOT NULL"))
-        nodes.append(of)
-        joined = rows.join(F.broadcast(of.select("path", "dim", "split")), "path", "left")
-        step = F.when(F.col("dim").isNull(), F.col("path")).otherwise(F.col("path") * 2 + F.when(chosen(dims) > F.col("split"), 1).otherwise(0))
-        rows = joined.select(key, *dims, step.alias("path"))
-    return written(rows), reduce(DataFrame.union, nodes)
+    rows = df.select(key, *(F.nanvl(F.col(d).cast("double"), F.lit(None)).alias(d) for d in dims), F.lit("1").alias("path"))
+    rows = written(spread(rows))
+    nodes, whole, level = [], max(leaf, whole), 0
+    while True:
+        of = written(node_table(rows, dims, leaf).filter("dim IS NOT NULL"))
+        big = of.filter(F.col("n") > whole)
+        if big.isEmpty():
+            break
+        nodes.append(big)
+        joined = rows.join(sent(big.select("path", "dim", "split")), "path", "left")
+        step = F.when(F.col("dim").isNull(), F.col("path")).otherwise(F.concat("path", F.when(chosen(dims) > F.col("split"), "1").otherwise("0")))
+        rows, level = joined.select(key, *dims, step.alias("path")), level + 1
+        rows = rows if level % REWRITE else written(rows)
+    if leaf >= whole:
+        return written(rows), reduce(DataFrame.union, nodes, of)
+    small = sent(of.select("path"))
+    rows = written(rows)
+    groups = rows.join(small, "path", "left_semi").groupBy("path")
+
+    def finished(group: pd.DataFrame) -> pd.DataFrame:
+        paths = np.empty(len(group), dtype=object)
+        for path, at in grown(group[[*dims]].to_numpy(dtype=float), group["path"].iat[0], leaf)[0]:
+            paths[at] = path
+        return group.assign(path=paths)
+
+    def inner(group: pd.DataFrame) -> pd.DataFrame:
+        made = grown(group[[*dims]].to_numpy(dtype=float), group["path"].iat[0], leaf)[1]
+        return pd.DataFrame([(p, len(p) - 1, n, dims[d], s) for p, n, d, s in made], columns=["path", "level", "n", "dim", "split"])
+
+    ready = rows.join(small, "path", "left_anti").unionByName(groups.applyInPandas(finished, rows.schema))
+    return ready, reduce(DataFrame.union, nodes, groups.applyInPandas(inner, of.schema))
 
 
 def leaf_boxes(assigned: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return assigned.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *(x for d in dims for x in (F.min(d).alias(f"{d}_min"), F.max(d).alias(f"{d}_max"))))
 
 
-def tree_nearest(df: DataFrame, queries: DataFrame, key: str, dims: tuple[str, ...], k: int, depth: int = DEPTH) -> DataFrame:
+def tree_nearest(df: DataFrame, queries: DataFrame, key: str, dims: tuple[str, ...], k: int, leaf: int = SEARCH_LEAF, whole: int = WHOLE) -> DataFrame:
     """(qid, id, d2, rank): exactly the k nearest by raw distance, from the leaves that can hold them.
 
-    A query's k-th distance in its own leaf bounds the search; then it meets the rows of the leaves whose boxes are not
-    farther. A query whose leaf has fewer than k rows meets all leaves.
+    Queries are rows of ``df``; rows and queries with a missing value have no distance and are left out. The k-th distance
+    in a query's own leaf (else in a sample) bounds the search. It goes down ``STEP`` levels at a time, to
+    the nodes whose boxes are not farther, by equality joins of a node and those below.
     """
-    assigned, _ = build(df, key, dims, depth)
-    rows = assigned.select(F.col(key).alias("id"), *dims, "path")
-    sides = queries.select(F.col(key).alias("qid"), *(F.col(d).alias(f"q_{d}") for d in dims))
+    assigned, _ = build(df.dropna(subset=list(dims)), key, dims, leaf, whole)
+    rows = written(assigned).withColumnRenamed(key, "id")
+    sides = queries.dropna(subset=list(dims)).select(F.col(key).alias("qid"), *(F.col(d).cast("double").alias(f"q_{d}") for d in dims))
     d2 = reduce(lambda a, b: a + b, ((F.col(f"q_{d}") - F.col(d)) * (F.col(f"q_{d}") - F.col(d)) for d in dims))
-    home = sides.join(rows.select(F.col("id").alias("qid"), "path"), "qid")
-    own = ranked(rows.join(home, "path").select("qid", "id", d2.alias("d2")), k).filter(F.col("rank") == k).select("qid", F.col("d2").alias("bound"))
-    away = lambda d: F.greatest(F.col(f"{d}_min") - F.col(f"q_{d}"), F.col(f"q_{d}") - F.col(f"{d}_max"), F.lit(0.0))
-    far = reduce(lambda a, b: a + b, (away(d) * away(d) for d in dims))
-    boxes = leaf_boxes(assigned, dims)
-    reach = sides.join(own, "qid", "left").join(F.broadcast(boxes), F.col("bound").isNull() | (far <= F.col("bound") * (1 + 1e-12)))  # 2^depth boxes at most
-    pairs = rows.join(reach.select("path", "qid", "bound", *(f"q_{d}" for d in dims)), "path").filter(F.col("bound").isNull() | (d2 <= F.col("bound")))
-    return ranked(pairs.select("qid", "id", d2.alias("d2")), k)
+    half = dict.fromkeys(dims, 0.0)
+    fine = written(blocks.boxes(rows, ["path"], dims))
+    home = sides.join(rows.select(F.col("id").alias("qid"), "path").dropDuplicates(["qid"]), "qid")
+    near = blocks.thinned(rows.join(sent(fine.select("path", "n")), "path"), leaf)
+    pairs = near.join(sent(home), "path").select("qid", d2.alias("d2"))
+    bounded = with_bounds(sides, pairs, rows.drop("path"), rows.count(), d2, k, F.lit(True))
+
+    front = bounded.withColumn("path", F.lit("1"))
+    for length in range(1 + STEP, (fine.agg(F.max(F.length("path"))).first()[0] or 0) + STEP, STEP):
+        cut = fine.withColumns({"up": F.substring("path", 1, length - STEP), "path": F.substring("path", 1, length)})
+        below = blocks.joined_boxes(cut, ["up", "path"], dims).withColumnRenamed("path", "down")
+        front = front.join(below, F.col("path") == F.col("up")).filter(blocks.in_reach(dims, half)).select(*bounded.columns, F.col("down").alias("path"))
+    met = rows.join(sent(front), "path").filter(F.col("bound").isNull() | (d2 <= F.col("bound")))
+    return ranked(met.select("qid", "id", d2.alias("d2")), k)
 
 
 def projected(vector: str, direction: np.ndarray) -> Column:

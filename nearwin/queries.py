@@ -27,7 +27,8 @@ def query(sql: str | None = None, name: str | None = None):
     def add(f):
         QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[name or f.__name__] = f"WITH o AS ({ORDERS_SQL}), g AS ({GAPPED_SQL}) {sql}" if not sql.startswith("WITH") else f"WITH o AS ({ORDERS_SQL}), g AS ({GAPPED_SQL}), {sql[5:]}"
+            rest = sql.removeprefix("WITH RECURSIVE ") if sql.startswith("WITH RECURSIVE ") else None
+            ORACLES[name or f.__name__] = f"WITH RECURSIVE o AS ({ORDERS_SQL}), g AS ({GAPPED_SQL}), {rest}" if rest else f"WITH o AS ({ORDERS_SQL}), g AS ({GAPPED_SQL}) {sql}" if not sql.startswith("WITH") else f"WITH o AS ({ORDERS_SQL}), g AS ({GAPPED_SQL}), {sql[5:]}"
         return f
 
     return add
@@ -289,11 +290,10 @@ def distance_sparse(spark, sf_dir):
 
 @query("WITH " + PAIRS_SQL + " SELECT id, arg_min(qid, (d2, qid)) AS nearest, min(d2) AS d2 FROM p GROUP BY id")
 def closest_point(spark, sf_dir):
-    of = ranges.ranges_of(orders(spark, sf_dir), ORDERS.numeric)
-    df = knn.normalised(orders(spark, sf_dir), ORDERS, of)
-    d2 = D.normal_squared(lambda c: F.col(f"q_{c}"), F.col, ORDERS, of)
-    pairs = knn.spread(df).join(knn.sent(knn.sided(asked(df), ORDERS))).select("id", "qid", d2.alias("d2"))
-    return pairs.groupBy("id").agg(F.min(F.struct("d2", "qid")).alias("m")).select("id", F.col("m.qid").alias("nearest"), F.col("m.d2").alias("d2"))
+    """Each row's nearest of the query set: a search among those, asked by all rows, so its cells are small."""
+    df = orders(spark, sf_dir)
+    near = knn.nearest(asked(df), df, ORDERS, ranges.ranges_of(df, ORDERS.numeric), 1, per_block=32)
+    return near.select(F.col("qid").alias("id"), F.col("id").alias("nearest"), "d2")
 
 
 # --- Ranges
@@ -646,35 +646,44 @@ def eval_report(spark, sf_dir):
 # --- Trees
 
 
-def tree_sql(depth: int) -> str:
-    """A chain of levels: nodes with their widest dimension and its middle, then rows with longer paths."""
-    out = ["l0 AS (SELECT id, price, day, 1::BIGINT AS path FROM o)"]
-    for d in range(depth):
-        out.append(f"""n{d} AS (SELECT path, {d} AS level, count(*) AS n, CASE WHEN max(price) - min(price) >= max(day) - min(day) THEN 'price' ELSE 'day' END AS dim,
-CASE WHEN max(price) - min(price) >= max(day) - min(day) THEN min(price) + (max(price) - min(price)) / 2 ELSE min(day) + (max(day) - min(day)) / 2 END AS split
-FROM l{d} GROUP BY path HAVING count(*) > {spacetree.LEAF} AND greatest(max(price) - min(price), max(day) - min(day)) > 0)""")
-        out.append(f"l{d + 1} AS (SELECT l.id, l.price, l.day, CASE WHEN n.dim IS NULL THEN l.path ELSE l.path * 2 + (CASE WHEN (CASE WHEN n.dim = 'price' THEN l.price ELSE l.day END) > n.split THEN 1 ELSE 0 END) END AS path FROM l{d} l LEFT JOIN n{d} n ON n.path = l.path)")
-    return "WITH " + ", ".join(out)
+TREE_SQL = f"""WITH RECURSIVE t AS (
+  SELECT id, price, day, '1' AS path FROM o
+  UNION ALL
+  SELECT id, price, day, path || CASE WHEN (CASE WHEN b1 - a1 >= b2 - a2 THEN price ELSE day END) > (CASE WHEN b1 - a1 >= b2 - a2 THEN a1 + (b1 - a1) / 2 ELSE a2 + (b2 - a2) / 2 END) THEN '1' ELSE '0' END
+  FROM (SELECT *, count(*) OVER p AS n, min(price) OVER p AS a1, max(price) OVER p AS b1, min(day) OVER p AS a2, max(day) OVER p AS b2 FROM t WINDOW p AS (PARTITION BY path))
+  WHERE n > {spacetree.LEAF} AND greatest(b1 - a1, b2 - a2) > 0
+), l AS (
+  SELECT id, any_value(price) AS price, any_value(day) AS day, max_by(path, length(path)) AS path FROM t GROUP BY id
+), n AS (
+  SELECT path, length(path) - 1 AS level, count(*) AS n,
+    CASE WHEN max(price) - min(price) >= max(day) - min(day) THEN 'price' ELSE 'day' END AS dim,
+    CASE WHEN max(price) - min(price) >= max(day) - min(day) THEN min(price) + (max(price) - min(price)) / 2 ELSE min(day) + (max(day) - min(day)) / 2 END AS split
+  FROM t GROUP BY path HAVING count(*) > {spacetree.LEAF} AND greatest(max(price) - min(price), max(day) - min(day)) > 0
+) """
+
+
+def order_tree(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return spacetree.build(orders(spark, sf_dir), "id", ("price", "day"))
 
 
-@query(tree_sql(spacetree.DEPTH) + f" SELECT id, path FROM l{spacetree.DEPTH}")
+@query(TREE_SQL + "SELECT id, path FROM l")
 def kd_assign(spark, sf_dir):
-    return spacetree.build(orders(spark, sf_dir), "id", ("price", "day"))[0].select("id", "path")
+    return order_tree(spark, sf_dir)[0].select("id", "path")
 
 
-@query(tree_sql(spacetree.DEPTH) + " " + " UNION ALL ".join(f"SELECT path, level, n, dim, split FROM n{d}" for d in range(spacetree.DEPTH)))
+@query(TREE_SQL + "SELECT path, level, n, dim, split FROM n")
 def kd_split(spark, sf_dir):
-    return spacetree.build(orders(spark, sf_dir), "id", ("price", "day"))[1]
+    return order_tree(spark, sf_dir)[1]
 
 
-@query(tree_sql(spacetree.DEPTH) + f" SELECT path, count(*) AS n FROM l{spacetree.DEPTH} GROUP BY path")
+@query(TREE_SQL + "SELECT path, count(*) AS n FROM l GROUP BY path")
 def kd_leaf_sizes(spark, sf_dir):
-    return spacetree.leaf_boxes(spacetree.build(orders(spark, sf_dir), "id", ("price", "day"))[0], ("price", "day")).select("path", "n")
+    return spacetree.leaf_boxes(order_tree(spark, sf_dir)[0], ("price", "day")).select("path", "n")
 
 
-@query(tree_sql(spacetree.DEPTH) + f" SELECT path, min(price) AS price_min, max(price) AS price_max, min(day) AS day_min, max(day) AS day_max FROM l{spacetree.DEPTH} GROUP BY path")
+@query(TREE_SQL + "SELECT path, min(price) AS price_min, max(price) AS price_max, min(day) AS day_min, max(day) AS day_max FROM l GROUP BY path")
 def kd_node_ranges(spark, sf_dir):
-    return spacetree.leaf_boxes(spacetree.build(orders(spark, sf_dir), "id", ("price", "day"))[0], ("price", "day")).drop("n")
+    return spacetree.leaf_boxes(order_tree(spark, sf_dir)[0], ("price", "day")).drop("n")
 
 
 @query()

@@ -164,3 +164,52 @@ def test_window_with_missing_values(spark):
             found.append((sum(v * v for v in d), r[0]))
         want += [(q, i, pytest.approx(d2), k) for k, (d2, i) in enumerate(sorted(found)[:3], 1)]
     assert sorted((r["qid"], r["id"], r["d2"], r["rank"]) for r in got) == sorted(want, key=lambda w: (w[0], w[1]))
+
+
+def plain_tree(rows, dims, leaf, path="1"):
+    """(leaf path, id) by the rule, in plain Python."""
+    width = [max(v) - min(v) if (v := [r[d] for r in rows if r[d] is not None]) else 0.0 for d in dims]
+    d = dims[width.index(max(width))]
+    if len(rows) <= leaf or max(width) <= 0:
+        return [(path, r[0]) for r in rows]
+    split = min(r[d] for r in rows if r[d] is not None) + max(width) / 2
+    right = [r for r in rows if r[d] is not None and r[d] > split]
+    left = [r for r in rows if r[d] is None or r[d] <= split]
+    return plain_tree(left, dims, leaf, path + "0") + plain_tree(right, dims, leaf, path + "1")
+
+
+@pytest.mark.parametrize("whole", [4, 30, 4096])
+def test_tree_follows_its_leaf_rule(spark, whole):
+    """Missing values, many equal rows, an outlier that makes a long chain; the same tree wherever nodes are finished."""
+    rng = random.Random(9)
+    rows = [(i, rng.random(), None if i % 6 == 0 else float(rng.randrange(9))) for i in range(120)]
+    rows += [(200 + i, 0.5, 4.0) for i in range(40)] + [(300, 1e9, 4.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    assigned, nodes = spacetree.build(df, "id", ("x", "y"), 4, whole)
+    want = plain_tree(rows, [1, 2], 4)
+    assert sorted((r["path"], r["id"]) for r in assigned.collect()) == sorted(want)
+    inner = {p[:n] for p, _ in want for n in range(1, len(p))}
+    assert sorted(r["path"] for r in nodes.collect()) == sorted(inner)
+
+
+def test_tree_of_nothing(spark):
+    assigned, nodes = spacetree.build(spark.createDataFrame([], "id long, x double"), "id", ("x",))
+    assert assigned.count() == nodes.count() == 0
+
+
+@pytest.mark.parametrize("leaf", [2, 20])
+def test_tree_search_is_exact(spark, leaf):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 2)), np.tile([[0.25, 0.25]], (60, 1)), [[1e6, 0.0]]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    assert found(spacetree.tree_nearest(df, df.filter("id % 10 = 0"), "id", ("x", "y"), 7, leaf)) == truth(x, range(0, len(x), 10), 7)
+
+
+def test_small_cells_lose_nothing(spark):
+    """Cells of few rows, hot cells, missing values: the same as with one cell."""
+    rows = mixed_rows(400, 3) + [(1000 + i, 5.0, 0.5, "p", "A") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, c string, y string")
+    of = ranges.ranges_of(df, SPEC.numeric)
+    for raw in (False, True):
+        got, want = ({(r["qid"], r["id"], r["d2"]) for r in knn.nearest(df, df.filter("id % 20 = 0"), SPEC, of, 9, raw=raw, leave_one_out=True, skip_identical=raw, per_block=b).collect()} for b in (8, 10**6))
+        assert got == want
