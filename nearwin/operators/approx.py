@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,6 +27,12 @@ def array_nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, dims
     return ranked(pairs.select("qid", "id", d2.alias("d2")), k)
 
 
+def representatives(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """About sqrt(n) of ``df``'s n rows, those whose key is divisible by a step, and the step, sqrt(n) rounded up."""
+    step = math.isqrt(max(1, df.count()) - 1) + 1
+    return df.filter(F.col(key) % step == 0), step
+
+
 def owners(df: DataFrame, reps: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     """(id, v, rep, rd): each row with its nearest representative and its rooted distance."""
     d = F.sqrt(unrolled_squared(F.col("rv"), F.col("v"), dims))
@@ -52,14 +59,16 @@ def ball_cover_exact(df: DataFrame, reps: DataFrame, queries: DataFrame, key: st
     return ranked(pairs.select("qid", "id", unrolled_squared(F.col("qv"), F.col("v"), dims).alias("d2")), k)
 
 
-def ball_cover_oneshot(df: DataFrame, reps: DataFrame, queries: DataFrame, key: str, vector: str, dims: int, k: int, own: int) -> DataFrame:
-    """(qid, id, d2, rank): the k nearest among the ``own`` rows nearest to the query's nearest representative."""
+def ball_cover_oneshot(df: DataFrame, reps: DataFrame, queries: DataFrame, key: str, vector: str, dims: int, k: int, own: int, probes: int = 1) -> DataFrame:
+    """(qid, id, d2, rank): the k nearest among the ``own`` rows nearest to each of the query's ``probes`` nearest representatives."""
     d = unrolled_squared(F.col("rv"), F.col("v"), dims)
     lists = spread(df.select(F.col(key).alias("id"), F.col(vector).alias("v"))).join(sent(sides(reps, key, vector, "r")))
     lists = lists.select("rid", "id", "v", d.alias("rd")).withColumn("place", F.row_number().over(Window.partitionBy("rid").orderBy("rd", "id"))).filter(F.col("place") <= own)
-    home = sides(queries, key, vector, "q").join(sent(sides(reps, key, vector, "r"))).groupBy("qid").agg(F.min(F.struct(unrolled_squared(F.col("qv"), F.col("rv"), dims).alias("d"), F.col("rid"))).alias("b"), F.any_value("qv").alias("qv"))
-    pairs = lists.join(home.select("qid", "qv", F.col("b.rid").alias("rid")), "rid")
-    return ranked(pairs.select("qid", "id", unrolled_squared(F.col("qv"), F.col("v"), dims).alias("d2")), k)
+    to = sides(queries, key, vector, "q").join(sent(sides(reps, key, vector, "r")))
+    near = F.row_number().over(Window.partitionBy("qid").orderBy("d", "rid"))
+    home = to.select("qid", "qv", "rid", unrolled_squared(F.col("qv"), F.col("rv"), dims).alias("d")).withColumn("near", near).filter(F.col("near") <= probes)
+    pairs = lists.select("rid", "id", "v").join(home.select("qid", "qv", "rid"), "rid")
+    return ranked(pairs.select("qid", "id", unrolled_squared(F.col("qv"), F.col("v"), dims).alias("d2")).distinct(), k)
 
 
 def sparse_entry(i: int, j: int) -> int:

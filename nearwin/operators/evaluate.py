@@ -50,9 +50,9 @@ def kappa_temporal(predictions: DataFrame) -> DataFrame:
     return sums.select("n", F.round(chance_corrected(F.col("p0"), F.col("pp")) * 100, 6).alias("kappa_temporal_pct"))
 
 
-def periodic(predictions: DataFrame, every: int) -> DataFrame:
-    """Rows and accuracy of each stretch of ``every`` places in the order."""
-    return predictions.groupBy(F.floor(F.col("qid") / F.lit(every)).alias("period")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit()) * 100, 6).alias("accuracy_pct"))
+def periodic(predictions: DataFrame) -> DataFrame:
+    """Rows and accuracy of each ``period`` of the predictions."""
+    return predictions.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit()) * 100, 6).alias("accuracy_pct"))
 
 
 def agreement(first: DataFrame, second: DataFrame) -> DataFrame:

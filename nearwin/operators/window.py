@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearwin.functions.distance import nominal_difference, normal_difference
 from nearwin.operators.knn import ranked
-from nearwin.operators.ranges import windowed
+from nearwin.operators.ranges import positioned, windowed
 from nearwin.plans.shared import written
 from nearwin.spec import FeatureSpec
 
@@ -25,22 +25,55 @@ def members(at: DataFrame, queries: DataFrame, size: int) -> DataFrame:
     return rows.join(asked, "block").filter((F.col("position") < F.col("q_at")) & (F.col("position") >= F.col("q_at") - size)).drop("block")
 
 
+def bounds(spec: FeatureSpec) -> dict:
+    """Least and greatest value of each numeric attribute, by name."""
+    return {f"low_{c}": F.min(c) for c in spec.numeric} | {f"high_{c}": F.max(c) for c in spec.numeric}
+
+
+def asking(spec: FeatureSpec, *more: str) -> list:
+    """A query's columns beside ``more``: its id and attributes under other names, and its ranges."""
+    return [F.col(spec.key).alias("qid"), *more, *(F.col(c).alias(f"q_{c}") for c in spec.attributes), *bounds(spec)]
+
+
+def measured(spec: FeatureSpec):
+    """The squared distance of a row from a query that brings its ranges; an attribute without width there adds nothing.
+
+    Missing values differ as in ``normal_difference``: both missing by 1, one by as far as the range lets the other be.
+    """
+
+    def scaled(name: str, c: str):
+        width = F.col(f"high_{c}") - F.col(f"low_{c}")
+        return F.when(width > 0, (F.col(name) - F.col(f"low_{c}")) / width).when(F.col(name).isNotNull(), 0.0)
+
+    parts = [normal_difference(scaled(f"q_{c}", c), scaled(c, c)) for c in spec.numeric] + [nominal_difference(F.col(f"q_{c}"), F.col(c)) for c in spec.nominal]
+    return reduce(lambda s, d: s + d * d, parts[1:], parts[0] * parts[0]).alias("d2")
+
+
 def window_nearest(df: DataFrame, spec: FeatureSpec, size: int, k: int, keep: str = "true") -> DataFrame:
     """(qid, id, d2, rank, label): the k nearest of the ``size`` rows before each row, once there are so many.
 
-    Ranges come from the values seen in those rows alone; an attribute without width there adds nothing. Missing values
-    differ as in ``normal_difference``: both missing by 1, one by as far as the range lets the other be. ``keep`` is a condition on the rows that are asked. Equal distances: the smaller id first.
+    Ranges come from the values seen in those rows alone; see ``measured``. ``keep`` is a condition on the rows that are
+    asked. Equal distances: the smaller id first.
     """
-    low, high = (lambda c: f"low_{c}"), (lambda c: f"high_{c}")
-    bounds = {low(c): F.min(c) for c in spec.numeric} | {high(c): F.max(c) for c in spec.numeric} | {"held": F.count(F.lit(1))}
-    at = written(windowed(df.select(spec.key, *spec.attributes, spec.label), spec.key, size, bounds))
-    asked = at.filter(F.col("held") == size).filter(keep).select(F.col(spec.key).alias("qid"), F.col("position").alias("q_at"), *(F.col(c).alias(f"q_{c}") for c in spec.attributes), *(F.col(b) for c in spec.numeric for b in (low(c), high(c))))
+    at = written(windowed(df.select(spec.key, *spec.attributes, spec.label), spec.key, size, bounds(spec) | {"held": F.count(F.lit(1))}))
+    asked = at.filter(F.col("held") == size).filter(keep).select(*asking(spec), F.col("position").alias("q_at"))
     rows = at.select(F.col(spec.key).alias("id"), "position", *spec.attributes, F.col(spec.label).alias("label"))
+    return ranked(members(rows, asked, size).select("qid", "id", measured(spec), "label"), k)
 
-    def scaled(name: str, c: str):
-        width = F.col(high(c)) - F.col(low(c))
-        return F.when(width > 0, (F.col(name) - F.col(low(c))) / width).when(F.col(name).isNotNull(), 0.0)
 
-    parts = [normal_difference(scaled(f"q_{c}", c), scaled(c, c)) for c in spec.numeric] + [nominal_difference(F.col(f"q_{c}"), F.col(c)) for c in spec.nominal]
-    d2 = reduce(lambda s, d: s + d * d, parts[1:], parts[0] * parts[0])
-    return ranked(members(rows, asked, size).select("qid", "id", d2.alias("d2"), "label"), k)
+def held_out_nearest(df: DataFrame, spec: FeatureSpec, train: int, test: int, size: int, k: int) -> DataFrame:
+    """(qid, period, truth, id, d2, rank, label): neighbours of the rows of test stretches among the rows learned before.
+
+    In the order of the key, ``train`` rows are learned, the next ``test`` rows are asked and not learned, and so on. A
+    query meets the last ``size`` rows of its period's train stretch, which give the ranges too; so rows meet on the
+    period alone, ``size`` x ``test`` pairs in each. Equal distances: the smaller id first.
+    """
+    if not 0 < k <= size <= train:
+        raise ValueError("0 < k <= size <= train")
+    at = positioned(df.select(spec.key, *spec.attributes, spec.label), spec.key)
+    at = written(at.withColumns({"period": F.floor(F.col("position") / (train + test)), "place": F.col("position") % (train + test)}))
+    learned = at.filter(F.col("place").between(train - size, train - 1))
+    asked = at.filter(F.col("place") >= train).join(learned.groupBy("period").agg(*(c.alias(n) for n, c in bounds(spec).items())), "period")
+    rows = learned.select("period", F.col(spec.key).alias("id"), *spec.attributes, F.col(spec.label).alias("label"))
+    pairs = rows.join(asked.select(*asking(spec, "period"), F.col(spec.label).alias("truth")), "period")
+    return ranked(pairs.select("qid", "period", "truth", "id", measured(spec), "label"), k)

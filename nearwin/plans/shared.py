@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI under ``spark.checkpoint.dir``; where that is unset, as in tests, under a temporary folder."""
+    """A new folder's URI under ``spark.checkpoint.dir``; where that is unset, under a temporary folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="nearwin-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/nearwin-{uuid.uuid4().hex}"

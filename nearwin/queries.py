@@ -354,9 +354,18 @@ FROM w r JOIN e ON e.position >= r.position - {WINDOW} AND e.position < r.positi
 n AS (SELECT qid, id, label, x * x + y * y + z AS d2, row_number() OVER (PARTITION BY qid ORDER BY x * x + y * y + z, id) AS rank FROM d QUALIFY rank <= {K})"""
 
 
+def events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"), F.col("user_id").alias("user"), "event_type")
+
+
 def event_neighbours(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"), F.col("user_id").alias("user"), "event_type")
-    return window.window_nearest(df, EVENTS, WINDOW, K)
+    return window.window_nearest(events(spark, sf_dir), EVENTS, WINDOW, K)
+
+
+def most_votes(near: DataFrame, *by: str) -> DataFrame:
+    """The class that most neighbours have, by query; of equals the first in order."""
+    counts = near.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("votes"))
+    return counts.groupBy(*by).agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("label"))
 
 
 @query("WITH " + STREAM_SQL + " SELECT qid, id, d2, rank FROM n")
@@ -367,10 +376,9 @@ def window_knn(spark, sf_dir):
 
 @query("WITH " + STREAM_SQL + ", v AS (SELECT qid, label, count(*) AS votes FROM n GROUP BY 1, 2), p AS (SELECT qid, arg_min(label, (-votes, label)) AS label FROM v GROUP BY qid) SELECT p.qid, e.label AS truth, p.label FROM p JOIN e ON e.id = p.qid")
 def window_classify(spark, sf_dir):
-    near = event_neighbours(spark, sf_dir).groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
-    made = near.groupBy("qid").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("label"))).alias("best"))
+    made = most_votes(event_neighbours(spark, sf_dir), "qid")
     truth = table(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), F.col("event_type").alias("truth"))
-    return made.join(truth, "qid").select("qid", "truth", F.col("best.label").alias("label"))
+    return made.join(truth, "qid").select("qid", "truth", "label")
 
 
 def order_neighbours(spark, sf_dir, k: int = K, **how) -> DataFrame:
@@ -621,9 +629,35 @@ def eval_kappa_temporal(spark, sf_dir):
     return evaluate.kappa_temporal(classified(spark, sf_dir))
 
 
-@query("WITH " + PREDICTED_SQL + " SELECT qid // 5000 AS period, count(*) AS n, round(avg((truth = label)::INTEGER) * 100, 6) AS accuracy_pct FROM k GROUP BY 1")
+TRAIN, TEST = 400, 100
+PERIOD_SQL = f"""e AS (
+  SELECT event_id AS id, value, hour(ts)::DOUBLE AS hour, user_id AS user, event_type AS label,
+    (row_number() OVER (ORDER BY event_id) - 1) // {TRAIN + TEST} AS period, (row_number() OVER (ORDER BY event_id) - 1) % {TRAIN + TEST} AS place
+  FROM events
+), t AS (
+  SELECT * FROM e WHERE place >= {TRAIN - WINDOW} AND place < {TRAIN}
+), w AS (
+  SELECT e.*, a1, b1, a2, b2
+  FROM e JOIN (SELECT period, min(value) AS a1, max(value) AS b1, min(hour) AS a2, max(hour) AS b2 FROM t GROUP BY period) b ON b.period = e.period
+  WHERE place >= {TRAIN}
+), d AS (
+  SELECT r.id AS qid, r.period, r.label AS truth, t.id, t.label, {norm_sql("r.value", 1)} - {norm_sql("t.value", 1)} AS x,
+    {norm_sql("r.hour", 2)} - {norm_sql("t.hour", 2)} AS y, CASE WHEN r.user = t.user THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS z
+  FROM w r JOIN t ON t.period = r.period
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x * x + y * y + z, id) AS rank FROM d QUALIFY rank <= {K}
+), v AS (
+  SELECT qid, period, truth, label, count(*) AS votes FROM n GROUP BY ALL
+), p AS (
+  SELECT qid, period, truth, arg_min(label, (-votes, label)) AS label FROM v GROUP BY qid, period, truth
+)"""
+
+
+@query("WITH " + PERIOD_SQL + " SELECT period, count(*) AS n, round(avg((truth = label)::INTEGER) * 100, 6) AS accuracy_pct FROM p GROUP BY period")
 def eval_periodic_holdout(spark, sf_dir):
-    return evaluate.periodic(classified(spark, sf_dir), 5000)
+    """Train on a stretch of events, then test on the next one, in turn."""
+    near = window.held_out_nearest(events(spark, sf_dir), EVENTS, TRAIN, TEST, WINDOW, K)
+    return evaluate.periodic(most_votes(near, "qid", "period", "truth"))
 
 
 SECOND_SQL = PREDICTED_SQL.replace("z AS", "z2 AS", 1).replace("z.", "z2.").replace("FROM z ", "FROM z2 ").replace("k AS", "k2 AS").replace("sum(1.0::DOUBLE)", "sum(1.0::DOUBLE / (sqrt(d2 / 3.0::DOUBLE) + 0.001::DOUBLE))")
@@ -705,15 +739,30 @@ ARRAY_D2 = "list_reduce(list_transform(range(1, 65), lambda i: ({a}[i]::DOUBLE -
 @query(f"WITH {EMBED_SQL}, p AS (SELECT q.id AS qid, v.id AS id, {ARRAY_D2.format(a='q.v', b='v.v')} AS d2 FROM v q, v WHERE q.id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM p QUALIFY rank <= {K}) SELECT qid, id, d2, rank FROM n")
 def rbc_exact(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
-    return approx.ball_cover_exact(df, df.filter("vec_id % 23 = 0"), asked(df, "vec_id"), "vec_id", "embedding", DIMS, K)
+    return approx.ball_cover_exact(df, approx.representatives(df, "vec_id")[0], asked(df, "vec_id"), "vec_id", "embedding", DIMS, K)
 
 
-@query(f"""WITH {EMBED_SQL}, l AS (SELECT r.id AS rid, v.id, v.v, row_number() OVER (PARTITION BY r.id ORDER BY {ARRAY_D2.format(a='r.v', b='v.v')}, v.id) AS place FROM v r, v WHERE r.id % 23 = 0 QUALIFY place <= 64),
-h AS (SELECT q.id AS qid, q.v, r.id AS rid, row_number() OVER (PARTITION BY q.id ORDER BY {ARRAY_D2.format(a='q.v', b='r.v')}, r.id) AS best FROM v q, v r WHERE q.id % 100 = 0 AND r.id % 23 = 0 QUALIFY best = 1),
-p AS (SELECT h.qid, l.id, {ARRAY_D2.format(a='h.v', b='l.v')} AS d2 FROM h JOIN l ON l.rid = h.rid), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM p QUALIFY rank <= {K}) SELECT qid, id, d2, rank FROM n""")
+#: Lists of OWN times as many rows as there are representatives, PROBES lists a query; the README has the recall.
+OWN, PROBES = 8, 8
+ONESHOT_SQL = f"""WITH {EMBED_SQL}, s AS (
+  SELECT ceil(sqrt(count(*)))::BIGINT AS step FROM v
+), l AS (
+  SELECT r.id AS rid, v.id, v.v, row_number() OVER (PARTITION BY r.id ORDER BY {ARRAY_D2.format(a="r.v", b="v.v")}, v.id) AS place
+  FROM v r, v, s WHERE r.id % step = 0 QUALIFY place <= {OWN} * any_value(step) OVER ()
+), h AS (
+  SELECT q.id AS qid, q.v, r.id AS rid, row_number() OVER (PARTITION BY q.id ORDER BY {ARRAY_D2.format(a="q.v", b="r.v")}, r.id) AS near
+  FROM v q, v r, s WHERE q.id % 100 = 0 AND r.id % step = 0 QUALIFY near <= {PROBES}
+), p AS (
+  SELECT DISTINCT h.qid, l.id, {ARRAY_D2.format(a="h.v", b="l.v")} AS d2 FROM h JOIN l ON l.rid = h.rid
+)
+SELECT qid, id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM p QUALIFY rank <= {K}"""
+
+
+@query(ONESHOT_SQL)
 def rbc_oneshot(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
-    return approx.ball_cover_oneshot(df, df.filter("vec_id % 23 = 0"), asked(df, "vec_id"), "vec_id", "embedding", DIMS, K, 64)
+    reps, step = approx.representatives(df, "vec_id")
+    return approx.ball_cover_oneshot(df, reps, asked(df, "vec_id"), "vec_id", "embedding", DIMS, K, OWN * step, PROBES)
 
 
 @query("SELECT vec_id, " + ", ".join("round((" + " + ".join(f"embedding[{i + 1}]::DOUBLE * ({approx.sparse_entry(i, j)})" for i in range(DIMS) if approx.sparse_entry(i, j)) + f") * sqrt(3.0::DOUBLE / 8), 6) AS p{j}" for j in range(8)) + " FROM embeddings")
@@ -750,7 +799,7 @@ def morton_code(spark, sf_dir):
 # --- Live streams: the whole events table through a stream, collected in a memory table
 
 
-def drained(spark, stream: DataFrame, name: str) -> DataFrame:
+def drained(spark, stream: DataFrame) -> DataFrame:
     """All rows that a stream gives for what is there now, by way of files in the shared folder."""
     from nearwin.plans.shared import shared_dir
 
@@ -767,12 +816,31 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
 
 
-@query()
+USER_WINDOW, USER_K = 32, 8
+OF_USER_SQL = f"WINDOW f AS (PARTITION BY key ORDER BY position ROWS BETWEEN {USER_WINDOW} PRECEDING AND 1 PRECEDING)"
+USERS_SQL = """u AS (
+  SELECT user_id::VARCHAR AS key, event_id AS "at", value, hour(ts)::DOUBLE AS hour, event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position
+  FROM events
+)"""
+
+
+@query(f'WITH {USERS_SQL} SELECT key, "at", count(*) OVER f AS held, first_value("at") OVER f AS "first" FROM u {OF_USER_SQL}')
 def stream_window(spark, sf_dir):
-    return drained(spark, live.windows(event_stream(spark, sf_dir).withColumn("one", F.lit("all")), "one", "event_id", [], WINDOW), "stream_window")
+    """Each user's events are a stream of their own."""
+    return drained(spark, live.windows(event_stream(spark, sf_dir), "user_id", "event_id", USER_WINDOW))
 
 
-@query()
+@query(f"""WITH {USERS_SQL}, w AS (
+  SELECT *, min(value) OVER f AS a1, max(value) OVER f AS b1, min(hour) OVER f AS a2, max(hour) OVER f AS b2 FROM u {OF_USER_SQL}
+), d AS (
+  SELECT r.key, r."at", r.label AS truth, u.position, u.label, {norm_sql("r.value", 1)} - {norm_sql("u.value", 1)} AS x, {norm_sql("r.hour", 2)} - {norm_sql("u.hour", 2)} AS y
+  FROM w r JOIN u ON u.key = r.key AND u.position >= r.position - {USER_WINDOW} AND u.position < r.position WHERE r.position > {USER_WINDOW}
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY "at" ORDER BY x * x + y * y, position) AS rank FROM d QUALIFY rank <= {USER_K}
+), v AS (
+  SELECT key, "at", truth, label, count(*) AS votes FROM n GROUP BY ALL
+)
+SELECT key, "at", truth, arg_min(label, (-votes, label)) AS label FROM v GROUP BY key, "at", truth""")
 def stream_knn(spark, sf_dir):
-    rows = event_stream(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("user"), F.col("value"), F.hour("ts").cast("double").alias("hour"), "event_type", (F.col("user_id") % 8).alias("shard"))
-    return drained(spark, live.classify(rows, "shard", "event_id", ["value", "hour"], "event_type", WINDOW, K), "stream_knn")
+    rows = event_stream(spark, sf_dir).withColumn("hour", F.hour("ts"))
+    return drained(spark, live.classify(rows, "user_id", "event_id", ["value", "hour"], "event_type", USER_WINDOW, USER_K))

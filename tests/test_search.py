@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
 from nearwin.operators import approx, knn, ranges, spacetree, window
+from nearwin.queries import QUERIES
 from nearwin.spec import FeatureSpec
 from nearwin.streaming.window import squared
+from tests.conftest import DATA
 
 SPEC = FeatureSpec(("x", "z"), ("c",), "y")
 
@@ -136,14 +138,8 @@ def test_stream_distance_has_the_same_rules():
         assert got == pytest.approx(want)
 
 
-def test_window_with_missing_values(spark):
-    """Neighbours among the rows before, with gaps in every attribute, against plain Python."""
-    rng = random.Random(17)
-    gap = lambda v: None if rng.random() < 0.3 else v
-    rows = [(i, gap(rng.random() * 9), gap(float(rng.randrange(3))), gap(rng.choice("ab")), "l") for i in range(60)]
-    rows[20:32] = [(i, None, 1.0, "a", "l") for i in range(20, 32)]
-    spec = FeatureSpec(("x", "y"), ("n",), "label", "id")
-    got = window.window_nearest(spark.createDataFrame(rows, "id long, x double, y double, n string, label string"), spec, 8, 3).collect()
+def window_distance(q, r, past):
+    """By the rules for missing values, with ranges of the window's rows; columns 1 and 2 are numbers, 3 is a name."""
 
     def between(a, b, seen):
         low, high = (min(seen), max(seen)) if seen else (0, 0)
@@ -155,17 +151,56 @@ def test_window_with_missing_values(spark):
             return 1 - v if v < 0.5 else v
         return a - b
 
+    d = [between(q[c], r[c], [p[c] for p in past if p[c] is not None]) for c in (1, 2)]
+    d.append(0.0 if q[3] is not None and q[3] == r[3] else 1.0)
+    return sum(v * v for v in d)
+
+
+def test_window_with_missing_values(spark):
+    """Neighbours among the rows before, with gaps in every attribute, against plain Python."""
+    rng = random.Random(17)
+    gap = lambda v: None if rng.random() < 0.3 else v
+    rows = [(i, gap(rng.random() * 9), gap(float(rng.randrange(3))), gap(rng.choice("ab")), "l") for i in range(60)]
+    rows[20:32] = [(i, None, 1.0, "a", "l") for i in range(20, 32)]
+    spec = FeatureSpec(("x", "y"), ("n",), "label", "id")
+    got = window.window_nearest(spark.createDataFrame(rows, "id long, x double, y double, n string, label string"), spec, 8, 3).collect()
+
     want = []
     for q in range(8, 60):
-        past, found = rows[q - 8 : q], []
-        for r in past:
-            d = [between(rows[q][c], r[c], [p[c] for p in past if p[c] is not None]) for c in (1, 2)]
-            d.append(0.0 if rows[q][3] is not None and rows[q][3] == r[3] else 1.0)
-            found.append((sum(v * v for v in d), r[0]))
+        past = rows[q - 8 : q]
+        found = [(window_distance(rows[q], r, past), r[0]) for r in past]
         want += [(q, i, pytest.approx(d2), k) for k, (d2, i) in enumerate(sorted(found)[:3], 1)]
     assert sorted((r["qid"], r["id"], r["d2"], r["rank"]) for r in got) == sorted(want, key=lambda w: (w[0], w[1]))
 
 
+def test_held_out_stretches(spark):
+    """Rows of test stretches meet the last rows of their own train stretch, with gaps; tested rows are not learned."""
+    rng = random.Random(5)
+    gap = lambda v: None if rng.random() < 0.3 else v
+    rows = [(i * 3, gap(rng.random() * 9), gap(float(rng.randrange(3))), gap(rng.choice("ab")), rng.choice("lm")) for i in range(53)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, n string, label string")
+    got = window.held_out_nearest(df, FeatureSpec(("x", "y"), ("n",), "label", "id"), 10, 4, 6, 3).collect()
+    want = []
+    for at, q in enumerate(rows):
+        period, place = divmod(at, 14)
+        if place >= 10:
+            past = rows[period * 14 + 4 : period * 14 + 10]
+            found = sorted((window_distance(q, r, past), r[0], r[4]) for r in past)[:3]
+            want += [(q[0], period, q[4], i, pytest.approx(d2), k, label) for k, (d2, i, label) in enumerate(found, 1)]
+    columns = ("qid", "period", "truth", "id", "d2", "rank", "label")
+    assert len(want) == 3 * (4 * 3 + 1)
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=lambda r: (r[0], r[5])) == want
+    assert window.held_out_nearest(df.limit(0), FeatureSpec(("x", "y"), ("n",), "label", "id"), 10, 4, 6, 3).isEmpty()
+    with pytest.raises(ValueError):
+        window.held_out_nearest(df, SPEC, 5, 4, 6, 3)
+
+
+def test_one_shot_recall_at_the_registered_parameters(spark):
+    """On embeddings, against the exact cover."""
+    got, want = (found(QUERIES[name](spark, DATA)) for name in ("rbc_oneshot", "rbc_exact"))
+    assert sum(len(got[q] & w) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def plain_tree(rows, dims, leaf, path="1"):
     """(leaf path, id) by the rule, in plain Python."""
     width = [max(v) - min(v) if (v := [r[d] for r in rows if r[d] is not None]) else 0.0 for d in dims]
