@@ -1,6 +1,7 @@
 """Hand cases: differences, votes, ties, ranges, options, sources."""
 
 import math
+import statistics
 
 import pytest
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from nearwin.functions import distance as D
 from nearwin.operators import evaluate, knn, primitives, ranges, spacetree, votes
 from nearwin.plans.ordering import bucket_of
+from nearwin.plans.shared import shared_dir
 from nearwin.queries import SAMPLE_ARFF, SAMPLE_LOG
 from nearwin.sources.registry import open_source
 from nearwin.spec import FeatureSpec, SearchOptions, places
@@ -78,7 +80,7 @@ def test_window_of_two(spark):
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=40), st.integers(1, 5))
 def test_tree_finds_the_k_nearest(spark, values, k):
     df = spark.createDataFrame([(i, float(v), float(v * v % 7)) for i, v in enumerate(values)], "id long, x double, z double")
-    got = spacetree.tree_nearest(df, df.filter("id = 0"), "id", ("x", "z"), k, depth=3).orderBy("rank").collect()
+    got = spacetree.tree_nearest(df, df.filter("id = 0"), "id", ("x", "z"), k, leaf=4).orderBy("rank").collect()
     d2 = sorted(((values[0] - v) ** 2 + (values[0] ** 2 % 7 - v * v % 7) ** 2, i) for i, v in enumerate(values))[:k]
     assert [(r["d2"], r["id"]) for r in got] == d2
 
@@ -141,6 +143,40 @@ def test_generators_repeat(spark):
     assert open_source(spark, "random_tree", rows=25_000, seed=3).count() == 25_000
 
 
+def test_trimmed_median(spark):
+    """Groups over many buckets, with ties, gaps, a missing group and too few values, against plain Python."""
+    rows = [("a", float(i * 7919 % 3001) / 4) for i in range(3001)] + [("b", 2.5)] * 900 + [("b", None)] * 50 + [("c", 1.0), ("c", 2.0), ("d", None)] + [(None, float(i)) for i in range(6)]
+    got = dict(tuple(r) for r in primitives.trimmed_median(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect())
+    of = lambda g: sorted(v for h, v in rows if h == g and v is not None)[1:-1]
+    assert got == {g: statistics.median(of(g)) if of(g) else None for g in ("a", "b", "c", "d", None)}
+
+
+def test_stream_windows_and_missing_classes(spark, tmp_path):
+    """Rows out of order in two batches; a missing class has no vote, a row without a place no part."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "key string, at long, x double, y string"
+    data = [("k", i, float(i), None if i < 4 else "A") for i in range(12)]
+    for name, made in (("windows", lambda s: live.windows(s, "key", "at", 3)), ("votes", lambda s: live.classify(s, "key", "at", ["x"], "y", 3, 2))):
+        for part in (data[5::-1], [*data[:5:-1], ("k", None, 1.0, "B"), (None, 7, 1.0, "B")]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{source}/{name}")
+            stream = made(spark.readStream.schema(schema).parquet(f"{source}/{name}"))
+            stream.writeStream.format("parquet").option("path", f"{out}/{name}").option("checkpointLocation", f"{out}/state-{name}").trigger(availableNow=True).start().awaitTermination()
+    held = sorted(tuple(r) for r in spark.read.parquet(f"{out}/windows").filter("key IS NOT NULL").select("at", "held", "first").collect())
+    assert held == [(i, min(i, 3), max(0, i - 3) if i else None) for i in range(12)]
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/windows").filter("key IS NULL").select("at", "held", "first").collect()] == [(7, 0, None)]
+    said = {r["at"]: r["label"] for r in spark.read.parquet(f"{out}/votes").collect()}
+    assert said == {i: None if i < 5 else "A" for i in range(3, 12)}
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster)
+
+
 def test_stream_matches_batch(spark, tmp_path):
     """A stream in two batches, restarted from its checkpoint, keeps the window that one batch has."""
     source, out = tmp_path / "in", str(tmp_path / "out")
