@@ -12,7 +12,7 @@ from nearwin.llm import jaccard
 from nearwin.llm.components import components
 from nearwin.llm.shingles import BITS, hashes, majority, shingles  # noqa: F401
 from nearwin.llm.words import Start
-from nearwin.plans.shared import small_batches, written
+from nearwin.plans.shared import small_batches, unsent, written
 
 #: A segment: its lowest bit and width.
 Cut = tuple[int, int]
@@ -64,14 +64,15 @@ def variants(prints: DataFrame, cuts: list[Cut]) -> DataFrame:
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b): every pair of different fingerprints, of a table of distinct ones, at ``distance`` or fewer differing bits.
 
-    The equality join on keys checks each pair in its condition, so only such pairs leave it. A pair is found once for
+    The equality join on keys checks each pair in its condition, so only such pairs leave it; its sides hold about 34 rows a
+    fingerprint and are never broadcast. A pair is found once for
     each segment that differs in one bit at most; repeats go.
     """
     found = variants(prints, segments(distance))
     left = found.filter("side != 1").select(F.col("fp").alias("x"), "key")
     right = found.filter("side != 0").select(F.col("fp").alias("y"), "key")
     close = (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance) & (F.col("x") != F.col("y"))
-    return left.join(right, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return left.join(unsent(right), "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -81,9 +82,9 @@ def classes(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame
     many; links are between fingerprints, so no group is expanded into pairs.
     """
     roots = components(linked, "a", "b")
-    of = written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    of = written(nodes.join(unsent(roots), nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(of.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return prints.join(unsent(of.join(unsent(least), "root").select("fp", "root", "component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,9 +105,9 @@ def similar_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     Nodes of one fingerprint are paired with its first; the first nodes of linked fingerprints with each other.
     """
     heads = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")))
-    same = nodes.join(heads, "fp").select("node", "size", F.col("head.node").alias("other"), F.col("head.size").alias("other_size")).filter("node != other")
+    same = nodes.join(unsent(heads), "fp").select("node", "size", F.col("head.node").alias("other"), F.col("head.size").alias("other_size")).filter("node != other")
     side = lambda fp, head: heads.select(F.col("fp").alias(fp), F.col("head").alias(head))
-    near = links(heads.select("fp"), distance).join(side("a", "one"), "a").join(side("b", "two"), "b")
+    near = links(heads.select("fp"), distance).join(unsent(side("a", "one")), "a").join(unsent(side("b", "two")), "b")
     return same.unionByName(near.select("one.node", "one.size", F.col("two.node").alias("other"), F.col("two.size").alias("other_size")))
 
 
@@ -133,10 +134,10 @@ def one_of_each(docs: DataFrame, words: int = 5, least: tuple[int, int] = jaccar
         return docs.select(*columns, *place).join(wanted, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), how)
 
     asked = shared.select("node").union(close.select("a")).union(close.select("b")).distinct()
-    texts = read_again(nodes.select("node", "kept").join(asked, "node"), "inner", F.col(text_col).alias("__text"))
+    texts = read_again(nodes.select("node", "kept").join(unsent(asked), "node"), "inner", F.col(text_col).alias("__text"))
     sets = written(texts.dropDuplicates(["node"]).select("node", jaccard.whole_set(F.col("__text"), words).alias("set")))
     roots = components(jaccard.links(close, shared, sets, least), "a", "b").withColumnRenamed("node", "of")
-    kept = nodes.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))
+    kept = nodes.join(unsent(roots), F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))
     rows = read_again(kept.select("kept"), "left_semi", F.struct(*docs.columns).alias("row"))
     if not prints.groupBy("doc_id", "hash").count().filter("count > 1").isEmpty():
         rows = rows.groupBy("doc_id", "hash").agg(F.min("row").alias("row"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nearwin.llm import fingerprints, jaccard, sharding, simhash
 from nearwin.llm.components import components
+from nearwin.plans.shared import written
 from tests.llm import nasty
 
 
@@ -266,3 +267,18 @@ def test_near_copies_by_exact_similarity(spark):
                 parent[max(x, y)] = min(x, y)
     kept = {r["doc_id"] for r in simhash.one_of_each(nasty.docs(spark, texts)).collect()}
     assert kept == {i for i in range(len(texts)) if find(i) == i}
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_variants_are_not_broadcast(spark):
+    plan = planned(simhash.links(written(spark.range(50).select(F.xxhash64("id").alias("fp")))))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_bands_and_tokens_are_not_broadcast(spark):
+    nodes = written(spark.range(50).selectExpr("id AS node", "5 AS size", "id AS root", "id % 7 AS key", "sequence(id, id + 4) AS set"))
+    assert "BroadcastHashJoin" not in planned(jaccard.to_pivots(nodes.select("node", "size", "key")))
+    assert "BroadcastHashJoin" not in planned(jaccard.crossing(nodes.select("node", "size", "root"), nodes.select("node", "set"), (4, 5)))
