@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nearwin.llm.components import components
 from nearwin.llm.shingles import hashes, majority
 from nearwin.llm.words import Start
-from nearwin.plans.shared import written
+from nearwin.plans.shared import unsent, written
 
 #: Bands of minima, and minima in a band: of pairs at a similarity of 0.8, 1 - (1 - 0.8^5)^24 = 0.9999 share a band.
 BANDS, DEEP = 24, 5
@@ -81,7 +81,7 @@ def sharing(nodes: DataFrame) -> DataFrame:
     """(node, size, key): the bands of a table of different nodes that at least two nodes have."""
     each = nodes.select("node", "size", F.explode("bands").alias("key"))
     several = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    return written(each.join(several, "key").select("node", "size", "key"))
+    return written(each.join(unsent(several), "key").select("node", "size", "key"))
 
 
 def met(one: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -97,9 +97,9 @@ def to_pivots(shared: DataFrame) -> DataFrame:
     In a group of near copies that is one with few changes, to which most of the group is similar.
     """
     counts = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weight = shared.join(counts, "key").groupBy("node", "size").agg(F.sum("n").alias("weight"))
-    pivots = shared.join(weight.drop("size"), "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("pivot"))
-    return shared.join(pivots, "key").select("node", "size", F.col("pivot.node").alias("other"), F.col("pivot.size").alias("other_size"))
+    weight = shared.join(unsent(counts), "key").groupBy("node", "size").agg(F.sum("n").alias("weight"))
+    pivots = shared.join(unsent(weight.drop("size")), "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("pivot"))
+    return shared.join(unsent(pivots), "key").select("node", "size", F.col("pivot.node").alias("other"), F.col("pivot.size").alias("other_size"))
 
 
 def crossing(held: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -113,9 +113,9 @@ def crossing(held: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
     a large group that is one component already costs what the nodes outside of it do.
     """
     up, down = least
-    tokens = held.join(sets, "node").select("node", "size", "root", F.explode("set").alias("token"))
+    tokens = held.join(unsent(sets), "node").select("node", "size", "root", F.explode("set").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    some = tokens.join(counts, "token")
+    some = tokens.join(unsent(counts), "token")
     of_node = Window.partitionBy("node")
     unique = F.col("size") - F.count(F.lit(1)).over(of_node)
     place = unique + F.row_number().over(of_node.orderBy("n", "token")) - 1
@@ -125,13 +125,13 @@ def crossing(held: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
     roots = roots.groupBy("token").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.max("most").alias("most"), F.min("small").alias("small"))
     roots = roots.filter("roots > 1").select("token", F.col("main.root").alias("main"), "most", "small")
     enough = lambda left, most, size, small: (up + down) * F.least(left, most) >= up * (F.col(size) + F.col(small))
-    fit = entries.join(roots, "token").filter(enough("left", "most", "size", "small")).drop("most", "small")
+    fit = entries.join(unsent(roots), "token").filter(enough("left", "most", "size", "small")).drop("most", "small")
     outside = fit.filter("root != main")
     reach = outside.groupBy("token").agg(F.max("left").alias("most"), F.min("size").alias("small"))
-    inside = fit.join(reach, "token").filter((F.col("root") != F.col("main")) | enough("left", "most", "size", "small"))
+    inside = fit.join(unsent(reach), "token").filter((F.col("root") != F.col("main")) | enough("left", "most", "size", "small"))
     other = inside.select("token", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"), F.col("left").alias("other_left"))
     once = (F.col("other_root") == F.col("main")) | (F.col("node") < F.col("other"))
-    pairs = outside.join(other, "token").filter((F.col("root") != F.col("other_root")) & once & enough("left", "other_left", "size", "other_size"))
+    pairs = outside.join(unsent(other), "token").filter((F.col("root") != F.col("other_root")) & once & enough("left", "other_left", "size", "other_size"))
     return pairs.select("node", "size", "other", "other_size")
 
 
@@ -145,11 +145,11 @@ def links(close: DataFrame, shared: DataFrame, sets: DataFrame, least: tuple[int
 
     def verified(found: DataFrame) -> DataFrame:
         side = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"of_{n}"))
-        return written(found.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("of_a"), F.col("of_b"), least)).select("a", "b"))
+        return written(found.join(unsent(side("a")), "a").join(unsent(side("b")), "b").filter(alike(F.col("of_a"), F.col("of_b"), least)).select("a", "b"))
 
     first = verified(close.union(met(to_pivots(shared), least)).distinct())
-    rooted = shared.join(components(first, "a", "b").withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    rooted = shared.join(unsent(components(first, "a", "b").withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left")
     held = written(rooted.select("node", "size", "key", F.coalesce("root", "node").alias("root")))
     parted = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    held = written(held.join(parted, "key").select("node", "size", "root").distinct())
+    held = written(held.join(unsent(parted), "key").select("node", "size", "root").distinct())
     return first.union(verified(met(crossing(held, sets, least), least)))
