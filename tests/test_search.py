@@ -248,3 +248,29 @@ def test_small_cells_lose_nothing(spark):
     for raw in (False, True):
         got, want = ({(r["qid"], r["id"], r["d2"]) for r in knn.nearest(df, df.filter("id % 20 = 0"), SPEC, of, 9, raw=raw, leave_one_out=True, skip_identical=raw, per_block=b).collect()} for b in (8, 10**6))
         assert got == want
+
+
+@pytest.mark.parametrize("raw", [False, True])
+def test_search_split_by_nominal_attributes_loses_nothing(spark, monkeypatch, raw):
+    rng = random.Random(8)
+    rows = [(*r[:4], rng.choice(["u", "v", None]), r[4]) for r in mixed_rows(300, 3)] + [(1000 + i, 5.0, 0.5, "p", "u", "A") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, c string, d string, y string")
+    spec = FeatureSpec(("x", "z"), ("c", "d"), "y")
+    of = ranges.ranges_of(df, spec.numeric)
+    ask = lambda: {(r["qid"], r["id"], r["d2"], r["y"]) for r in knn.nearest(df, df.filter("id % 20 = 0"), spec, of, 9, raw=raw, leave_one_out=True, extra=("y",), per_block=8).collect()}
+    want = ask()
+    monkeypatch.setattr(knn, "MOST_MET", -1)
+    monkeypatch.setattr(knn, "MOST_CELLS", -1)
+    assert ask() == want
+
+
+def test_few_numbers_do_not_make_a_search_all_pairs(spark, monkeypatch):
+    """Two values of the number, 40 of the name, 20 copies of each pair: a query's 5 nearest are among its copies."""
+    monkeypatch.setattr(knn, "MOST_MET", 1000, raising=False)
+    monkeypatch.setattr(knn, "MOST_CELLS", 1, raising=False)
+    df = spark.range(1600).selectExpr("id", "CAST(id % 2 AS double) AS x", "CAST(id DIV 2 % 40 AS string) AS c")
+    spec = FeatureSpec(("x",), ("c",))
+    queries = df.filter("id % 100 = 0")
+    d2 = knn.measured(spec, ranges.ranges_of(df, spec.numeric))
+    pairs = knn.candidates(df, queries, spec, d2, 5, {"x": 0.5}, F.col("qid") != F.col("id"), per_block=16)
+    assert pairs.groupBy("qid").count().filter("count < 5 or count > 20").isEmpty() and pairs.select("qid").distinct().count() == 16
