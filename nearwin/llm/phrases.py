@@ -28,7 +28,7 @@ SEED, TURN = 42, np.uint64(21)
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + b",;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 
 
-def slices(texts: list[bytes], most: int = SLICE) -> Iterator[bytes]:
+def slices(texts: list[bytes], most: int) -> Iterator[bytes]:
     """The texts one after the other, each an own piece, in parts of about ``most`` bytes that are cut between pieces."""
     held, size = [], 0
     for text in texts:
@@ -111,7 +111,7 @@ def counted(docs: DataFrame, k: int, bits=None) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by[lang].append(text or b"")
             for lang, texts in by.items():
-                for part in slices(texts):
+                for part in slices(texts, SLICE):
                     found, n = phrases(part, k, start(lang), None if bits is None else bits.value)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 

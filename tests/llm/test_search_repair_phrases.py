@@ -240,7 +240,7 @@ def test_collocations_with_a_full_bit_table_and_small_parts(spark, monkeypatch):
     got = phrases.collocations(spark.createDataFrame(rows, "text string, lang string"), 3, 3, 100)
     assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, 3, 3, 100)
     parts = list(phrases.slices([b"ab.cd ef.gh", b"x" * 9], 4))
-    assert len(parts) > 2 and b".".join(parts).replace(b"..", b".") == b"ab.cd ef.gh." + b"x" * 9
+    assert len(parts) > 2 and sorted(p for part in parts for p in part.split(b".") if p) == [b"ab", b"cd ef", b"gh", b"x" * 9]
 
 
 def test_collocations_exact_beyond_64_bits(spark):
