@@ -37,8 +37,8 @@ def unsent(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: evaluated once, safe against lost executors."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
