@@ -72,11 +72,12 @@ def table_of(lengths: dict[int, int]) -> Huffman:
     return Huffman(bytes(len(x) for x in by), bytes(s for x in by for s in x))
 
 
-#: For direct-current differences: sizes 0 to 9 in four bits each. For other coefficients: no run and size 1 to 9, the
-#: end of a block and sixteen zeros in four bits each, all other symbols in ten.
+#: For direct-current differences: sizes 0 to 9 in four bits each. For other coefficients: sizes after no run in one to nine
+#: bits, shortest those of frequent bytes (see ``FREQUENT``), sixteen zeros in four and the end of a block in six; all other
+#: symbols, which text does not need, in eleven, so that three times sixteen zeros, a symbol and its bits take 32 at most.
 DC_TABLE = table_of({s: 4 for s in range(10)})
-SHORT = {0x00, 0xF0, *range(1, 10)}
-AC_TABLE = table_of({s: 4 for s in SHORT} | {r << 4 | s: 10 for r in range(16) for s in range(1, 10) if (r << 4 | s) not in SHORT})
+AC_LENGTHS = {0x02: 1, 0x01: 2, 0x03: 4, 0xF0: 4, 0x00: 6, 0x04: 6, 0x05: 7, 0x06: 7, 0x07: 9, 0x08: 9, 0x09: 9}
+AC_TABLE = table_of({r << 4 | s: 11 for r in range(16) for s in range(1, 10)} | AC_LENGTHS)
 
 # --- Decoder
 
@@ -386,6 +387,25 @@ class Batch:
 
 # --- Encoder of payloads
 
+#: Bytes of text in Latin scripts, roughly the frequent ones first.
+FREQUENT = b" enatirsohdlucmgpfbwyv.,\xc3\xa9kz\xa8q-jx'\nETSAIOCRNDLMPUHGFBWVKYJZQX0123456789\"():;!?&%#/*$@_|[]{}+="
+
+
+def coefficients() -> np.ndarray:
+    """The coefficient that stands for each byte: the more frequent, the smaller, but not under 2.
+
+    A file's first pass over a coefficient leaves the lowest bit to a second one, in which 1 and -1 would turn up as new:
+    they stand for two bytes that no text has, and 0 for the zero bytes that fill a payload up.
+    """
+    values = sorted(range(-128, 128), key=lambda v: (abs(v), v))
+    order = bytes([0, 0xFF, 0xFE]) + FREQUENT
+    out = np.zeros(256, np.int16)
+    out[[*order, *(b for b in range(256) if b not in order)]] = values
+    return out
+
+
+COEFFICIENT = coefficients()
+BYTE = np.argsort(COEFFICIENT).astype(np.uint8)  # by coefficient + 128
 #: Blocks (or units) in a restart interval; blocks coded at a time.
 INTERVAL, SLICE = 8, 1 << 14
 #: Spectral bands of the first pass for luma; chroma has one. Each pass leaves the lowest bit to a second one.
@@ -555,7 +575,7 @@ def ac_refine(blocks: np.ndarray, first: int, last: int, low: int):
         code[:, 1:], n[:, 1:] = np.where(known, size & 1, 0), known
         plain = ~new.any(axis=1)
         code[plain, 0], n[plain, 0] = AC_CODE[0], AC_SIZE[0]
-        for i in np.flatnonzero(~plain).tolist():  # rare in payloads of text: a value of 127 or 129
+        for i in np.flatnonzero(~plain).tolist():  # bytes that no text has
             at, stretch = 0, []
             for t in np.flatnonzero(new[i]).tolist():
                 zeros = [z for z in range(at, t) if not known[i, z]]
@@ -579,8 +599,8 @@ def ac_refine(blocks: np.ndarray, first: int, last: int, low: int):
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A progressive file, 4:2:0, for each payload of a positive multiple of 64 bytes.
 
-    Each run of 64 bytes is a block: its bytes less 128 are the block's coefficients in zigzag order, the format's own
-    unit, with all quantizers 1. Six blocks make a unit (four luma, two chroma); units that fill up the picture are zero.
+    Each run of 64 bytes is a block: a coefficient for each byte (``COEFFICIENT``) in zigzag order, the format's own unit,
+    with all quantizers 1. Six blocks make a unit (four luma, two chroma); units that fill up the picture are zero.
     The comment holds the payload's length. Restart intervals are INTERVAL blocks or units.
     """
     counts = np.array([len(p) // 64 for p in payloads])
@@ -591,8 +611,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     blocks = np.zeros((int(full.sum()) * 6, 64), np.int16)
     at = (np.cumsum(full) - full) * 6
     for p, a, n in zip(payloads, at.tolist(), counts.tolist(), strict=True):
-        blocks[a : a + n] = np.frombuffer(p, np.uint8).reshape(-1, 64)
-        blocks[a : a + n] -= 128
+        blocks[a : a + n] = COEFFICIENT[np.frombuffer(p, np.uint8)].reshape(-1, 64)
     by_unit = blocks.reshape(-1, 6, 64)
     luma, chroma = raster(by_unit[:, :4], across, down, full), (by_unit[:, 4], by_unit[:, 5])
     dc = by_unit[:, :, 0]
@@ -635,4 +654,4 @@ def payload(batch: Batch, i: int) -> bytes:
     luma = batch.blocks[c[0].base : c[0].base + full * 4]
     out[:, :4] = luma.reshape(pic.units_high, 2, pic.units_wide, 2, 64).swapaxes(1, 2).reshape(full, 4, 64)
     out[:, 4], out[:, 5] = (batch.blocks[x.base : x.base + full] for x in c[1:])
-    return (out.reshape(-1)[:n] + 128).astype(np.uint8).tobytes()
+    return BYTE[out.reshape(-1)[:n] + 128].tobytes()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.llm.jpeg import Batch, encode, payload
-from nearwin.plans.shared import small_batches
+from nearwin.plans.shared import small_batches, written
 
 #: Bytes of payloads or files coded at a time; a larger one is coded by itself.
 AT_A_TIME = 1 << 21
@@ -35,7 +35,12 @@ def padded(raw: bytes) -> bytes:
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media, the file that holds the text's UTF-8 bytes filled up to a positive multiple of 64."""
+    """doc_id, n_bytes and media, the file that holds the text's UTF-8 bytes filled up to a positive multiple of 64.
+
+    Null and empty texts: 64 zero bytes. Equal texts have equal files. Repeated rows keep a row each, and so does a null id.
+    Very long texts are coded by themselves; payloads over about 2^31 pixels of picture (some hundred MB) don't fit the
+    format and fail. Empty table: no rows. Other columns are not looked at.
+    """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +53,11 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """doc_id, height, width and rgb (height x width x 3 bytes) of every file of a media column; null for a null file."""
+    """doc_id, height, width and rgb (height x width x 3 bytes) of every file of a media column.
+
+    A null file: all but doc_id null. Equal files have equal tensors, repeated rows a row each. A file that is no progressive
+    JPEG of 8-bit samples is an error. Empty table: no rows. Other columns are not looked at.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +83,7 @@ def feature(rgb) -> str:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests of what the files of ``stored`` hold: their payloads, themselves, and their tensors."""
+    """Digests of what the files of a table of ``stored`` hold: their payloads, themselves, and their tensors."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,14 +96,15 @@ def read_back(media: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
-    return media.mapInArrow(look, READ)
+    return small_batches(media).mapInArrow(look, READ)
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every row.
 
-    A text becomes a file of a media column, and all but n_bytes is taken from that file. Null and empty texts: a payload
+    A text becomes a file of a media column of a table in the shared folder; all but n_bytes is taken from the file that is
+    read back from there. Null and empty texts: a payload
     of 64 zero bytes. Equal texts have equal files. Repeated rows keep a row each. Empty table: no rows. Other columns
     are not looked at. Payloads over about 2^31 pixels of picture (some hundred MB) don't fit the format and fail.
     """
-    return read_back(stored(docs, id_col, text_col))
+    return read_back(written(stored(docs, id_col, text_col), compression="zstd"))
