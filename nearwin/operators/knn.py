@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -17,8 +18,10 @@ from nearwin.spec import FeatureSpec
 MOST_SENT = 50_000
 #: About so many rows make the sample that bounds the search of queries whose own cell holds fewer than k rows.
 SAMPLE = 4096
-#: Pairs in all, and times a cell's rows a query, beyond which a search in cells of numeric attributes is split by nominal ones.
+#: Pairs in all, and times a cell's rows a query, beyond which equal rows are met once and nominal attributes split the search.
 MOST_MET, MOST_CELLS = 100_000_000, 32
+#: Nominal attributes that split a search at most: a search for each of their subsets.
+SPLIT_BY = 2
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -58,52 +61,102 @@ def with_bounds(sides: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, d2:
     return written(own.join(second, "qid", "left").withColumn("bound", F.coalesce("bound", "second")).drop("second"))
 
 
+@dataclass(frozen=True)
+class Search:
+    """What stays the same while one set of queries looks for neighbours: how, and which pairs count."""
+
+    spec: FeatureSpec
+    d2: Column
+    k: int
+    half: dict[str, float]
+    keep: Column
+    per_block: int
+
+    def near(self) -> Column:
+        return self.keep & (F.col("bound").isNull() | (self.d2 <= F.col("bound")))
+
+
 def candidates(
     train: DataFrame, queries: DataFrame, spec: FeatureSpec, d2: Column, k: int, half: dict[str, float],
-    keep: Column | None = None, extra: tuple[str, ...] = (), per_block: int = blocks.PER_BLOCK,
+    keep: Column | None = None, extra: tuple[str, ...] = (), per_block: int = blocks.PER_BLOCK, ties: bool = False, own: bool = True,
 ) -> DataFrame:
     """(qid, id, d2, ...) of pairs that can be among a query's k nearest.
 
     The k-th distance among any part of the rows bounds the k-th of all, so nothing near is lost. That part is the query's
     own cell of a quantile grid (of an overfull cell every few rows); where that holds fewer than k rows, a sample of the
-    table. A query then meets the rows of those cells only that its bound reaches. One without a bound meets all. Where
-    those are too many, because numeric attributes have few values or tell little, nominal ones split the search.
+    table. A query then meets the rows of those cells only that its bound reaches. One without a bound meets all.
+
+    Where those are too many, because rows are equal, or numeric attributes have few values or tell little, of rows equal
+    in all attributes only those with the k (with ``own``, where a query's own row may not count, k + 1) smallest ids are
+    met; for ``ties`` the others come back at the end. If they still are too many, nominal attributes split the search.
     """
-    keep = F.lit(True) if keep is None else keep
-    grid = blocks.laid(train, spec.numeric, per_block)
+    how = Search(spec, d2, k, half, F.lit(True) if keep is None else keep, per_block)
     columns = [c for c in dict.fromkeys((*spec.attributes, *extra)) if c != "id"]
-    rows = written(grid.placed(spread(train.select(F.col(spec.key).alias("id"), *columns))))
-    sides = grid.placed(sided(queries, spec), "q_").drop("coarse")
+    found = ["qid", "id", d2.alias("d2"), *(c for c in extra if c != "id")]
+    rows, sides = spread(train.select(F.col(spec.key).alias("id"), *columns)), sided(queries, spec)
+    placed, bounded, reach, many = _reach(rows, sides, how)
+    if not many:
+        return placed.drop("coarse").join(sent(reach.drop("n")), "cell").filter(how.near()).select(*found)
+    place = F.row_number().over(Window.partitionBy(*spec.attributes).orderBy("id"))
+    few = written(placed.drop("cell", "coarse").withColumn("place", place).filter(F.col("place") <= k + own).drop("place"))
+    few, bounded, reach, many = _reach(few, sides, how)
+    if many and spec.nominal:
+        pairs = split(few.drop("cell", "coarse"), bounded, how)
+    else:
+        pairs = few.drop("coarse").join(sent(reach.drop("n")), "cell").filter(how.near())
+    if not ties:
+        return pairs.select(*found)
+    pairs = written(pairs.select("qid", "id", d2.alias("d2"), *spec.attributes))
+    at = F.row_number().over(Window.partitionBy("qid").orderBy("d2"))
+    far = pairs.withColumn("at", at).filter(F.col("at") == k).select("qid", F.col("d2").alias("kth"))
+    kinds = pairs.join(far, "qid", "left").filter(F.col("kth").isNull() | (F.col("d2") <= F.col("kth"))).groupBy("qid", *spec.attributes).agg(F.min("d2").alias("d2"))
+    kinds = kinds.withColumnsRenamed({c: f"__{c}" for c in spec.attributes})
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), spec.attributes, F.lit(True))
+    back = placed.drop("cell", "coarse").join(kinds, same)
+    if own:
+        back = back.join(sides, "qid").filter(how.keep)
+    return back.select("qid", "id", "d2", *(c for c in extra if c != "id"))
+
+
+def _reach(rows: DataFrame, sides: DataFrame, how: Search) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """``rows`` with their cells, queries with bounds, the cells that each reaches, all written; and whether those hold too many rows."""
+    spec, d2 = how.spec, how.d2
+    grid = blocks.laid(rows, spec.numeric, how.per_block)
+    rows = written(grid.placed(rows))
+    sides = grid.placed(sides, "q_").drop("coarse")
     fine = written(blocks.boxes(rows, ["cell", "coarse"], spec.numeric))
 
-    home = blocks.thinned(rows.join(sent(fine.select("cell", "n")), "cell"), per_block)
-    pairs = home.join(sent(sides), "cell").filter(keep).select("qid", d2.alias("d2"))
-    bounded = with_bounds(sides.drop("cell"), pairs, rows.drop("cell", "coarse"), grid.n, d2, k, keep)
+    home = blocks.thinned(rows.join(sent(fine.select("cell", "n")), "cell"), how.per_block)
+    pairs = home.join(sent(sides), "cell").filter(how.keep).select("qid", d2.alias("d2"))
+    bounded = with_bounds(sides.drop("cell"), pairs, rows.drop("cell", "coarse"), grid.n, d2, how.k, how.keep)
 
     coarse = blocks.joined_boxes(fine, ["coarse"], spec.numeric)  # at most (COARSE + 2) ** CUT boxes
-    first = bounded.join(F.broadcast(coarse), blocks.in_reach(spec.numeric, half)).select(*bounded.columns, "coarse")
-    reach = written(first.join(sent(fine), "coarse").filter(blocks.in_reach(spec.numeric, half)).select(*bounded.columns, "cell", "n"))
-    found = ["qid", "id", d2.alias("d2"), *(c for c in extra if c != "id")]
-    pairs, asked = reach.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("qid")).first()
-    if spec.nominal and pairs > max(MOST_MET, asked * MOST_CELLS * per_block):
-        return split(rows.drop("cell", "coarse"), bounded, spec, d2, k, half, keep, per_block).select(*found)
-    near = F.col("bound").isNull() | (d2 <= F.col("bound"))
-    return rows.drop("coarse").join(sent(reach.drop("n")), "cell").filter(keep & near).select(*found)
+    first = bounded.join(F.broadcast(coarse), blocks.in_reach(spec.numeric, how.half)).select(*bounded.columns, "coarse")
+    reach = written(first.join(sent(fine), "coarse").filter(blocks.in_reach(spec.numeric, how.half)).select(*bounded.columns, "cell", "n"))
+    asked = bounded.count()
+    most = max(MOST_MET, asked * MOST_CELLS * how.per_block)
+    many = grid.n * asked > most and (reach.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] > most)
+    return rows, bounded, reach, many
 
 
-def split(rows: DataFrame, bounded: DataFrame, spec: FeatureSpec, d2: Column, k: int, half: dict[str, float], keep: Column, per_block: int) -> DataFrame:
+def split(rows: DataFrame, bounded: DataFrame, how: Search) -> DataFrame:
     """The pairs of written tables ``rows`` and ``bounded`` that can be among a query's k nearest, by which nominal attributes match.
 
-    Each set of attributes is a search of its own among the rows that match in it and in no other: rows and queries meet in
-    cells that hold the attributes' values too. Each of the others adds 1, so the larger sets come first and lower the
-    bounds, and a query whose bound is below what a set's pairs add is not asked there.
+    The ``SPLIT_BY`` attributes with the most values split; each set of them is a search of its own among the rows that
+    match in it and in no other of them: rows and queries meet in cells that hold the attributes' values too. Each of the
+    others adds 1, so the larger sets come first and lower the bounds, and a query whose bound is below what a set's pairs
+    add is not asked there. Attributes that do not split only count in the distance, so there are at most four searches
+    however many there are.
     """
+    nominal = how.spec.nominal
+    values = rows.agg(*(F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(nominal))).first()
+    by = [nominal[i] for i in sorted(range(len(nominal)), key=lambda i: -values[f"n{i}"])[:SPLIT_BY]]
     met = []
-    for others in range(len(spec.nominal) + 1):
-        for same in combinations(spec.nominal, len(spec.nominal) - others):
+    for others in range(len(by) + 1):
+        for same in combinations(by, len(by) - others):
             if others and bounded.filter(_open(others)).isEmpty():
                 continue
-            bounded, found = _matching(rows, bounded, same, others, spec, d2, k, half, keep, per_block)
+            bounded, found = _matching(rows, bounded, same, [c for c in by if c not in same], how)
             met.append(found)
     return reduce(DataFrame.unionByName, met)
 
@@ -112,32 +165,32 @@ def _open(others: int) -> Column:
     return F.col("bound").isNull() | (F.col("bound") * (1 + blocks.SLACK) >= others)
 
 
-def _matching(rows: DataFrame, bounded: DataFrame, same: tuple[str, ...], others: int, spec: FeatureSpec, d2: Column, k: int, half: dict[str, float], keep: Column, per_block: int) -> tuple[DataFrame, DataFrame]:
-    """``bounded`` with bounds lowered by rows that match in ``same``, and the pairs that match in these attributes alone."""
+def _matching(rows: DataFrame, bounded: DataFrame, same: tuple[str, ...], differ: list[str], how: Search) -> tuple[DataFrame, DataFrame]:
+    """``bounded`` with bounds lowered by rows that match in ``same``, and the pairs that match there and not in ``differ``."""
+    spec, others = how.spec, len(differ)
     of = lambda prefix: F.xxhash64(F.lit(0), *(F.col(prefix + c) for c in same))
     present = lambda df, prefix: df.filter(reduce(lambda a, c: a & F.col(prefix + c).isNotNull(), same, F.lit(True))).withColumn("group", of(prefix))
     alike = reduce(lambda a, c: a & (F.col(c) == F.col(f"q_{c}")), same, F.lit(True))
-    alone = reduce(lambda a, c: a & ~F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False)), [c for c in spec.nominal if c not in same], alike)
+    alone = reduce(lambda a, c: a & ~F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False)), differ, alike)
 
     inside = present(rows, "")
     groups = inside.agg(F.approx_count_distinct("group")).first()[0]
-    grid = blocks.laid(inside, spec.numeric, per_block * max(1, groups))
+    grid = blocks.laid(inside, spec.numeric, how.per_block * max(1, groups))
     placed = lambda df, prefix: grid.placed(df, prefix).withColumn("cell", F.xxhash64("group", "cell"))
     inside = placed(inside, "")
     fine = written(blocks.boxes(inside, ["group", "coarse", "cell"], spec.numeric))
 
-    home = blocks.thinned(inside.drop("group", "coarse").join(sent(fine.groupBy("cell").agg(F.sum("n").alias("n"))), "cell"), per_block)
+    home = blocks.thinned(inside.drop("group", "coarse").join(sent(fine.groupBy("cell").agg(F.sum("n").alias("n"))), "cell"), how.per_block)
     sides = placed(present(bounded.filter(_open(others)), "q_"), "q_").drop("group", "coarse", "bound")
-    own = kth(home.join(sent(sides), "cell").filter(alike & keep).select("qid", d2.alias("d2")), k).withColumnRenamed("bound", "second")
+    own = kth(home.join(sent(sides), "cell").filter(alike & how.keep).select("qid", how.d2.alias("d2")), how.k).withColumnRenamed("bound", "second")
     bounded = written(bounded.join(own, "qid", "left").withColumn("bound", F.least("bound", "second")).drop("second"))
 
     asked = present(bounded.filter(_open(others)), "q_")
-    reached = F.col("bound").isNull() | (blocks.away(spec.numeric, half) + others <= F.col("bound") * (1 + blocks.SLACK))
+    reached = F.col("bound").isNull() | (blocks.away(spec.numeric, how.half) + others <= F.col("bound") * (1 + blocks.SLACK))
     coarse = blocks.joined_boxes(fine, ["group", "coarse"], spec.numeric)
     first = asked.join(sent(coarse), "group").filter(reached).select(*bounded.columns, "group", "coarse")
     reach = written(first.join(sent(fine), ["group", "coarse"]).filter(reached).select(*bounded.columns, "cell").distinct())
-    near = F.col("bound").isNull() | (d2 <= F.col("bound"))
-    return bounded, inside.drop("group", "coarse").join(sent(reach), "cell").filter(alone & keep & near)
+    return bounded, inside.drop("group", "coarse").join(sent(reach), "cell").filter(alone & how.near())
 
 
 def ranked(pairs: DataFrame, k: int, ties: bool = False) -> DataFrame:
@@ -155,12 +208,12 @@ def nearest(train: DataFrame, queries: DataFrame, spec: FeatureSpec, ranges: dic
     """
     if raw:
         d2, half = measured(spec, ranges, raw), {c: ranges[c].width / 2 for c in spec.numeric}
-        return ranked(candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), extra, per_block), k, ties)
+        return ranked(candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), extra, per_block, ties, leave_one_out), k, ties)
     own = tuple(c for c in extra if c in spec.numeric)  # extra columns keep their own values
     train = train.withColumns({f"__{c}": F.col(c) for c in own}) if own else train
     train, queries = normalised(train, spec, ranges), normalised(queries, spec, ranges)
     d2, half = normal_squared(lambda c: F.col(f"q_{c}"), F.col, spec, ranges), dict.fromkeys(spec.numeric, 0.5)
-    found = candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), tuple(f"__{c}" if c in own else c for c in extra), per_block)
+    found = candidates(train, queries, spec, d2, k, half, kept(d2, leave_one_out, skip_identical), tuple(f"__{c}" if c in own else c for c in extra), per_block, ties, leave_one_out)
     return ranked(found.withColumnsRenamed({f"__{c}": c for c in own}), k, ties)
 
 

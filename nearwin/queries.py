@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, evaluate, knn, primitives, ranges, spacetree, votes, window
+from nearwin.operators import approx, balls, evaluate, knn, primitives, ranges, spacetree, votes, window
 from nearwin.plans.shared import written
 from nearwin.sources.evallog import COLUMNS, read_log, summary
 from nearwin.sources.registry import open_source
@@ -736,12 +736,69 @@ EMBED_SQL = "v AS (SELECT vec_id AS id, embedding AS v FROM embeddings)"
 ARRAY_D2 = "list_reduce(list_transform(range(1, 65), lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE)), lambda x, y: x + y)"
 
 
-@query(f"WITH {EMBED_SQL}, p AS (SELECT q.id AS qid, v.id AS id, {ARRAY_D2.format(a='q.v', b='v.v')} AS d2 FROM v q, v WHERE q.id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM p QUALIFY rank <= {K}) SELECT qid, id, d2, rank FROM n")
+#: The k nearest of all embeddings, by any exact way.
+NEAR_EMBEDDINGS_SQL = f"""WITH {EMBED_SQL}, p AS (
+  SELECT q.id AS qid, v.id AS id, {ARRAY_D2.format(a="q.v", b="v.v")} AS d2 FROM v q, v WHERE q.id % 100 = 0
+)
+SELECT qid, id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM p QUALIFY rank <= {K}"""
+
+
+@query(NEAR_EMBEDDINGS_SQL)
 def rbc_exact(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
     return approx.ball_cover_exact(df, approx.representatives(df, "vec_id")[0], asked(df, "vec_id"), "vec_id", "embedding", DIMS, K)
 
 
+@query(NEAR_EMBEDDINGS_SQL)
+def ball_tree_knn(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    return balls.nearest(balls.ball_tree(df, "vec_id", "embedding", DIMS), asked(df, "vec_id"), "vec_id", "embedding", K)
+
+
+@query(NEAR_EMBEDDINGS_SQL)
+def cover_tree_knn(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    return balls.nearest(balls.cover_tree(df, "vec_id", "embedding", DIMS, leaf=256)[0], asked(df, "vec_id"), "vec_id", "embedding", K)
+
+
+ARRAY_D1 = "list_reduce(list_transform(range(1, 65), lambda i: abs({a}[i]::DOUBLE - {b}[i]::DOUBLE)), lambda x, y: x + y)"
+
+
+@query(NEAR_EMBEDDINGS_SQL.replace(ARRAY_D2.format(a="q.v", b="v.v"), ARRAY_D1.format(a="q.v", b="v.v")))
+def ball_tree_manhattan(spark, sf_dir):
+    """The same search by another metric: sums of absolute differences (in d2, though they are no squares)."""
+    df = table(spark, sf_dir, "embeddings")
+    tree = balls.ball_tree(df, "vec_id", "embedding", DIMS, balls.MANHATTAN)
+    return balls.nearest(tree, asked(df, "vec_id"), "vec_id", "embedding", K)
+
+
+def order_points(spark, sf_dir) -> DataFrame:
+    """Orders as points of normalised price and day."""
+    df = orders(spark, sf_dir)
+    of = ranges.ranges_of(df, ORDERS.numeric)
+    return df.select("id", F.array(*(of[c].norm(F.col(c)) for c in ORDERS.numeric)).alias("at"))
+
+
+POINTS_SQL = "WITH " + LIMITS_SQL.format(t="o") + f""", v AS (
+  SELECT id, {norm_sql("price", 1)} AS x, {norm_sql("day", 2)} AS y FROM o, r
+), p AS (
+  SELECT q.id AS qid, v.id AS id, (q.x - v.x) * (q.x - v.x) + (q.y - v.y) * (q.y - v.y) AS d2 FROM v q, v WHERE q.id % 100 = 0
+)
+SELECT qid, id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM p QUALIFY rank <= {K}"""
+
+
+@query(POINTS_SQL)
+def cover_tree_orders(spark, sf_dir):
+    df = order_points(spark, sf_dir)
+    return balls.nearest(balls.cover_tree(df, "id", "at", 2, leaf=2048)[0], asked(df), "id", "at", K)
+
+
+@query(POINTS_SQL)
+def ball_tree_orders(spark, sf_dir):
+    df = order_points(spark, sf_dir)
+    return balls.nearest(balls.ball_tree(df, "id", "at", 2, leaf=256), asked(df), "id", "at", K)
+
+
 #: Lists of OWN times as many rows as there are representatives, PROBES lists a query; the README has the recall.
 OWN, PROBES = 8, 8
 ONESHOT_SQL = f"""WITH {EMBED_SQL}, s AS (

@@ -250,14 +250,14 @@ def test_small_cells_lose_nothing(spark):
         assert got == want
 
 
-@pytest.mark.parametrize("raw", [False, True])
-def test_search_split_by_nominal_attributes_loses_nothing(spark, monkeypatch, raw):
+@pytest.mark.parametrize(("raw", "ties"), [(False, False), (True, False), (False, True), (True, True)])
+def test_search_split_by_nominal_attributes_loses_nothing(spark, monkeypatch, raw, ties):
     rng = random.Random(8)
     rows = [(*r[:4], rng.choice(["u", "v", None]), r[4]) for r in mixed_rows(300, 3)] + [(1000 + i, 5.0, 0.5, "p", "u", "A") for i in range(100)]
     df = spark.createDataFrame(rows, "id long, x double, z double, c string, d string, y string")
     spec = FeatureSpec(("x", "z"), ("c", "d"), "y")
     of = ranges.ranges_of(df, spec.numeric)
-    ask = lambda: {(r["qid"], r["id"], r["d2"], r["y"]) for r in knn.nearest(df, df.filter("id % 20 = 0"), spec, of, 9, raw=raw, leave_one_out=True, extra=("y",), per_block=8).collect()}
+    ask = lambda: {(r["qid"], r["id"], r["d2"], r["y"]) for r in knn.nearest(df, df.filter("id % 20 = 0"), spec, of, 9, raw=raw, ties=ties, leave_one_out=True, extra=("y",), per_block=8).collect()}
     want = ask()
     monkeypatch.setattr(knn, "MOST_MET", -1)
     monkeypatch.setattr(knn, "MOST_CELLS", -1)
@@ -274,3 +274,55 @@ def test_few_numbers_do_not_make_a_search_all_pairs(spark, monkeypatch):
     d2 = knn.measured(spec, ranges.ranges_of(df, spec.numeric))
     pairs = knn.candidates(df, queries, spec, d2, 5, {"x": 0.5}, F.col("qid") != F.col("id"), per_block=16)
     assert pairs.groupBy("qid").count().filter("count < 5 or count > 20").isEmpty() and pairs.select("qid").distinct().count() == 16
+
+
+def jobs(spark, name, action) -> int:
+    spark.sparkContext.setJobGroup(name, name)
+    action()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_jobs_do_not_grow_with_nominal_attributes(spark, monkeypatch):
+    """A search that is split runs about as many jobs with twelve nominal attributes as with six, and is right."""
+    monkeypatch.setattr(knn, "MOST_MET", -1)
+    monkeypatch.setattr(knn, "MOST_CELLS", -1)
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(3)), *(rng.choice("abc") for _ in range(12))) for i in range(300)]
+    names = [f"c{j}" for j in range(12)]
+    df = spark.createDataFrame(rows, "id long, x double, " + ", ".join(f"{c} string" for c in names))
+    took = {}
+    for n in (6, 12):
+        spec = FeatureSpec(("x",), tuple(names[:n]))
+        of = ranges.ranges_of(df, spec.numeric)
+        got = {}
+        took[n] = jobs(spark, f"nominal {n}", lambda: got.update(found={(r["qid"], r["id"], r["rank"]) for r in knn.nearest(df, df.filter("id % 50 = 0"), spec, of, 4, per_block=16).collect()}))
+        d2 = lambda a, b: ((a[1] - b[1]) / 2) ** 2 + sum(x != y for x, y in zip(a[2 : 2 + n], b[2 : 2 + n], strict=True))
+        want = {(q[0], i, r) for q in rows if q[0] % 50 == 0 for r, (_, i) in enumerate(sorted((d2(q, b), b[0]) for b in rows)[:4], 1)}
+        assert got["found"] == want
+    assert took[12] <= 1.1 * took[6], took
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_equal_rows_are_met_once(spark, monkeypatch, ties):
+    """100,000 equal rows and 200 queries: no query meets them all, unless all are its neighbours."""
+    monkeypatch.setattr(knn, "MOST_MET", 10_000)
+    monkeypatch.setattr(knn, "MOST_CELLS", 1)
+    same = spark.range(100_000).selectExpr("id + 1000 AS id", "5.0D AS x", "'p' AS c", "'A' AS y")
+    some = spark.range(1000).selectExpr("id", "CAST(id % 11 AS double) + id / 1e4 AS x", "CAST(id % 3 AS string) AS c", "'B' AS y")
+    df, spec = some.union(same), FeatureSpec(("x",), ("c",), "y")
+    of = ranges.ranges_of(df, spec.numeric)
+    queries = some.filter("id % 5 = 0 AND id % 11 <> 5")
+    d2 = knn.measured(spec, of)
+    pairs = knn.candidates(df, queries, spec, d2, 3, {"x": 0.5}, F.col("qid") != F.col("id"), ties=ties)
+    assert pairs.count() < 200 * 1000
+    got = {(r["qid"], r["id"]) for r in knn.ranked(pairs.select("qid", "id", "d2"), 3, ties).collect()}
+    rows = [(r.id, r.x, r.c) for r in some.collect()]
+    width = of["x"].width
+    for q in rows[:200:10]:
+        if q[0] % 5 == 0 and q[0] % 11 != 5:
+            near = sorted((((q[1] - x) / width) ** 2 + (q[2] != c), i) for i, x, c in rows if i != q[0])[:3]
+            assert {i for i in (p[1] for p in got if p[0] == q[0])} >= {i for _, i in near} if ties else {p[1] for p in got if p[0] == q[0]} == {i for _, i in near}
+    asked = df.filter("id = 1000")
+    near = knn.nearest(df, asked, spec, of, 3, ties=True, leave_one_out=True)
+    assert near.count() == 99_999 and near.filter("d2 > 0").isEmpty()
