@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from nearwin.llm.words import Kept
 from nearwin.plans.shared import small_batches
 
-#: Runs of letters: word characters without digits and underscores.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of word characters without decimal digits and underscores: letters, and rarely numbers such as fractions.
+RUNS = re.compile(r"[^\W\d_]+")
 #: Bound of the sample of labelled documents that a model is learned from, whole texts.
 SAMPLE = 3_000
 LONGEST, SHORTEST, SEEN = 4, 1, 2
@@ -23,6 +24,14 @@ LONGEST, SHORTEST, SEEN = 4, 1, 2
 SLICE = 1 << 16
 
 
+def letters(text: str | None) -> list[str]:
+    """The runs of letters (characters for which ``isalpha`` holds) of a text in lower case."""
+    found = RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for word in found for alpha, run in groupby(word, str.isalpha) if alpha]
+
+
 def grams(word: str, n: int) -> list[str]:
     """Runs of n characters, with the word's edges marked; single characters without marks."""
     marked = f"<{word}>" if n > 1 else word
@@ -68,7 +77,7 @@ def fit(rows: list[tuple[str, str]]) -> Backoff:
         return Backoff([], {n: {} for n in range(LONGEST + 1)})
     words = {lang: Counter() for lang in languages}
     for text, lang in rows:
-        words[lang].update(LETTERS.findall((text or "").lower()))
+        words[lang].update(letters(text))
     seen = {n: {lang: Counter() for lang in languages} for n in range(SHORTEST, LONGEST + 1)}
     for lang in languages:
         for word, count in words[lang].items():
@@ -91,15 +100,17 @@ def sample(rows: DataFrame, most: int, id_col: str) -> DataFrame:
 
 
 def identify(docs: DataFrame, model: Backoff, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lang_pred and score of every row, beside its id and held_out. The model goes out with the task's code."""
-    languages = model.languages
+    """lang_pred and score of every row, beside its id and held_out. The model, learned from a bounded sample, is broadcast."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
+        model = sent.value
+        languages = model.languages
         kept = Kept(lambda word: model.word(word).tobytes(), 200_000)
         for batch in batches:
             preds, scores = [], []
             for text in batch.column("text").to_pylist():
-                found = LETTERS.findall(text.lower()) if text else []
+                found = letters(text)
                 if not found or not languages:
                     preds.append("und")
                     scores.append(0.0)

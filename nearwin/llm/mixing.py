@@ -150,18 +150,23 @@ def mixture(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_co
 
     A document stands at the first slot that takes words of it. Partitions hold ranges of slots, equal in number, so
     every stretch of the mix is near the target weights. A text that a pass takes in part, at most one a source, is cut
-    after its last word taken. Texts without words are in no mix. An n_chars column follows the text.
+    after its last word taken. Texts without words, null and empty ones among them, are in no mix. An n_chars column follows
+    the text. Columns may have any names. Repeated rows count each. Empty table: no rows.
     """
     spark = docs.sparkSession
     held = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")))
-    rows = written(measured(held.select(F.col("row.*"), F.col("at").alias("__at")), id_col, text_col, source_col, F.col("__at").alias("at")))
+    given = lambda c: F.col("row").getField(c)
+    slim = held.select(given(id_col).alias("id"), given(text_col).alias("text"), given(source_col).alias("source"), "at")
+    rows = written(measured(slim, "id", "text", "source", F.col("at")))
     took = written(takes(rows, block).select(F.col("at").alias("took_at"), "size", "word_start", F.explode("passes").alias("pass")).select("took_at", "size", "word_start", "pass.*"))
     slots = (took.agg(F.max("slot")).first()[0] or 0) + 1
-    each = held.join(took, held.at == took.took_at).select("row.*", *(F.col(c).alias(f"__{c}") for c in ("size", "word_start", "slot", "got")))
-    cut = F.array_join(F.slice(F.filter(F.split(text_col, SPACE + "+"), lambda w: w != ""), F.lit(1), F.col("__got").cast("int")), " ")
-    out = each.withColumn(text_col, F.when(F.col("__got") < F.col("__size"), cut).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
+    each = held.join(took, held.at == took.took_at)
+    text = given(text_col)
+    cut = F.array_join(F.slice(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""), F.lit(1), F.col("got").cast("int")), " ")
+    each = each.select("row", "slot", "word_start", F.when(F.col("got") < F.col("size"), cut).otherwise(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionById(parts, F.floor(F.col("__slot") * parts / F.lit(slots)).cast("int"))
-    return out.sortWithinPartitions("__slot", "__word_start").select(*docs.columns)
+    each = each.repartitionById(parts, F.floor(F.col("slot") * parts / F.lit(slots)).cast("int")).sortWithinPartitions("slot", "word_start")
+    new = {text_col: F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return each.select(*(new.get(c, given(c)).alias(c) for c in docs.columns))

@@ -14,8 +14,20 @@ from pyspark.sql import functions as F
 from nearwin.llm.words import Start
 from nearwin.plans.shared import small_batches
 
-#: A sentence ends with its signs and the white space after them, or with a line; all sentences joined are the text.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n)\s*|[^.!?\n]+")
+#: The signs that end a sentence in any script (Unicode's Sentence_Terminal), as ranges of code points.
+TERMINALS = (
+    (0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F), (0x589, 0x589), (0x61D, 0x61F), (0x6D4, 0x6D4), (0x700, 0x702), (0x7F9, 0x7F9),
+    (0x837, 0x837), (0x839, 0x839), (0x83D, 0x83E), (0x964, 0x965), (0x104A, 0x104B), (0x1362, 0x1362), (0x1367, 0x1368),
+    (0x166E, 0x166E), (0x1735, 0x1736), (0x17D4, 0x17D5), (0x1803, 0x1803), (0x1809, 0x1809), (0x1944, 0x1945),
+    (0x1AA8, 0x1AAB), (0x1B5A, 0x1B5B), (0x1B5E, 0x1B5F), (0x1C3B, 0x1C3C), (0x1C7E, 0x1C7F), (0x203C, 0x203D),
+    (0x2047, 0x2049), (0x2E2E, 0x2E2E), (0x2E3C, 0x2E3C), (0x3002, 0x3002), (0xA4FF, 0xA4FF), (0xA60E, 0xA60F),
+    (0xA6F3, 0xA6F3), (0xA6F7, 0xA6F7), (0xA876, 0xA877), (0xA8CE, 0xA8CF), (0xA92F, 0xA92F), (0xA9C8, 0xA9C9),
+    (0xAA5D, 0xAA5F), (0xAAF0, 0xAAF1), (0xABEB, 0xABEB), (0xFE52, 0xFE52), (0xFE56, 0xFE57), (0xFF01, 0xFF01),
+    (0xFF0E, 0xFF0E), (0xFF1F, 0xFF1F), (0xFF61, 0xFF61),
+)
+_ENDS = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if b > a else re.escape(chr(a)) for a, b in TERMINALS)
+#: A sentence ends with its signs and the white space after them, if any, or with a line; all sentences joined are the text.
+SENTENCE = re.compile(rf"[^{_ENDS}\n]*(?:[{_ENDS}]+|\n)\s*|[^{_ENDS}\n]+")
 #: Sentences in a span, and words that it has at least; a shorter run is a span if it has LONG words.
 RUN, LEAST, LONG = 3, 8, 14
 #: Bytes that count as a word where there are fewer spaces, as in scripts that have none.
@@ -78,7 +90,7 @@ def span_table(docs: DataFrame, id_col: str, text_col: str, **shape: int) -> Dat
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **shape: int) -> DataFrame:
-    """``docs`` with __sentences, __removed and __text: the text without sentences that a non-first repeated span covers.
+    """(row, sentences, removed, text): each row as it is, and its text without sentences that a non-first repeated span covers.
 
     A span's first place is in the document with the smallest id (null ids first), and there at its first sentence. All
     documents' span hashes are grouped with a partial minimum and count; hashes seen in one document only end there. The
@@ -111,21 +123,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append({"sentences": len(parts), "removed": len(gone), "text": "".join(p for i, p in enumerate(parts) if i not in gone) if gone else text})
         return pa.array(out, pa.struct([("sentences", pa.int32()), ("removed", pa.int32()), ("text", pa.string())]))
 
-    rows = docs.select(F.struct(*names).alias("__row"), identity(id_col, text_col).alias("__doc"))
-    joined = rows.join(later, rows["__doc"] == later["doc"], "left").drop("doc")
-    return joined.withColumn("__cut", cut(F.col(f"__row.{text_col}"), F.col("__later"))).select("__row.*", F.col("__cut.sentences").alias("__sentences"), F.col("__cut.removed").alias("__removed"), F.col("__cut.text").alias("__text"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("given"), identity(id_col, text_col).alias("place"))
+    joined = rows.join(later, rows["place"] == later["doc"], "left").withColumn("cut", cut("given", "__later"))
+    return joined.select("row", F.col("cut.sentences").alias("sentences"), F.col("cut.removed").alias("removed"), F.col("cut.text").alias("text"))
 
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_removed and text (what is left) of every row of ``docs``; see without_repeats."""
     cut = without_repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return cut.select("doc_id", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed"), F.col("__text").alias("text"))
+    return cut.select("row.doc_id", F.col("sentences").alias("n_sentences"), F.col("removed").alias("n_removed"), "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with what is left of the texts; documents of which nothing is left go, those that had nothing stay."""
-    cut = without_repeats(docs, id_col, text_col).filter((F.col("__removed") == 0) | (F.trim("__text") != ""))
-    out = cut.withColumn(text_col, F.col("__text"))
+    """``docs`` with what is left of the texts; documents of which nothing is left go, those that had nothing stay.
+
+    An n_chars column follows the text. Columns may have any names. See without_repeats for nulls, ties, repeated rows and
+    empty tables; very long texts are taken whole.
+    """
+    cut = without_repeats(docs, id_col, text_col).filter((F.col("removed") == 0) | (F.trim("text") != ""))
+    given = lambda c: F.col("row").getField(c)
+    new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(given("n_chars"))
+    return cut.select(*(new.get(c, given(c)).alias(c) for c in docs.columns))

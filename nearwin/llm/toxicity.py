@@ -209,5 +209,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str
 
 
 def clean_only(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, columns as they are."""
-    return score(docs, fit(docs, labels, most, id_col, text_col), text_col).filter("__score < 0.5").drop("__score")
+    """The rows of ``docs`` that are not predicted toxic, columns as they are, whatever their names.
+
+    See ``toxicity`` for the training and for null, empty and equal texts and labels. Repeated rows stay or go together; null
+    ids take part. No labelled row: every score is 0 and all rows stay. Empty table: no rows. Very long texts are scored by
+    themselves, in slices.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return score(rows, fit(docs, labels, most, id_col, text_col), "text").filter("__score < 0.5").select("row.*")

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, bucket int, row string, at long, fp string, score double, part string, doc string, taken long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, bucket int, row string, at long, fp string, score double, part string, doc string, taken long, __score double, __text string, __slot long, __at long, given string, removed int, cut string"
 
 
 def words(rng, n, vocabulary=400):
@@ -15,7 +15,7 @@ def rows(seed=1, n=40):
     texts += [texts[0], texts[1], texts[1] + " tail", "", "   \n\t ", None, "é" * 7, "漢字 かな 🙂 \u0000x", "one", words(rng, 20_000)]
     out = [(i, t, rng.choice(["aa", "bb", None]), rng.choice(["s1", "s1", "s1", "s2", None, "Ö"]), None if t is None else len(t)) for i, t in enumerate(texts)]
     out += [out[3], out[3], (None, texts[4], None, "s2", 3), (None, None, None, None, None), (7, "other text of a used id", "aa", "s1", 23)]
-    return [(*r, "x", 1, "r", 2, "f", 0.5, "p", "d", 9) for r in out]
+    return [(*r, "x", 1, "r", 2, "f", 0.5, "p", "d", 9, 0.25, "t", 3, 4, "g", 5, "c") for r in out]
 
 
 def frame(spark, some=None):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearwin.llm import mixing, spans
+from nearwin.llm import mixing, spans, toxicity
 from nearwin.llm.queries import OP8_SQL
 from nearwin.llm.tables import table
 from nearwin.plans.shared import written
@@ -54,6 +54,39 @@ def test_span_dedup(spark):
     assert sum(passage in (r["text"] or "") for r in got.values()) == 1 and sum(one in (r["text"] or "") for r in got.values()) == 1
 
 
+def own_sentences(text):
+    """Sentences found character by character: up to the last of a run of ending signs, or a line's end, and white space after it."""
+    ends = {chr(c) for a, b in spans.TERMINALS for c in range(a, b + 1)}
+    out, now, state = [], "", "in"
+    for c in text:
+        if (state == "end" and c not in ends and not c.isspace()) or (state == "gap" and not c.isspace()):
+            out, now, state = [*out, now], "", "in"
+        now += c
+        if state == "end" and c.isspace():
+            state = "gap"
+        elif state == "in" and (c in ends or c == "\n"):
+            state = "end" if c in ends else "gap"
+    return [*out, now] if now else out
+
+
+def test_sentences_of_all_scripts():
+    rng = random.Random(3)
+    for _ in range(500):
+        text = "".join(rng.choice("ab .!?\n\t。！？।؟漢字") for _ in range(rng.randrange(40)))
+        assert spans.SENTENCE.findall(text) == own_sentences(text)
+
+
+def test_passages_without_spaces_and_full_stops_are_found(spark):
+    """Sentences that end in signs of their script, with no white space after them."""
+    rng = random.Random(12)
+    said = lambda n: "".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(14)) + rng.choice("。！？") for _ in range(n))
+    passage = said(8)
+    texts = [said(20) + passage + said(15), said(12), said(9) + passage + said(3)]
+    got = {r["doc_id"]: r for r in spans.span_dedup(nasty.docs(spark, texts)).collect()}
+    assert [got[i]["n_sentences"] for i in range(3)] == [43, 12, 20] and [got[i]["n_removed"] for i in range(3)] == [0, 0, 8]
+    assert got[2]["text"] == texts[2].replace(passage, "")
+
+
 def test_span_dedup_edges(spark):
     df = nasty.frame(spark)
     assert spans.span_dedup(df).count() == df.count() and spans.span_dedup(nasty.frame(spark, [])).count() == 0
@@ -200,3 +233,12 @@ def test_spans_cover_every_long_enough_run():
                 if sum(size[i:j]) >= spans.LONG or j - i >= spans.RUN and sum(size[i:j]) >= spans.LEAST:
                     inside = [(at, at + n) for at, n, _ in found if at >= said[i][0] and at + n <= said[j - 1][0] + 1]
                     assert all(any(a <= k < b for a, b in inside) for k, _ in said[i:j])
+
+
+def test_columns_of_any_name_stay(spark):
+    """Columns named as the operators' own are passed on as they are."""
+    df = nasty.frame(spark)
+    rest = [c for c in df.columns if c not in ("text", "n_chars")]
+    given = {tuple(r) for r in df.select(*rest).collect()}
+    for out in (spans.deduplicated(df), mixing.mixture(df), toxicity.clean_only(df, spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int"))):
+        assert out.columns == df.columns and {tuple(r) for r in out.select(*rest).collect()} <= given

@@ -1,5 +1,6 @@
 """op3, op9: held-out accuracy, and defined results at the edges."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -115,6 +116,49 @@ def test_langid_backs_off_for_unseen_words():
     assert not model.word("漢").any()
 
 
+def brute_language(rows, text):
+    """The language by counts alone: known words, else the longest n-grams of which one is known, each by its log frequency."""
+    languages = sorted({lang for _, lang in rows})
+    split = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split(" ")
+    cut = lambda word, n: [word] if n == 0 else [x[i : i + n] for x in [f"<{word}>" if n > 1 else word] for i in range(len(x) - n + 1)]
+    counts = {n: {lang: Counter(g for t, of in rows if of == lang for w in split(t) if w for g in cut(w, n)) for lang in languages} for n in range(5)}
+    known = {n: {g for lang in languages for g in counts[n][lang] if sum(counts[n][x][g] for x in languages) >= 2} for n in range(5)}
+    total = {n: {lang: sum(counts[n][lang][g] + 0.5 for g in known[n]) + 0.5 for lang in languages} for n in range(5)}
+
+    def logs(n, g):
+        row = [math.log((counts[n][lang][g] + 0.5) / total[n][lang]) for lang in languages]
+        return [x - sum(row) / len(row) for x in row]
+
+    sums = [0.0] * len(languages)
+    for word in filter(None, split(text)):
+        for n in (0, 4, 3, 2, 1):
+            found = [logs(n, g) for g in cut(word, n) if g in known[n]]
+            if found:
+                sums = [s + sum(f[i] for f in found) / len(found) for i, s in enumerate(sums)]
+                break
+    top = max(sums)
+    return languages[sums.index(top)], 1 / sum(math.exp(s - top) for s in sums)
+
+
+def test_langid_backoff_against_counts():
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    say = lambda letters: " ".join(word(letters) + rng.choice(["", ".", "7", "½", "_"]) for _ in range(rng.randrange(1, 25)))
+    kinds = {"aa": "abcdeé", "bb": "cdefgh", "cc": "ghijaß漢"}
+    rows = [(say(kinds[lang]), lang) for lang in kinds for _ in range(8)] + [(None, "aa"), ("", "bb")]
+    model = langid.fit(rows)
+    for text in [say(rng.choice([*kinds.values()])) for _ in range(60)] + ["zzz qq", "a½b", "É"]:
+        total = sum(model.word(w) for w in langid.letters(text))
+        p = np.exp(total - total.max())
+        lang, score = brute_language(rows, text)
+        assert p[model.languages.index(lang)] == 1 and abs(1 / p.sum() - score) < 1e-9
+
+
+def test_numbers_are_no_letters(spark):
+    got = langid.language_of(nasty.docs(spark, ["½ ² ④", "a½", "Ⅷ", "plain words", "other words"] * 4, lang=["aa", "bb", "aa", "bb", "aa"] * 4)).collect()
+    assert {r["doc_id"] % 5 for r in got if r["lang_pred"] == "und"} == {0, 2}
+
+
 def test_langid_edges(spark):
     got = langid.language_of(nasty.frame(spark)).collect()
     assert len(got) == len(nasty.rows())
