@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from nearwin.sources.evallog import COLUMNS, read_log, summary
 from nearwin.sources.registry import open_source
 from nearwin.spec import FeatureSpec, SearchOptions, places
 from nearwin.streaming import window as live
+from nearwin.streaming import windows as live_windows
 from nearwin.tables import DIMS, GAPPED_SQL, ORDERS, ORDERS_SQL, PARTS, asked, gapped, orders, table
 
 K, WINDOW, BUCKETS = 16, 128, 16
@@ -866,6 +868,19 @@ def drained(spark, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+@contextmanager
+def settings(spark, values: dict[str, str]):
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def event_stream(spark, sf_dir) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -901,3 +916,22 @@ SELECT key, "at", truth, arg_min(label, (-votes, label)) AS label FROM v GROUP B
 def stream_knn(spark, sf_dir):
     rows = event_stream(spark, sf_dir).withColumn("hour", F.hour("ts"))
     return drained(spark, live.classify(rows, "user_id", "event_id", ["value", "hour"], "event_type", USER_WINDOW, USER_K))
+
+
+USER_DAYS_SQL = USERS_SQL.replace("event_type AS label,", "event_type AS label, dayofweek(ts)::VARCHAR AS day,")
+
+
+@query(f"""WITH {USER_DAYS_SQL}, w AS (
+  SELECT *, min(value) OVER f AS a1, max(value) OVER f AS b1, min(hour) OVER f AS a2, max(hour) OVER f AS b2 FROM u {OF_USER_SQL}
+), d AS (
+  SELECT r.key, r."at", r.label AS truth, u."at" AS id, u.position, u.label, {norm_sql("r.value", 1)} - {norm_sql("u.value", 1)} AS x,
+    {norm_sql("r.hour", 2)} - {norm_sql("u.hour", 2)} AS y, CASE WHEN r.day = u.day THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS z
+  FROM w r JOIN u ON u.key = r.key AND u.position >= r.position - {USER_WINDOW} AND u.position < r.position WHERE r.position > {USER_WINDOW}
+)
+SELECT key, "at", truth, id, x * x + y * y + z AS d2, row_number() OVER (PARTITION BY "at" ORDER BY x * x + y * y + z, position)::INTEGER AS rank, label
+FROM d QUALIFY rank <= {USER_K}""")
+def stream_tree_knn(spark, sf_dir):
+    """Each user's events against a kd-tree of the user's last ones, with a nominal attribute; the tree lives in keyed state."""
+    rows = event_stream(spark, sf_dir).withColumns({"hour": F.hour("ts"), "day": (F.dayofweek("ts") - 1).cast("string")})
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}):
+        return drained(spark, live_windows.nearest(rows, "user_id", "event_id", ["value", "hour"], ["day"], "event_type", USER_WINDOW, USER_K))
