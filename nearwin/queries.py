@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, balls, evaluate, knn, primitives, ranges, spacetree, votes, window
+from nearwin.operators import approx, balls, classifier, evaluate, knn, primitives, ranges, spacetree, votes, window
 from nearwin.plans.shared import written
 from nearwin.sources.evallog import COLUMNS, read_log, summary
 from nearwin.sources.registry import open_source
@@ -855,6 +855,52 @@ def morton_code(spark, sf_dir):
     return df.select("id", approx.morton(at("price"), at("day")).alias("code"))
 
 
+# --- Strategies by name: searches, metrics and options as arguments of one classifier
+
+NUMBERS = FeatureSpec(("price", "day"), (), "label")
+POINT_NEAR_SQL = "WITH " + LIMITS_SQL.format(t="o") + f""", v AS (
+  SELECT id, label, {norm_sql("price", 1)} AS x, {norm_sql("day", 2)} AS y FROM o, r
+), p AS (
+  SELECT q.id AS qid, q.label AS truth, v.id AS id, v.label, {{d2}} AS d2 FROM v q, v WHERE q.id % 100 = 0 AND q.id <> v.id
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id)::INTEGER AS rank FROM p QUALIFY rank <= {K}
+)"""
+
+
+@query(POINT_NEAR_SQL.format(d2="(q.x - v.x) * (q.x - v.x) + (q.y - v.y) * (q.y - v.y)") + """, c AS (
+  SELECT qid, truth, label, count(*) AS votes FROM n GROUP BY ALL
+), k AS (
+  SELECT qid, truth, arg_min(label, (-votes, label)) AS label FROM c GROUP BY qid, truth
+)
+SELECT count(*) AS n, 100.0::DOUBLE AS agree_pct, round(avg((truth = label)::INTEGER) * 100, 6) AS first_pct, round(avg((truth = label)::INTEGER) * 100, 6) AS second_pct FROM k""")
+def eval_dual_searches(spark, sf_dir):
+    """Two exact searches side by side: grid cells and a ball tree."""
+    df = orders(spark, sf_dir)
+    said = [classifier.KnnClassifier(K, search, leave_one_out=True).fit(df, NUMBERS).transform(asked(df)) for search in ("cells", "ball_tree")]
+    return evaluate.agreement(*said)
+
+
+@query(POINT_NEAR_SQL.format(d2="abs(q.x - v.x) + abs(q.y - v.y)") + " SELECT qid, id, d2, rank, label FROM n")
+def knn_manhattan(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    by = classifier.KnnClassifier(K, "ball_tree", "manhattan", leave_one_out=True)
+    return by.fit(df, NUMBERS).neighbours(asked(df)).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("WITH " + LIMITS_SQL.format(t="o") + f""", v AS (
+  SELECT id, label, {norm_sql("day", 2)} AS y, priority FROM o, r
+), p AS (
+  SELECT q.id AS qid, v.id AS id, v.label, (q.y - v.y) * (q.y - v.y) + CASE WHEN q.priority = v.priority THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS d2
+  FROM v q, v WHERE q.id % 100 = 0
+)
+SELECT qid, id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, id)::INTEGER AS rank, label FROM p WHERE d2 > 0 QUALIFY rank <= {K}""")
+def knn_by_options(spark, sf_dir):
+    """All attributes but the first, identical rows skipped, by an option string."""
+    df = orders(spark, sf_dir)
+    by = classifier.KnnClassifier(K, options=SearchOptions.parse("-R first -V -S"))
+    return by.fit(df, ORDERS).neighbours(asked(df)).withColumn("rank", F.col("rank").cast("int"))
+
+
 # --- Live streams: the whole events table through a stream, collected in a memory table
 
 
