@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearwin.functions.distance import unrolled_squared
-from nearwin.operators.knn import ranked, sent, spread
+from nearwin.operators.knn import kth, ranked, sent, spread
 from nearwin.plans.shared import written
 
 
@@ -27,6 +27,43 @@ def array_nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, dims
     return ranked(pairs.select("qid", "id", d2.alias("d2")), k)
 
 
+def _cut_off(df: DataFrame, queries: DataFrame, key: str, vector: str, dims: int, k: int, group: int) -> tuple[DataFrame, list[Column]]:
+    """All pairs with each query's ``bound``, the k-th distance in a sample of the rows, and the sums after each group of dimensions."""
+    rows = written(spread(df.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col(vector).isNotNull())))
+    n = rows.count()
+    step = max(1, n // (8 * k + 4 * math.isqrt(n)))
+    asked = sides(queries.filter(F.col(vector).isNotNull()), key, vector, "q")
+    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).join(sent(asked))
+    bounded = written(asked.join(kth(part.select("qid", unrolled_squared(F.col("qv"), F.col("v"), dims).alias("d2")), k), "qid", "left"))
+    sums, total = [], F.lit(0.0)
+    for at in range(0, dims, group):  # folds over arrays: as one expression the terms would be too much code
+        part = [F.slice(c, at + 1, min(group, dims - at)) for c in ("qv", "v")]
+        squares = F.zip_with(*part, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+        total = F.aggregate(squares, total, lambda s, x: s + x)
+        sums.append(total)
+    return rows.join(sent(bounded)), sums
+
+
+def cutoff_nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, dims: int, k: int, group: int = 16) -> DataFrame:
+    """(qid, id, d2, rank): the k nearest of all rows by raw array distance, a pair given up once its sum passes the bound.
+
+    The bound is the query's k-th distance in a sample of about 8 k + 4 sqrt(n) rows. Sums grow ``group`` dimensions at a time;
+    a pair whose sum is over the bound is dropped before the next group is looked at. Equal distances: by id.
+    """
+    pairs, sums = _cut_off(df, queries, key, vector, dims, k, group)
+    for total in sums:
+        pairs = pairs.filter(F.col("bound").isNull() | (total <= F.col("bound")))
+    return ranked(pairs.select("qid", "id", sums[-1].alias("d2")), k)
+
+
+def cutoff_statistics(df: DataFrame, queries: DataFrame, key: str, vector: str, dims: int, k: int, group: int = 16) -> DataFrame:
+    """(qid, points, coordinates): rows and dimensions that ``cutoff_nearest`` looks at for each query, the sample's apart."""
+    pairs, sums = _cut_off(df, queries, key, vector, dims, k, group)
+    widths = [min(group, dims - at) for at in range(0, dims, group)]
+    looked = reduce(lambda rest, x: F.lit(x[0]) + F.when(F.col("bound").isNull() | (x[1] <= F.col("bound")), rest).otherwise(0), list(zip(widths, sums, strict=True))[-2::-1], F.lit(widths[-1]))
+    return pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("points"), F.sum(looked).alias("coordinates"))
+
+
 def representatives(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     """About sqrt(n) of ``df``'s n rows, those whose key is divisible by a step, and the step, sqrt(n) rounded up."""
     step = math.isqrt(max(1, df.count()) - 1) + 1

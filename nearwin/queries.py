@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, balls, classifier, evaluate, knn, primitives, ranges, spacetree, votes, window
+from nearwin.operators import approx, balls, classifier, evaluate, knn, primitives, ranges, spacetree, votes, window, zorder
 from nearwin.plans.shared import written
 from nearwin.sources.evallog import COLUMNS, read_log, summary
 from nearwin.sources.registry import open_source
@@ -763,6 +763,12 @@ def cover_tree_knn(spark, sf_dir):
     return balls.nearest(balls.cover_tree(df, "vec_id", "embedding", DIMS, leaf=256)[0], asked(df, "vec_id"), "vec_id", "embedding", K)
 
 
+@query(NEAR_EMBEDDINGS_SQL)
+def knn_cutoff(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    return approx.cutoff_nearest(df, asked(df, "vec_id"), "vec_id", "embedding", DIMS, K)
+
+
 ARRAY_D1 = "list_reduce(list_transform(range(1, 65), lambda i: abs({a}[i]::DOUBLE - {b}[i]::DOUBLE)), lambda x, y: x + y)"
 
 
@@ -855,6 +861,12 @@ def morton_code(spark, sf_dir):
     return df.select("id", approx.morton(at("price"), at("day")).alias("code"))
 
 
+@query("WITH " + RAW_SQL + f" SELECT qid, id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM p QUALIFY rank <= {K}")
+def z_order_knn(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    return zorder.nearest(df, asked(df), "id", ("price", "day"), K)[0]
+
+
 # --- Strategies by name: searches, metrics and options as arguments of one classifier
 
 NUMBERS = FeatureSpec(("price", "day"), (), "label")

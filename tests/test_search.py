@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, knn, ranges, spacetree, window
+from nearwin.operators import approx, knn, ranges, spacetree, window, zorder
 from nearwin.queries import QUERIES
 from nearwin.spec import FeatureSpec
 from nearwin.streaming.window import squared
@@ -326,3 +326,53 @@ def test_equal_rows_are_met_once(spark, monkeypatch, ties):
     asked = df.filter("id = 1000")
     near = knn.nearest(df, asked, spec, of, 3, ties=True, leave_one_out=True)
     assert near.count() == 99_999 and near.filter("d2 > 0").isEmpty()
+
+
+@pytest.mark.parametrize(("shifts", "near"), [(3, 2), (1, 1)])
+def test_z_order_search_is_exact(spark, shifts, near):
+    """Clusters, equal rows, a far row, missing values: all queries right, and most proved by the rows beside their places."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(300, 2)), np.tile([[0.25, 0.25]], (60, 1)), [[1e4, 0.0]], rng.normal(size=(40, 2)) * 0.01 + 3])
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(1000, None, 1.0), (None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got, rounds = zorder.nearest(df, df.filter("id % 10 = 0"), "id", ("x", "y"), 7, shifts, near)
+    assert found(got) == truth(x, range(0, len(x), 10), 7)
+    counts = {r["round"]: r["count"] for r in rounds.groupBy("round").count().collect()}
+    assert sum(counts.values()) == len(range(0, len(x), 10)) and set(counts) <= {1, 2}
+    if shifts == 3:
+        assert counts[1] > 5 and counts[2] > 0
+
+
+def test_z_order_search_of_few_rows(spark):
+    df = spark.createDataFrame([(0, 1.0, 5.0), (10, 2.0, 5.0)], "id long, x double, y double")
+    got, rounds = zorder.nearest(df, df, "id", ("x", "y"), 5)
+    assert found(got) == {0: {0, 10}, 10: {0, 10}} and rounds.filter("round = 2").count() == 0
+    none = df.filter("id < 0")
+    assert zorder.nearest(none, none, "id", ("x", "y"), 5)[0].count() == 0
+
+
+def test_morton_codes_by_bits(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(1 << 20), rng.randrange(1 << 20), rng.randrange(1 << 20)) for _ in range(50)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    got = df.select("*", zorder.interleaved([F.col("a"), F.col("b"), F.col("c")], 20).alias("code")).collect()
+    for r in got:
+        assert r["code"] == sum((r[n] >> i & 1) << (3 * i + d) for i in range(20) for d, n in enumerate("abc"))
+
+
+def test_cut_off_search_looks_at_fewer_values(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 6)), np.tile(rng.normal(size=(1, 6)), (20, 1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    asked = df.filter("id % 50 = 0")
+    got = approx.cutoff_nearest(df, asked, "id", "v", 6, 5, group=2)
+    assert found(got) == truth(x, range(0, len(x), 50), 5)
+    looked = {r["qid"]: (r["points"], r["coordinates"]) for r in approx.cutoff_statistics(df, asked, "id", "v", 6, 5, group=2).collect()}
+    assert {n for n, _ in looked.values()} == {len(x)}
+    step = max(1, len(x) // (8 * 5 + 4 * int(len(x) ** 0.5)))
+    part = {r["id"] for r in df.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).collect()}
+    for q, (_, coordinates) in looked.items():
+        bound = sorted(((x[sorted(part)] - x[q]) ** 2).sum(axis=1))[4]
+        partial = np.cumsum((x - x[q]) ** 2, axis=1)
+        assert coordinates == sum(2 + 2 * (p[1] <= bound) + 2 * (p[1] <= bound and p[3] <= bound) for p in partial)
+    assert sum(c for _, c in looked.values()) < 0.6 * len(looked) * len(x) * 6
