@@ -62,8 +62,3 @@ def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     other = F.when(F.col("truth") == F.col("other"), 1.0).otherwise(0.0)
     return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(same) * 100, 6).alias("agree_pct"), F.round(F.avg(hit()) * 100, 6).alias("first_pct"), F.round(F.avg(other) * 100, 6).alias("second_pct"))
 
-
-def report(rows: int, seconds: float, test_rows: int, test_seconds: float, scores: DataFrame) -> DataFrame:
-    """One evaluation record: speeds beside the scores."""
-    speed = lambda n, s: n / s if s else None
-    return scores.select(F.lit(float(rows)).alias("evaluation_instances"), F.lit(seconds).alias("total_train_time"), F.lit(speed(rows, seconds)).alias("total_train_speed"), F.lit(test_seconds).alias("test_time"), F.lit(speed(test_rows, test_seconds)).alias("test_speed"), F.lit(float(test_rows)).alias("classified_instances"), "accuracy_pct")

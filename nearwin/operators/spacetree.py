@@ -19,6 +19,8 @@ LEAF = 4
 WHOLE = 32_768
 #: Rows that a search's leaf may have, and levels that it goes down at once.
 SEARCH_LEAF, STEP = 512, 6
+#: Levels of a random projection tree at most.
+DEEPEST = 60
 #: Levels after which the rows are written.
 REWRITE = 4
 
@@ -135,33 +137,60 @@ def projected(vector: str, direction: np.ndarray) -> Column:
     return reduce(lambda a, b: a + b, (F.get(vector, F.lit(i)).cast("double") * float(x) for i, x in enumerate(direction)))
 
 
-def random_tree(df: DataFrame, key: str, vector: str, dims: int, depth: int = 3, rule: str = "max", spread_limit: float = 3.0, seed: int = 5) -> DataFrame:
-    """(key, leaf) of a random projection tree.
+def random_tree(df: DataFrame, key: str, vector: str, dims: int, leaf: int = SEARCH_LEAF, rule: str = "max", spread_limit: float = 3.0, seed: int = 5) -> DataFrame:
+    """(key, leaf), a written table: rows with the leaf of a random projection tree that has at most ``leaf`` rows, or equal ones.
 
-    Rule ``max`` splits a node at the median of its projections on a random direction plus a random shift of up to
-    6 / sqrt(dims) times the greatest distance from one of its rows. Rule ``mid`` splits at the median of projections if
-    the squared diameter (twice the greatest squared distance to the mean bounds it) is within ``spread_limit`` times the
-    mean, else at the median distance to the mean.
+    All nodes of a level are split at once, each by its own rows. Rule ``max`` splits a node at the median of its projections
+    on the level's random direction plus the node's random shift of up to 6 / sqrt(dims) times the greatest distance from one
+    of its rows. Rule ``mid`` splits at the median of projections
+    if the squared diameter (twice the greatest squared distance to the mean bounds it) is within ``spread_limit`` times the
+    mean, else at the median distance to the mean. A split that would part nothing is made in the middle. A missing vector
+    takes no part. After ``DEEPEST`` levels nodes stay as they are.
     """
-    rng, rows = np.random.default_rng(seed), df.select(key, vector).withColumn("leaf", F.lit(1).cast("long"))
-    for _ in range(depth):
-        direction, shift = rng.normal(size=dims), float(rng.uniform(-1, 1))
+    rng = np.random.default_rng(seed)
+    rows = written(spread(df.select(key, vector).filter(F.col(vector).isNotNull())).withColumns({"leaf": F.lit(1).cast("long"), "held": F.lit(0).cast("long")}))
+    for level in range(DEEPEST):
+        sizes = rows.filter("held = 0").groupBy("leaf").count()
+        big = written(sizes.filter(F.col("count") > leaf).select("leaf"))
+        if big.isEmpty():
+            break
+        direction = rng.normal(size=dims)
         direction /= np.linalg.norm(direction)
-        rows = written(rows.withColumn("p", projected(vector, direction)))
+        here = rows.join(sent(big), "leaf").withColumn("p", projected(vector, direction))
+        rest = rows.join(sent(big), "leaf", "left_anti")
+        centre = F.min_by(vector, key) if rule == "max" else F.array(*(F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(dims)))
+        here = written(here.join(sent(here.groupBy("leaf").agg(centre.alias("c"))), "leaf").withColumn("d", apart(vector, "c", dims)).drop("c"))
+        of_p, of_d = ((F.percentile_approx(c, 0.5).alias(f"{c}_m"), F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b")) for c in "pd")
+        how = here.groupBy("leaf").agg(*of_p, *of_d, F.avg("d").alias("spread"))
+        parting = lambda at, c: F.when((at < F.col(f"{c}_a")) | (at >= F.col(f"{c}_b")), (F.col(f"{c}_a") + F.col(f"{c}_b")) / 2).otherwise(at)
         if rule == "max":
-            near = rows.groupBy("leaf").agg(F.min_by(vector, key).alias("c"))
-            with_c = rows.join(F.broadcast(near), "leaf")  # a row a leaf
-            far = with_c.groupBy("leaf").agg(F.sqrt(F.max(apart(vector, "c", dims))).alias("far"), F.percentile_approx("p", 0.5).alias("median"))
-            far = far.select("leaf", (F.col("median") + F.lit(shift * 6 / dims**0.5) * F.col("far")).alias("split"))
-            rows = rows.join(F.broadcast(far), "leaf").select(key, vector, (F.col("leaf") * 2 + (F.col("p") > F.col("split")).cast("int")).alias("leaf"))
+            shift = F.pmod(F.xxhash64("leaf", F.lit(level), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 19)) - 1.0
+            how = how.select("leaf", F.col("d_b").alias("far"), parting(F.col("p_m") + shift * F.lit(6 / dims**0.5) * F.sqrt("d_b"), "p").alias("split"))
+            side = F.col("p") > F.col("split")
         else:
-            mean = rows.groupBy("leaf").agg(F.array(*(F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(dims))).alias("c"))
-            with_c = rows.join(F.broadcast(mean), "leaf").withColumn("d", apart(vector, "c", dims))
-            how = with_c.groupBy("leaf").agg(F.percentile_approx("p", 0.5).alias("pm"), F.percentile_approx("d", 0.5).alias("dm"), (F.max("d") * 2 <= F.avg("d") * 2 * spread_limit).alias("flat"))
-            side = F.when(F.col("flat"), F.col("p") > F.col("pm")).otherwise(F.col("d") > F.col("dm"))
-            rows = with_c.join(F.broadcast(how), "leaf").select(key, vector, (F.col("leaf") * 2 + side.cast("int")).alias("leaf"))
+            flat = (F.col("d_b") * 2 <= F.col("spread") * 2 * spread_limit) | (F.col("d_a") == F.col("d_b"))
+            how = how.select("leaf", F.col("d_b").alias("far"), flat.alias("flat"), parting(F.col("p_m"), "p").alias("at_p"), parting(F.col("d_m"), "d").alias("at_d"))
+            side = F.when(F.col("flat"), F.col("p") > F.col("at_p")).otherwise(F.col("d") > F.col("at_d"))
+        same = F.when(F.col("far") == 0, 1).otherwise(0).cast("long")  # equal rows can't be parted
+        moved = here.join(sent(how), "leaf").select(key, vector, (F.col("leaf") * 2 + side.cast("int")).alias("leaf"), same.alias("held"))
+        rows = written(rest.select(key, vector, "leaf", "held").unionByName(moved))
     return rows.select(key, "leaf")
 
 
+def forest_nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, dims: int, k: int, trees: int = 4, leaf: int = SEARCH_LEAF, rule: str = "max") -> DataFrame:
+    """(qid, id, d2, rank): the k nearest by squared distance among the rows that share a leaf with the query in one of ``trees`` trees.
+
+    Queries are rows of ``df``. A row found in several trees counts once. Equal distances: by id.
+    """
+    wanted = queries.select(F.col(key).alias("qid"), F.col(vector).alias("qv")).filter(F.col(vector).isNotNull())
+    rows, met = df.select(F.col(key).alias("id"), F.col(vector).alias("v")), []
+    for t in range(trees):
+        leaves = random_tree(df, key, vector, dims, leaf, rule, seed=5 + t).withColumnRenamed(key, "id")
+        home = wanted.join(leaves.withColumnRenamed("id", "qid"), "qid")
+        met.append(leaves.join(sent(home.select("qid", "leaf")), "leaf").select("qid", "id"))
+    pairs = reduce(DataFrame.unionByName, met).distinct().join(rows, "id").join(sent(wanted), "qid")
+    return ranked(pairs.select("qid", "id", apart("qv", "v", dims).alias("d2")), k)
+
+
 def apart(a: str, b: str, dims: int) -> Column:
     return reduce(lambda s, i: s + (F.get(a, F.lit(i)) - F.get(b, F.lit(i))).cast("double") * (F.get(a, F.lit(i)) - F.get(b, F.lit(i))).cast("double"), range(1, dims), F.pow((F.get(a, F.lit(0)) - F.get(b, F.lit(0))).cast("double"), F.lit(2.0)))

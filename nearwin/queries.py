@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from nearwin.plans.shared import written
 from nearwin.sources.evallog import COLUMNS, read_log, summary
 from nearwin.sources.registry import open_source
 from nearwin.spec import FeatureSpec, SearchOptions, places
+from nearwin.streaming import progress
 from nearwin.streaming import window as live
 from nearwin.streaming import windows as live_windows
 from nearwin.tables import DIMS, GAPPED_SQL, ORDERS, ORDERS_SQL, PARTS, asked, gapped, orders, table
@@ -672,11 +672,12 @@ def eval_dual_agreement(spark, sf_dir):
 
 @query()
 def eval_report(spark, sf_dir):
-    began = time.perf_counter()
-    rows = orders(spark, sf_dir).count()
-    trained = time.perf_counter() - began
-    made = written(classified(spark, sf_dir))
-    return evaluate.report(rows, trained, made.count(), time.perf_counter() - began - trained, evaluate.accuracy(made))
+    """A record a micro-batch of a live test-then-train run over all events, by a listener to its progress."""
+    rows = event_stream(spark, sf_dir).withColumn("hour", F.hour("ts"))
+    made = live.classify(rows, "user_id", "event_id", ["value", "hour"], "event_type", USER_WINDOW, USER_K)
+    with progress.listening(spark) as log:
+        said = drained(spark, made)
+    return progress.report(spark, log, evaluate.accuracy(said.select("truth", "label")))
 
 
 # --- Trees
@@ -732,6 +733,13 @@ def rp_tree_mid(spark, sf_dir):
     return spacetree.random_tree(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DIMS, rule="mid")
 
 
+@query()
+def rp_forest_knn(spark, sf_dir):
+    """Recall is held against brute force in a test: the directions are random draws."""
+    df = order_points(spark, sf_dir)
+    return spacetree.forest_nearest(df, asked(df), "id", "at", 2, K)
+
+
 # --- Approximate methods
 
 EMBED_SQL = "v AS (SELECT vec_id AS id, embedding AS v FROM embeddings)"

@@ -117,10 +117,25 @@ def test_projections_keep_distances(spark):
 
 
 @pytest.mark.parametrize("rule", ["max", "mid"])
-def test_random_tree_splits_rows(spark, rule):
-    df = frame(spark, vectors(200, 5))
-    leaves = spacetree.random_tree(df, "id", "v", 5, depth=2, rule=rule).groupBy("leaf").count().collect()
-    assert sum(r["count"] for r in leaves) == 200 and len(leaves) >= 2
+def test_random_tree_grows_to_its_leaf_size(spark, rule):
+    same = [(1000 + i, [0.5] * 5) for i in range(60)]
+    df = frame(spark, vectors(200, 5)).unionByName(spark.createDataFrame(same, "id long, v array<double>").select(F.col("id"), F.col("v")))
+    leaves = spacetree.random_tree(df, "id", "v", 5, 30, rule).collect()
+    held = {}
+    for r in leaves:
+        held.setdefault(r["leaf"], []).append(r["id"])
+    assert sum(map(len, held.values())) == 260
+    assert all(len(ids) <= 30 or min(ids) >= 1000 for ids in held.values())
+
+
+@pytest.mark.parametrize("rule", ["max", "mid"])
+def test_forest_recall(spark, rule):
+    """Of 1,500 points, leaves of 100 in four trees hold nine in ten neighbours, from under 0.3 of all pairs."""
+    rng = np.random.default_rng(11)
+    x = rng.random((1500, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got, want = found(spacetree.forest_nearest(df, df.filter("id % 50 = 0"), "id", "v", 2, 5, leaf=100, rule=rule)), truth(x, range(0, 1500, 50), 5)
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
 
 
 def test_morton_codes_interleave(spark):
