@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.functions.distance import nominal_difference, normal_difference
 from nearwin.operators.knn import ranked
-from nearwin.operators.ranges import positioned, windowed
+from nearwin.operators.ranges import positioned
 from nearwin.plans.shared import written
 from nearwin.spec import FeatureSpec
+from nearwin.streaming.window import squared
 
 
 def members(at: DataFrame, queries: DataFrame, size: int) -> DataFrame:
@@ -49,16 +53,53 @@ def measured(spec: FeatureSpec):
     return reduce(lambda s, d: s + d * d, parts[1:], parts[0] * parts[0]).alias("d2")
 
 
-def window_nearest(df: DataFrame, spec: FeatureSpec, size: int, k: int, keep: str = "true") -> DataFrame:
+#: Positions in a block of ``window_nearest``, at least, and queries of a block that are answered together.
+BLOCK, TOGETHER = 4096, 256
+
+
+def window_nearest(df: DataFrame, spec: FeatureSpec, size: int, k: int, keep: str = "true", block: int = BLOCK) -> DataFrame:
     """(qid, id, d2, rank, label): the k nearest of the ``size`` rows before each row, once there are so many.
 
-    Ranges come from the values seen in those rows alone; see ``measured``. ``keep`` is a condition on the rows that are
-    asked. Equal distances: the smaller id first.
+    Rows are dealt in blocks of positions; each block also gets the last ``size`` rows of the one before, and is answered in a
+    task, some queries at a time, from slices of its columns: no pair becomes a row. Ranges come from the values seen in
+    a query's rows alone; see ``measured`` for missing values (nan counts as one). ``keep`` is a condition on the rows that
+    are asked. Equal distances: the smaller id first.
     """
-    at = written(windowed(df.select(spec.key, *spec.attributes, spec.label), spec.key, size, bounds(spec) | {"held": F.count(F.lit(1))}))
-    asked = at.filter(F.col("held") == size).filter(keep).select(*asking(spec), F.col("position").alias("q_at"))
-    rows = at.select(F.col(spec.key).alias("id"), "position", *spec.attributes, F.col(spec.label).alias("label"))
-    return ranked(members(rows, asked, size).select("qid", "id", measured(spec), "label"), k)
+    block = max(block, size)
+    rows = positioned(df.select(spec.key, *spec.attributes, spec.label), spec.key)
+    home = F.floor(F.col("position") / block)
+    to = F.when(F.col("position") % block >= block - size, F.array(home, home + 1)).otherwise(F.array(home))
+    numbers, names = ([f"__{kind}{i}" for i in range(len(of))] for kind, of in (("x", spec.numeric), ("c", spec.nominal)))
+    dealt = rows.select(
+        F.col(spec.key).alias("id"), F.col("position").alias("__at"), F.expr(keep).alias("__keep"), F.col(spec.label).alias("label"), F.explode(to).alias("__block"),
+        *(F.col(c).cast("double").alias(n) for c, n in zip(spec.numeric, numbers, strict=True)), *(F.col(c).cast("string").alias(n) for c, n in zip(spec.nominal, names, strict=True)),
+    )
+
+    def answer(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__at").combine_chunks()
+        at = group.column("__at").to_numpy()
+        x = np.stack([group.column(n).to_numpy().astype(float) for n in numbers], axis=1) if numbers else np.zeros((len(at), 0))
+        codes = [pc.fill_null(pc.dictionary_encode(group.column(n)).combine_chunks().indices, -1).to_numpy(zero_copy_only=False) for n in names]
+        own = at >= group.column("__block")[0].as_py() * block
+        asked = np.flatnonzero(own & (at >= size) & pc.fill_null(group.column("__keep"), False).to_numpy())
+        q, near, d2 = [asked[:0]], [asked[:0]], [np.zeros(0)]
+        for i in range(0, len(asked), TOGETHER):
+            some = asked[i : i + TOGETHER]
+            window = some[:, None] + np.arange(-size, 0)
+            far = squared(x[window], x[some])
+            for c in codes:
+                far += (c[window] != c[some][:, None]) | (c[window] < 0)
+            best = np.argsort(far, axis=1, kind="stable")[:, :k]
+            q.append(np.repeat(some, best.shape[1]))
+            near.append(np.take_along_axis(window, best, axis=1).reshape(-1))
+            d2.append(np.take_along_axis(far, best, axis=1).reshape(-1))
+        q, near = np.concatenate(q), np.concatenate(near)
+        rank = np.arange(len(q)) % min(k, size) + 1
+        ids, labels = group.column("id"), group.column("label")
+        return pa.table({"qid": ids.take(pa.array(q)), "id": ids.take(pa.array(near)), "d2": np.concatenate(d2), "rank": pa.array(rank, pa.int64()), "label": labels.take(pa.array(near))})
+
+    key, label = (dealt.schema[c].dataType.simpleString() for c in ("id", "label"))
+    return dealt.groupBy("__block").applyInArrow(answer, f"qid {key}, id {key}, d2 double, rank long, label {label}")
 
 
 def held_out_nearest(df: DataFrame, spec: FeatureSpec, train: int, test: int, size: int, k: int) -> DataFrame:

@@ -725,12 +725,12 @@ def kd_node_ranges(spark, sf_dir):
 
 @query()
 def rp_tree_max(spark, sf_dir):
-    return spacetree.random_tree(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DIMS, rule="max")
+    return spacetree.random_tree(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DIMS, leaf=64, rule="max")
 
 
 @query()
 def rp_tree_mid(spark, sf_dir):
-    return spacetree.random_tree(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DIMS, rule="mid")
+    return spacetree.random_tree(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DIMS, leaf=64, rule="mid")
 
 
 @query()
