@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, balls, classifier, evaluate, knn, primitives, ranges, spacetree, votes, window, zorder
+from nearwin.operators import approx, balls, classifier, evaluate, knn, primitives, probing, ranges, spacetree, votes, window, zorder
 from nearwin.plans.shared import written
 from nearwin.sources.evallog import COLUMNS, read_log, summary
 from nearwin.sources.registry import open_source
@@ -815,6 +815,12 @@ def ball_tree_orders(spark, sf_dir):
     return balls.nearest(balls.ball_tree(df, "id", "at", 2, leaf=256), asked(df), "id", "at", K)
 
 
+@query(POINTS_SQL)
+def lsh_probe_knn(spark, sf_dir):
+    df = order_points(spark, sf_dir)
+    return probing.nearest(df, asked(df), "id", "at", 2, K)[0]
+
+
 #: Lists of OWN times as many rows as there are representatives, PROBES lists a query; the README has the recall.
 OWN, PROBES = 8, 8
 ONESHOT_SQL = f"""WITH {EMBED_SQL}, s AS (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, knn, ranges, spacetree, window, zorder
+from nearwin.operators import approx, knn, probing, ranges, spacetree, window, zorder
 from nearwin.queries import QUERIES
 from nearwin.spec import FeatureSpec
 from nearwin.streaming.window import squared
@@ -391,3 +391,35 @@ def test_cut_off_search_looks_at_fewer_values(spark):
         partial = np.cumsum((x - x[q]) ** 2, axis=1)
         assert coordinates == sum(2 + 2 * (p[1] <= bound) + 2 * (p[1] <= bound and p[3] <= bound) for p in partial)
     assert sum(c for _, c in looked.values()) < 0.6 * len(looked) * len(x) * 6
+
+
+def test_probing_is_exact_with_c_one(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 3)), np.tile([[0.1, 0.2, 0.3]], (50, 1)), [[90.0, 0.0, 0.0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 3), (999, None)], "id long, v array<double>")
+    got, met = probing.nearest(df, df.filter("id % 20 = 0"), "id", "v", 3, 6, per_bin=20)
+    want = truth(x, range(0, len(x), 20), 6)
+    assert found(got) == want
+    looked = {r["qid"]: (r["rings"], r["points"]) for r in met.collect()}
+    assert set(looked) == set(want) and all(r >= 1 and p >= 6 for r, p in looked.values())
+
+
+def test_probing_stops_early(spark):
+    """With c = 3 nine in ten neighbours of points in the plane come from under 0.3 of all pairs, and fewer than with c = 1."""
+    rng = np.random.default_rng(6)
+    x = rng.random((2000, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    asked, share, right = df.filter("id % 50 = 0"), {}, {}
+    want = truth(x, range(0, 2000, 50), 5)
+    for c in (1.0, 3.0):
+        got, met = probing.nearest(df, asked, "id", "v", 2, 5, c, per_bin=50)
+        near = found(got)
+        right[c] = sum(len(near[q] & want[q]) for q in want) / (5 * len(want))
+        share[c] = sum(r["points"] for r in met.collect()) / (2000 * len(want))
+    assert right[1.0] == 1 and right[3.0] >= 0.9 and share[3.0] < share[1.0] < 0.3, (right, share)
+
+
+def test_bins_grow_with_the_rows(spark):
+    df = lambda n: spark.range(n).select("id", F.array(F.col("id").cast("double"), F.sqrt("id")).alias("v"))
+    cuts = [len(probing.Bins(df(n), 2, 8, 2, 1).cuts[0]) for n in (10, 800, 3200)]
+    assert cuts == [1, 9, 19]
