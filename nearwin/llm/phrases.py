@@ -22,7 +22,7 @@ SCALE = 1_000_000
 #: Bits of the table of frequent phrases that tasks get: about so many a phrase, at most 2 ** MOST_BITS (16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 27
 #: Bytes of text whose words are numbered at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 SEED, TURN = 42, np.uint64(21)
 #: Upper case A-Z to lower case, tabs to spaces, all that ends a piece to a full stop, which so stands for no word.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + b",;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
