@@ -141,22 +141,28 @@ def random_tree(df: DataFrame, key: str, vector: str, dims: int, leaf: int = SEA
     """(key, leaf), a written table: rows with the leaf of a random projection tree that has at most ``leaf`` rows, or equal ones.
 
     All nodes of a level are split at once, each by its own rows. Rule ``max`` splits a node at the median of its projections
-    on the level's random direction plus the node's random shift of up to 6 / sqrt(dims) times the greatest distance from one
+    on the level's random direction (each tree has its own) plus the node's random shift of up to 6 / sqrt(dims) times the greatest distance from one
     of its rows. Rule ``mid`` splits at the median of projections
     if the squared diameter (twice the greatest squared distance to the mean bounds it) is within ``spread_limit`` times the
     mean, else at the median distance to the mean. A split that would part nothing is made in the middle. A missing vector
     takes no part. After ``DEEPEST`` levels nodes stay as they are.
     """
+    return _forest(df, key, vector, dims, 1, leaf, rule, spread_limit, seed).select(key, "leaf")
+
+
+def _forest(df: DataFrame, key: str, vector: str, dims: int, trees: int, leaf: int, rule: str, spread_limit: float, seed: int) -> DataFrame:
+    """(key, tree, leaf) of several trees, grown side by side; tree t has the root ``trees`` + t, and so leaves of its own."""
     rng = np.random.default_rng(seed)
-    rows = written(spread(df.select(key, vector).filter(F.col(vector).isNotNull())).withColumns({"leaf": F.lit(1).cast("long"), "held": F.lit(0).cast("long")}))
+    start = spread(df.select(key, vector).filter(F.col(vector).isNotNull())).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    rows = written(start.withColumns({"leaf": (F.col("tree") + trees).cast("long"), "held": F.lit(0).cast("long")}))
     for level in range(DEEPEST):
         sizes = rows.filter("held = 0").groupBy("leaf").count()
         big = written(sizes.filter(F.col("count") > leaf).select("leaf"))
         if big.isEmpty():
             break
-        direction = rng.normal(size=dims)
-        direction /= np.linalg.norm(direction)
-        here = rows.join(sent(big), "leaf").withColumn("p", projected(vector, direction))
+        directions = rng.normal(size=(trees, dims))
+        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+        here = rows.join(sent(big), "leaf").withColumn("p", F.coalesce(*(F.when(F.col("tree") == t, projected(vector, x)) for t, x in enumerate(directions))))
         rest = rows.join(sent(big), "leaf", "left_anti")
         centre = F.min_by(vector, key) if rule == "max" else F.array(*(F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(dims)))
         here = written(here.join(sent(here.groupBy("leaf").agg(centre.alias("c"))), "leaf").withColumn("d", apart(vector, "c", dims)).drop("c"))
@@ -172,9 +178,9 @@ def random_tree(df: DataFrame, key: str, vector: str, dims: int, leaf: int = SEA
             how = how.select("leaf", F.col("d_b").alias("far"), flat.alias("flat"), parting(F.col("p_m"), "p").alias("at_p"), parting(F.col("d_m"), "d").alias("at_d"))
             side = F.when(F.col("flat"), F.col("p") > F.col("at_p")).otherwise(F.col("d") > F.col("at_d"))
         same = F.when(F.col("far") == 0, 1).otherwise(0).cast("long")  # equal rows can't be parted
-        moved = here.join(sent(how), "leaf").select(key, vector, (F.col("leaf") * 2 + side.cast("int")).alias("leaf"), same.alias("held"))
-        rows = written(rest.select(key, vector, "leaf", "held").unionByName(moved))
-    return rows.select(key, "leaf")
+        moved = here.join(sent(how), "leaf").select(key, vector, "tree", (F.col("leaf") * 2 + side.cast("int")).alias("leaf"), same.alias("held"))
+        rows = written(rest.select(key, vector, "tree", "leaf", "held").unionByName(moved))
+    return rows.select(key, "tree", "leaf")
 
 
 def forest_nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, dims: int, k: int, trees: int = 4, leaf: int = SEARCH_LEAF, rule: str = "max") -> DataFrame:
@@ -183,12 +189,11 @@ def forest_nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, dim
     Queries are rows of ``df``. A row found in several trees counts once. Equal distances: by id.
     """
     wanted = queries.select(F.col(key).alias("qid"), F.col(vector).alias("qv")).filter(F.col(vector).isNotNull())
-    rows, met = df.select(F.col(key).alias("id"), F.col(vector).alias("v")), []
-    for t in range(trees):
-        leaves = random_tree(df, key, vector, dims, leaf, rule, seed=5 + t).withColumnRenamed(key, "id")
-        home = wanted.join(leaves.withColumnRenamed("id", "qid"), "qid")
-        met.append(leaves.join(sent(home.select("qid", "leaf")), "leaf").select("qid", "id"))
-    pairs = reduce(DataFrame.unionByName, met).distinct().join(rows, "id").join(sent(wanted), "qid")
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    leaves = _forest(df, key, vector, dims, trees, leaf, rule, 3.0, 5).withColumnRenamed(key, "id")
+    home = wanted.join(leaves.withColumnRenamed("id", "qid"), "qid").select("qid", "leaf")
+    met = leaves.join(sent(home), "leaf").select("qid", "id").distinct()
+    pairs = met.join(rows, "id").join(sent(wanted), "qid")
     return ranked(pairs.select("qid", "id", apart("qv", "v", dims).alias("d2")), k)
 
 
