@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.operators.knn import kth, ranked, sent, spread
-from nearwin.operators.ranges import positioned, ranges_of
-from nearwin.plans.ordering import bucket_of, quantile_bounds
+from nearwin.operators.ranges import ranges_of
+from nearwin.plans.ordering import bucket_of, running_total
 from nearwin.plans.shared import written
 
 #: Shifted orders, and rows looked at on either side of a query's place in each, times k.
 ORDERS, BESIDE = 3, 2
+#: Rows that a task puts in order; places of a block that round 2 meets, until there are MOST_BLOCKS; from there blocks grow.
+PART, BLOCK, MOST_BLOCKS = 1 << 18, 128, 1 << 17
 #: The box of a distance is taken to be wider by this share, against rounding.
 SLACK = 1e-9
 
 
 def interleaved(values: list[Column], bits: int) -> Column:
-    """The bits of whole numbers under 2^bits, dealt in turn, the first number's at the bottom: a fold over the bits' places."""
-    bit = lambda v, i: F.call_function("shiftright", v, i).bitwiseAND(F.lit(1).cast("long"))
-    dealt = lambda p, i: reduce(lambda a, b: a.bitwiseOR(b), (F.call_function("shiftleft", bit(p[f"v{d}"], i), i * len(values) + d) for d in range(len(values))))
-    all_bits = lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(dealt(p, i)))
-    return F.get(F.transform(F.array(F.struct(*(v.alias(f"v{d}") for d, v in enumerate(values)))), all_bits), F.lit(0))
+    """The bits of whole numbers under 2^bits, dealt in turn, the first number's at the bottom: at most 62 terms, so generated code takes them in."""
+    bit = lambda v, i: F.shiftright(v.cast("long"), i).bitwiseAND(F.lit(1).cast("long"))
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(bit(v, i), i * len(values) + d) for i in range(bits) for d, v in enumerate(values)))
 
 
 class Orders:
@@ -42,13 +43,42 @@ class Orders:
         at = (value - F.lit(float(r.low))) / F.lit(float(r.width)) if r.width else F.lit(0.0)
         return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at)) * self.steps).cast("long")
 
-    def code(self, values: dict[str, Column], shift: int) -> Column:
-        return interleaved([self.step(d, v) + F.lit(shift).cast("long") for d, v in values.items()], self.bits)
+    def code(self, steps: list[Column], shift: int) -> Column:
+        return interleaved([v + F.lit(shift).cast("long") for v in steps], self.bits)
 
-    def box(self, far: Column, shift: int) -> tuple[Column, Column]:
-        """Codes at or below and at or above those of all points within ``far`` of the query in every dimension."""
-        wide = far * (1 + SLACK)
-        return tuple(self.code({d: F.col(f"q_{d}") + sign * wide for d in self.dims}, shift) for sign in (-1, 1))
+    def stepped(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """``df`` with s_<dim>, the steps of its values: a column each, as every bit of a code looks at them."""
+        return df.withColumns({f"s_{d}": self.step(d, F.col(prefix + d)) for d in self.dims})
+
+    def boxed(self, asked: DataFrame) -> DataFrame:
+        """``asked`` with l_<dim> and h_<dim>, the steps at or below and at or above those of all points within ``far`` in every dimension."""
+        wide = F.col("far") * (1 + SLACK)
+        return asked.withColumns({f"{name}_{d}": self.step(d, F.col(f"q_{d}") + sign * wide) for name, sign in (("l", -1), ("h", 1)) for d in self.dims})
+
+    def spans(self, boxes: DataFrame, shift: int) -> DataFrame:
+        """Boxes as stretches ``from`` to ``to`` of codes that hold them: one for each cell that a box meets, at most two a dimension.
+
+        Cells are those of the first power of two over the box's longest side, so however many edges of larger cells a box
+        lies across, its stretches hold no more than the area around it. One without a bound gets all codes.
+        """
+        low, high = ([F.col(f"{name}_{d}") + F.lit(shift).cast("long") for d in self.dims] for name in "lh")
+        side = F.greatest(*(b - a for a, b in zip(low, high, strict=True))) if len(low) > 1 else high[0] - low[0]
+        level = F.when(side > 0, F.length(F.bin(side))).otherwise(0)
+        boxes = boxes.withColumn("level", level).withColumns({"low": interleaved(low, self.bits), "high": interleaved(high, self.bits)})
+        boxes = boxes.withColumns({f"{name}_{d}": F.call_function("shiftright", c, F.col("level")) for name, of in (("l", low), ("h", high)) for d, c in zip(self.dims, of, strict=True)})
+        corners = [interleaved([F.col(f"{name}_{d}") for name, d in zip(names, self.dims, strict=True)], self.bits) for names in product("lh", repeat=len(self.dims))]
+        boxes = boxes.withColumn("cell", F.explode(F.array_distinct(F.array(*corners))))
+        up = lambda c: F.call_function("shiftleft", c, F.col("level") * len(self.dims))
+        ends = {"from": F.greatest(up(F.col("cell")), "low"), "to": F.least(up(F.col("cell") + 1) - 1, "high")}
+        free = {"from": F.lit(0).cast("long"), "to": F.lit((1 << 62) - 1)}
+        return boxes.withColumns({c: F.when(F.col("bound").isNull(), free[c]).otherwise(e) for c, e in ends.items()})
+
+
+def placed(points: DataFrame, code: str) -> DataFrame:
+    """``points`` with ``position``, their place in the order of ``code`` from 0: ranges of codes to tasks, then the totals before each."""
+    n = points.sparkSession.sparkContext.defaultParallelism
+    parts = written(points.repartitionByRange(max(n, -(-points.count() // PART)), code).withColumn("part", F.spark_partition_id()))
+    return written(running_total(parts, [], "part", [F.col(code)], {}, "position").drop("part"))
 
 
 def beside(rows: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
@@ -64,47 +94,43 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, dims: tuple[str, ...],
 
     First the rows beside a query in every order give candidates, and the k-th distance a cube. If in one of the orders the
     codes of the cube's corners lie strictly between those of the outermost candidates, no nearer row was missed (round
-    1). The others meet, in the order where that holds the fewest, all rows between the corners' codes (round 2).
+    1). The others meet, in the first order, all rows of the cells, about as large as the cube, that it lies in (round 2).
 
     Queries are rows of ``df``; rows and queries with a missing value or without a key have no place and are left out. Rows
     that differ by less than a step share a code and stand together in any order.
     """
     points = df.dropna(subset=[key, *dims]).select(F.col(key).alias("id"), *(F.col(d).cast("double").alias(d) for d in dims))
-    points = written(spread(points))
-    orders, n, reach = Orders(points, dims, shifts), points.count(), max(1, near * k)
+    points = spread(points)
+    orders, reach = Orders(points, dims, shifts), max(1, near * k)
+    codes = {f"c{s}": orders.code([F.col(f"s_{d}") for d in dims], shift) for s, shift in enumerate(orders.shifts)}
+    points = written(orders.stepped(points).withColumns(codes).select("id", *dims, *codes))
+    n = points.count()
     d2 = reduce(lambda a, b: a + b, ((F.col(f"q_{d}") - F.col(d)) * (F.col(f"q_{d}") - F.col(d)) for d in dims))
     asked = written(queries.dropna(subset=[key, *dims]).select(F.col(key).alias("qid"), *(F.col(d).cast("double").alias(f"q_{d}") for d in dims)).distinct())
-    pairs, spans = [], []
-    for s, shift in enumerate(orders.shifts):
-        placed = written(positioned(points.withColumn("code", orders.code({d: F.col(d) for d in dims}, shift)), "code").drop("part"))
-        home = placed.groupBy("id").agg(F.min("position").alias("q_at"))
-        met = written(beside(placed, asked.join(home, asked.qid == home.id).drop("id"), reach).select("qid", "id", d2.alias("d2"), "code", "position", "q_at"))
+    pairs, spans, first = [], [], None
+    for s in range(len(orders.shifts)):
+        order = placed(points.select("id", *dims, F.col(f"c{s}").alias("code")), "code")
+        first = first or order
+        home = order.join(sent(asked.select("qid").distinct()), F.col("id") == F.col("qid"), "left_semi").groupBy("id").agg(F.min("position").alias("q_at"))
+        met = written(beside(order, asked.join(home, asked.qid == home.id).drop("id"), reach).select("qid", "id", d2.alias("d2"), "code", "position", "q_at"))
         pairs.append(met.select("qid", "id", "d2"))
         before, after = F.min("position") > 0, F.max("position") < n - 1
         spans.append(met.groupBy("qid").agg(F.lit(s).alias("s"), F.when(before, F.min("code")).alias("first"), F.when(after, F.max("code")).alias("last")))
     found = written(reduce(DataFrame.unionByName, pairs).distinct())
-    bounded = written(asked.join(kth(found, k), "qid", "left").withColumn("far", F.sqrt("bound")))
-    corners = F.array(*(F.struct(F.lit(s).alias("s"), low.alias("low"), high.alias("high")) for s, (low, high) in enumerate(orders.box(F.col("far"), x) for x in orders.shifts)))
-    boxes = written(bounded.select("*", F.inline(corners)))
+    bounded = written(orders.boxed(asked.join(kth(found, k), "qid", "left").withColumn("far", F.sqrt("bound"))))
+    corner = lambda name, shift: orders.code([F.col(f"{name}_{d}") for d in dims], shift)
+    boxes = reduce(DataFrame.unionByName, (bounded.select("qid", F.lit(s).alias("s"), corner("l", x).alias("low"), corner("h", x).alias("high")) for s, x in enumerate(orders.shifts)))
     sure = (F.col("first").isNull() | (F.col("low") > F.col("first"))) & (F.col("last").isNull() | (F.col("high") < F.col("last")))
     held = boxes.join(reduce(DataFrame.unionByName, spans), ["qid", "s"])
     proved = held.groupBy("qid").agg(F.bool_or(F.coalesce(sure, F.col("first").isNull() & F.col("last").isNull())).alias("proved"))
     rounds = written(proved.select("qid", F.when(F.col("proved"), 1).otherwise(2).alias("round")))
 
-    open_boxes = written(boxes.join(rounds.filter("round = 2"), "qid").drop("round"))
-    wide, codes = [], []
-    for s, shift in enumerate(orders.shifts):
-        code = orders.code({d: F.col(d) for d in dims}, shift)
-        bounds = quantile_bounds(points, code)
-        codes.append(bucket_of(code, bounds))
-        some = open_boxes.filter(F.col("s") == s)
-        low, high = (F.when(F.col("bound").isNull(), end).otherwise(bucket_of(F.col(c), bounds)) for c, end in (("low", 0), ("high", len(bounds))))
-        wide.append(some.withColumns({"from": low, "to": high}))
-    least = reduce(DataFrame.unionByName, wide).groupBy("qid").agg(F.min_by(F.struct("s", "bound", *(f"q_{d}" for d in dims), "from", "to"), F.struct(F.col("to") - F.col("from"), "s")).alias("b")).select("qid", "b.*")
-    least = written(least.select("*", F.explode(F.sequence("from", "to")).alias("bucket")))
-    again = []
-    for s, bucket in enumerate(codes):
-        met = points.withColumn("bucket", bucket).join(sent(least.filter(F.col("s") == s)), "bucket")
-        again.append(met.filter(F.col("bound").isNull() | (d2 <= F.col("bound"))).select("qid", "id", d2.alias("d2")))
-    every = found.join(rounds.filter("round = 1").select("qid"), "qid", "left_semi").unionByName(reduce(DataFrame.unionByName, again))
+    block = F.floor(F.col("position") / max(BLOCK, -(-n // MOST_BLOCKS)))
+    starts = [r["code"] for r in first.groupBy(block.alias("block")).agg(F.min("code").alias("code")).sort("block").collect()]  # a number a block
+    stretches = orders.spans(bounded.join(rounds.filter("round = 2").select("qid"), "qid", "left_semi"), orders.shifts[0])
+    of = lambda c: F.greatest(F.lit(0), bucket_of(c, starts) - 1)
+    stretches = stretches.select("qid", "bound", *(f"q_{d}" for d in dims), of(F.col("from") - 1).alias("a"), of(F.col("to")).alias("b"))
+    again = written(stretches.select("*", F.explode(F.sequence("a", "b")).alias("block")).drop("a", "b").distinct())
+    met = first.withColumn("block", block).join(sent(again), "block").filter(F.col("bound").isNull() | (d2 <= F.col("bound"))).select("qid", "id", d2.alias("d2"))
+    every = found.join(rounds.filter("round = 1").select("qid"), "qid", "left_semi").unionByName(met)
     return ranked(every, k), rounds

@@ -423,3 +423,16 @@ def test_bins_grow_with_the_rows(spark):
     df = lambda n: spark.range(n).select("id", F.array(F.col("id").cast("double"), F.sqrt("id")).alias("v"))
     cuts = [len(probing.Bins(df(n), 2, 8, 2, 1).cuts[0]) for n in (10, 800, 3200)]
     assert cuts == [1, 9, 19]
+
+
+def test_z_order_boxes_across_edges_stay_small(spark):
+    """A small box over the middle of all codes is held by a few short stretches, not by all codes between its corners."""
+    df = spark.createDataFrame([(i, float(i % 64), float(i // 64)) for i in range(4096)], "id long, x double, y double")
+    orders = zorder.Orders(df, ("x", "y"), 1)
+    asked = spark.createDataFrame([(0, 31.5, 31.5, 4.0, 2.0), (1, 3.3, 60.1, 1.0, 1.0)], "qid long, q_x double, q_y double, bound double, far double")
+    got = orders.spans(orders.boxed(asked), 0).collect()
+    rows = orders.stepped(df).select("id", "x", "y", orders.code([F.col("s_x"), F.col("s_y")], 0).alias("code")).collect()
+    for q, x, y, _, far in asked.collect():
+        inside = {r.id for r in rows if any(g.qid == q and g["from"] <= r.code <= g["to"] for g in got)}
+        box = {r.id for r in rows if abs(r.x - x) <= far and abs(r.y - y) <= far}
+        assert box <= inside and len(inside) <= 16 * len(box)
