@@ -108,3 +108,13 @@ def test_small_tables(spark, kind):
     same = frame(spark, [(i, [1.0, 1.0, 1.0]) for i in range(200)])
     got = balls.nearest(built(same, kind, balls.EUCLIDEAN, leaf=8), same.filter(F.col("id") == 20), "id", "v", 3).collect()
     assert sorted((r.id, r.d2, r.rank) for r in got) == [(0, 0.0, 1), (1, 0.0, 2), (2, 0.0, 3)]
+
+
+def test_blocks_hold_every_leaf_once(spark):
+    """A search goes down to blocks alone: each leaf is in one, none holds more rows than it may, and together they hold all."""
+    tree = built(frame(spark, [(i, [float(i % 20), float(i // 20), 0.0]) for i in range(400)]), "ball", balls.EUCLIDEAN, leaf=8)
+    top, inside = balls.topped(tree, 60)
+    blocks = {r.node: r.n for s in top.steps for r in s.filter("leaf").collect()}
+    leaves = inside.collect()
+    assert len({r.node for r in leaves}) == len(leaves) > len(blocks) > 1 and {r.block for r in leaves} == set(blocks)
+    assert max(blocks.values()) <= 60 and sum(blocks.values()) == sum(r.n for r in leaves) == 400
