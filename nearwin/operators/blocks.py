@@ -1,13 +1,14 @@
 """Blocks of space: cells of a quantile grid, their boxes, and which boxes a query's bound reaches.
 
 A search that knows an upper bound of its k-th distance needs only the blocks whose boxes are not farther. Boxes are
-met in two steps, at most ``COARSE`` + 2 of them a dimension first and then by an equality join those inside, so no step pairs
-all queries with all blocks.
+met in two steps by equality joins, first the coarse cells between the bound's corners and then those inside, so no step
+pairs all queries with all blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,6 +34,28 @@ class Grid:
     cuts: dict[str, list[float]]
     n: int
 
+    @property
+    def step(self) -> int:
+        """Places that a coarse cell takes of a dimension."""
+        return max(1, -(-max(map(len, self.cuts.values()), default=0) // COARSE))
+
+    def reached(self, df: DataFrame, half: dict[str, float], scale: dict[str, float]) -> DataFrame:
+        """A row for each query of ``df`` and each ``coarse`` cell that its bound can reach; all cells, if it has none."""
+        out = df
+        for i, (c, cuts) in enumerate(self.cuts.items()):
+            q, r = F.col(f"q_{c}").cast("double"), F.sqrt("bound") * (1 + SLACK)
+            err = F.abs(q) * 1e-12
+            wide = r / scale[c] if scale[c] > 0 else F.lit(math.inf)
+            low, high = F.nanvl(q - wide - err, F.lit(-math.inf)), F.nanvl(q + wide + err, F.lit(math.inf))
+            any_place = F.col("bound").isNull() | F.isnan("bound") | q.isNull() | F.isnan(q)
+            place = lambda at: F.floor((bucket_of(at, cuts, "double") + 1) / self.step).cast("long")  # noqa: B023, E731
+            first, last = F.when(any_place, 0).otherwise(place(low)), F.when(any_place, (len(cuts) + 1) // self.step).otherwise(place(high))
+            between = F.sequence(first.cast("long"), last.cast("long"))
+            missing = F.array(F.lit(0).cast("long"))
+            out = out.withColumn(f"__{i}", F.explode(F.when((r >= half[c]) & (first > 0), F.concat(missing, between)).otherwise(between)))
+        places = [f"__{i}" for i in range(len(self.cuts))]
+        return out.withColumn("coarse", joined(F.col(p) for p in places)).drop(*places)
+
     def placed(self, df: DataFrame, prefix: str = "") -> DataFrame:
         """``df`` with its ``cell`` and the ``coarse`` cell around it.
 
@@ -40,10 +63,22 @@ class Grid:
         """
         at = lambda c: F.col(prefix + c).cast("double")
         places = {f"__{i}": F.when(at(c).isNull(), 0).otherwise(bucket_of(at(c), cuts, "double") + 1).cast("long") for i, (c, cuts) in enumerate(self.cuts.items())}
-        step = max(1, -(-max(map(len, self.cuts.values()), default=0) // COARSE))
-        joined = lambda of: reduce(lambda a, b: a * (MOST_CUTS * 2) + b, of, F.lit(0).cast("long"))
         made = df.withColumns(places) if places else df
-        return made.withColumns({"cell": joined([F.col(p) for p in places]), "coarse": joined([F.floor(F.col(p) / step) for p in places])}).drop(*places)
+        return made.withColumns({"cell": joined([F.col(p) for p in places]), "coarse": joined([F.floor(F.col(p) / self.step) for p in places])}).drop(*places)
+
+
+def joined(places: Iterable[Column]) -> Column:
+    """One number of a cell's places."""
+    return reduce(lambda a, b: a * (MOST_CUTS * 2) + b, places, F.lit(0).cast("long"))
+
+
+def scales(of: DataFrame, half: dict[str, float]) -> dict[str, float]:
+    """By how much the boxes' units are longer than the distance's, at most 1: attributes may be wider than ``half`` says."""
+    if not half:
+        return {}
+    seen = of.agg(*(x for i, d in enumerate(half) for x in (F.min(f"{d}_low").cast("double").alias(f"a{i}"), F.max(f"{d}_high").cast("double").alias(f"b{i}")))).first()
+    width = [(seen[f"b{i}"] or 0.0) - (seen[f"a{i}"] or 0.0) for i in range(len(half))]
+    return {d: min(1.0, 2 * h / w) if w > 0 and math.isfinite(w) else 1.0 for (d, h), w in zip(half.items(), width, strict=True)}
 
 
 def laid(df: DataFrame, dims: tuple[str, ...], per_block: int = PER_BLOCK) -> Grid:
@@ -77,21 +112,22 @@ def joined_boxes(of: DataFrame, by: list[str], dims: tuple[str, ...]) -> DataFra
     return of.groupBy(*by).agg(F.sum("n").alias("n"), *more)
 
 
-def away(dims: tuple[str, ...], half: dict[str, float]) -> Column:
+def away(dims: tuple[str, ...], half: dict[str, float], scale: dict[str, float] | None = None) -> Column:
     """The least squared distance that a row of the box can have from the query, over ``dims``.
 
-    A missing value on either side differs by at least ``half`` of the dimension's width.
+    A missing value on either side differs by at least ``half`` of the dimension's width. ``scale``: see ``scales``.
     """
 
     def one(d: str) -> Column:
         q, low, high = F.col(f"q_{d}"), F.col(f"{d}_low"), F.col(f"{d}_high")
         plain = F.nanvl(F.greatest(low - q, q - high, F.lit(0.0)).cast("double"), F.lit(0.0))
+        plain = plain * scale[d] if scale and scale[d] < 1 else plain
         least = F.lit(float(half[d]))
         return F.when(q.isNull() | low.isNull(), least).when(F.col(f"{d}_gap"), F.least(plain, least)).otherwise(plain)
 
     return reduce(lambda s, d: s + one(d) * one(d), dims, F.lit(0.0))
 
 
-def in_reach(dims: tuple[str, ...], half: dict[str, float]) -> Column:
+def in_reach(dims: tuple[str, ...], half: dict[str, float], scale: dict[str, float] | None = None) -> Column:
     """The query has no bound, or the box isn't beyond it."""
-    return F.col("bound").isNull() | (away(dims, half) <= F.col("bound") * (1 + SLACK))
+    return F.col("bound").isNull() | (away(dims, half, scale) <= F.col("bound") * (1 + SLACK))

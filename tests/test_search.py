@@ -436,3 +436,25 @@ def test_z_order_boxes_across_edges_stay_small(spark):
         inside = {r.id for r in rows if any(g.qid == q and g["from"] <= r.code <= g["to"] for g in got)}
         box = {r.id for r in rows if abs(r.x - x) <= far and abs(r.y - y) <= far}
         assert box <= inside and len(inside) <= 16 * len(box)
+
+
+def test_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    """A search whose queries crowd in a few cells makes its pairs in many tasks, and is right, missing values included."""
+    monkeypatch.setattr(knn, "PAIRS", 2000)
+    rng = random.Random(9)
+    gap = lambda v, share: None if rng.random() < share else v
+    rows = [(i, gap(float(rng.choice((0, 0, 0, 1, rng.random()))), 0.05), gap(rng.random(), 0.05), gap(rng.choice("ab"), 0.1)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c string").repartition(2)
+    spec, queries = FeatureSpec(("x", "y"), ("c",)), df.filter("id % 10 = 0")
+    of = ranges.ranges_of(df, spec.numeric)
+    got = {(r["qid"], r["rank"]): (r["id"], r["d2"]) for r in knn.nearest(df, queries, spec, of, 4, per_block=64, leave_one_out=True).collect()}
+    pairs = queries.select("id").join(df.withColumnsRenamed({"id": "to"}).select("to"), F.lit(True)).count()
+    d2 = knn.measured(spec, of)
+    every = knn.sided(queries, spec).join(df.select("id", *spec.attributes), F.col("qid") != F.col("id")).select("qid", "id", d2.alias("d2"))
+    want = {(r["qid"], r["rank"]): (r["id"], r["d2"]) for r in knn.ranked(every, 4).collect()}
+    assert len(want) == 600 and got.keys() == want.keys()
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want) and sum(got[k][0] == want[k][0] for k in want) > 590
+    one = lambda source, key: source.select(F.lit(0).alias("cell"), F.col("id").alias(key))
+    made = knn.met(one(df, "id"), one(queries, "qid"), spark.sql("SELECT 0 AS cell, 1500L AS n"))
+    most = made.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
+    assert made.count() == pairs and most < pairs / 4
