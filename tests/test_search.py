@@ -458,3 +458,21 @@ def test_pairs_are_dealt_to_tasks(spark, monkeypatch):
     made = knn.met(one(df, "id"), one(queries, "qid"), spark.sql("SELECT 0 AS cell, 1500L AS n"))
     most = made.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
     assert made.count() == pairs and most < pairs / 4
+
+
+@pytest.mark.parametrize("rule", ["max", "mid"])
+def test_large_nodes_of_a_forest_take_no_round_a_level(spark, monkeypatch, rule):
+    """Nodes over WHOLE rows are split by a sample in a few rounds: all rows get a leaf of at most its size, or of equal rows."""
+    monkeypatch.setattr(spacetree, "WHOLE", 400)
+    monkeypatch.setattr(spacetree, "FITTED", 600, raising=False)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.random((4000, 2)), np.tile([[0.5, 0.5]], (900, 1)), [[9.0, 9.0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None), (-2, [None, 0.1])], "id long, v array<double>")
+    got = {}
+    count = jobs(spark, f"forest {rule}", lambda: got.update(leaves=spacetree.random_tree(df, "id", "v", 2, 16, rule).collect()))
+    held = {}
+    for r in got["leaves"]:
+        held.setdefault(r["leaf"], []).append(r["id"])
+    assert sorted(i for ids in held.values() for i in ids) == [-2, *range(4901)]
+    assert all(len(ids) <= 16 or all(4000 <= i < 4900 or i == -2 for i in ids) for ids in held.values())
+    assert count < 40, count
