@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearwin.functions import distance as D
-from nearwin.operators import approx, knn, probing, ranges, spacetree, window, zorder
+from nearwin.operators import approx, blocks, knn, probing, ranges, spacetree, window, zorder
 from nearwin.queries import QUERIES
 from nearwin.spec import FeatureSpec
 from nearwin.streaming.window import squared
@@ -476,3 +476,17 @@ def test_large_nodes_of_a_forest_take_no_round_a_level(spark, monkeypatch, rule)
     assert sorted(i for ids in held.values() for i in ids) == [-2, *range(4901)]
     assert all(len(ids) <= 16 or all(4000 <= i < 4900 or i == -2 for i in ids) for ids in held.values())
     assert count < 40, count
+
+
+def test_a_bound_reaches_few_coarse_cells(spark):
+    """Queries meet the coarse cells between their bound's corners, not all of them; without a bound they meet all."""
+    df = spark.range(20_000).selectExpr("id", "CAST(id % 200 AS double) / 199 AS x", "CAST(id DIV 200 AS double) / 99 AS y")
+    dims, half = ("x", "y"), {"x": 0.5, "y": 0.5}
+    grid = blocks.laid(df, dims, 16)
+    boxes = blocks.boxes(grid.placed(df), ["coarse"], dims)
+    asked = df.filter("id % 1000 = 77").selectExpr("id AS qid", "x AS q_x", "y AS q_y", "IF(id = 77, NULL, 1e-4D) AS bound")
+    met = grid.reached(asked, half, {"x": 1.0, "y": 1.0}).join(boxes, "coarse")
+    every = asked.join(boxes, blocks.in_reach(dims, half))
+    near = {(r.qid, r.coarse) for r in met.filter(blocks.in_reach(dims, half)).collect()}
+    assert near == {(r.qid, r.coarse) for r in every.select("qid", "coarse").collect()}
+    assert met.filter("bound IS NOT NULL").count() <= 19 * 16 and met.filter("bound IS NULL").count() == boxes.count()
