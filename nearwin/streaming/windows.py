@@ -12,9 +12,10 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from operator import itemgetter
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,35 +51,52 @@ def ranges(rows: dict[int, Row], numeric: int) -> list[tuple[float, float]]:
     return out
 
 
-def squared(a: tuple, b: tuple, a_names: tuple, b_names: tuple, of: list[tuple[float, float]]) -> float:
-    """The mixed squared distance, numbers first. Both missing: 1. One missing: as far as the range lets it be."""
+def unit(numbers: tuple[float, ...], of: list[tuple[float, float]]) -> tuple[float | None, ...]:
+    """The numbers normalised by the ranges, 0 for a range without width; None: missing."""
+    return tuple([None if z != z else (z - low) / width if width > 0 else 0.0 for z, (low, width) in zip(numbers, of, strict=True)])
+
+
+def squared(a: tuple, b: tuple, a_names: tuple, b_names: tuple) -> float:
+    """The mixed squared distance, normalised numbers first. Both missing: 1. One missing: as far as the range lets it be."""
     total = 0.0
-    for x, y, (low, width) in zip(a, b, of, strict=True):
-        u, v = ((z - low) / width if width > 0 else 0.0 for z in (x, y))
-        gone, none = x != x, y != y
-        if gone and none:
-            diff = 1.0
-        elif gone or none:
-            seen = v if gone else u
-            diff = 1 - seen if seen < 0.5 else seen
+    for u, v in zip(a, b):  # noqa: B905
+        if u is None or v is None:
+            seen = v if u is None else u
+            diff = 1.0 if seen is None else 1 - seen if seen < 0.5 else seen
         else:
             diff = u - v
         total += diff * diff
-    for x, y in zip(a_names, b_names, strict=True):
-        total += 0.0 if x is not None and x == y else 1.0
+    for x, y in zip(a_names, b_names):  # noqa: B905
+        if x is None or x != y:
+            total += 1.0
     return total
 
 
 class Ring:
-    """A window that looks at all its rows."""
+    """A window that looks at all its rows. Their ranges and normalised numbers are kept, and made anew when a limit comes or goes."""
 
     def __init__(self, size: int, numeric: int) -> None:
         self.size, self.numeric, self.rows, self.next, self.looked = size, numeric, {}, 0, 0
+        self.measure()
+
+    def measure(self) -> None:
+        self.of, self.stale = ranges(self.rows, self.numeric), False
+        self.units = {p: unit(r[1], self.of) for p, r in self.rows.items()}
+
+    def limits(self) -> list[tuple[float, float]]:
+        """``ranges`` of the window's rows; ``units`` are by them."""
+        if self.stale:
+            self.stale = False
+            if ranges(self.rows, self.numeric) != self.of:
+                self.measure()
+        return self.of
 
     def add(self, row: Row) -> None:
         if len(self.rows) == self.size:
             self.drop(next(iter(self.rows)))
         self.rows[self.next] = row
+        self.units[self.next] = own = unit(row[1], self.of)
+        self.stale = self.stale or at_limit(own)
         self.put(self.next)
         self.next += 1
 
@@ -86,23 +104,34 @@ class Ring:
 
     def drop(self, place: int) -> None:
         del self.rows[place]
+        self.stale = self.stale or at_limit(self.units[place])
+        del self.units[place]
 
     def nearest(self, numbers: tuple[float, ...], names: tuple, k: int) -> list[tuple[float, int]]:
         """(squared distance, place) of the k nearest rows, equal ones by age, the older first."""
-        of = ranges(self.rows, self.numeric)
+        own = unit(numbers, self.limits())
         self.looked += len(self.rows)
-        return heapq.nsmallest(k, ((squared(numbers, r[1], names, r[2], of), p) for p, r in self.rows.items()))
+        return heapq.nsmallest(k, ((squared(own, self.units[p], names, r[2]), p) for p, r in self.rows.items()))
 
     def shape(self) -> str:
         return ""
 
     def restore(self, rows: list[Row], shape: str) -> None:
         self.rows, self.next = dict(enumerate(rows)), len(rows)
+        self.measure()
+
+
+def at_limit(own: tuple[float | None, ...]) -> bool:
+    """Whether a row with these normalised numbers can widen the ranges by coming or narrow them by going."""
+    for u in own:
+        if u is not None and not 0 < u < 1:
+            return True
+    return False
 
 
 @dataclass(eq=False)
 class Node:
-    """A leaf with places of rows, or a split; and a box around the rows below, which may be wider than they need."""
+    """A leaf with places of rows, or a split; and a box around the rows below with their names, which may be wider than they need."""
 
     parent: Node | None = None
     dim: int | None = None
@@ -112,6 +141,7 @@ class Node:
     low: list[float] = field(default_factory=list)
     high: list[float] = field(default_factory=list)
     gap: list[bool] = field(default_factory=list)
+    named: set[tuple[int, str]] = field(default_factory=set)
 
 
 class Tree(Ring):
@@ -130,29 +160,34 @@ class Tree(Ring):
         n = self.numeric
         return Node(parent, low=[math.inf] * n, high=[-math.inf] * n, gap=[False] * n)
 
-    def widened(self, node: Node, x: tuple[float, ...]) -> None:
-        for d, v in enumerate(x):
+    def widened(self, node: Node, row: Row) -> None:
+        low, high = node.low, node.high
+        for d, v in enumerate(row[1]):
             if v != v:
                 node.gap[d] = True
-            else:
-                node.low[d], node.high[d] = min(node.low[d], v), max(node.high[d], v)
+                continue
+            if v < low[d]:
+                low[d] = v
+            if v > high[d]:
+                high[d] = v
+        node.named.update(enumerate(row[2]))
 
     def put(self, place: int) -> None:
         self.into(self.root, place)
 
     def into(self, node: Node, place: int) -> None:
-        x = self.rows[place][1]
-        self.widened(node, x)
+        row = self.rows[place]
+        self.widened(node, row)
         while node.dim is not None:
-            node = node.sides[x[node.dim] > node.split]
-            self.widened(node, x)
+            node = node.sides[row[1][node.dim] > node.split]
+            self.widened(node, row)
         node.places.append(place)
         self.leaf_of[place] = node
         if len(node.places) > LEAF:
             self.parted(node)
 
     def parted(self, node: Node) -> None:
-        of = ranges(self.rows, self.numeric)
+        of = self.limits()
         own = ranges({p: self.rows[p] for p in node.places}, self.numeric)
         share = [w / whole if whole > 0 else 0.0 for (_, w), (_, whole) in zip(own, of, strict=True)]
         if not share or max(share) <= 0:
@@ -166,7 +201,7 @@ class Tree(Ring):
         for p in places:
             side = node.sides[self.rows[p][1][d] > split]
             side.places.append(p)
-            self.widened(side, self.rows[p][1])
+            self.widened(side, self.rows[p])
             self.leaf_of[p] = side
         for side in node.sides:
             if len(side.places) > LEAF:
@@ -175,7 +210,7 @@ class Tree(Ring):
     def drop(self, place: int) -> None:
         leaf = self.leaf_of.pop(place)
         leaf.places.remove(place)
-        del self.rows[place]
+        super().drop(place)
         if len(leaf.places) < FEW and leaf.parent is not None:
             up = leaf.parent
             link = up.sides[up.sides[0] is leaf]
@@ -187,37 +222,51 @@ class Tree(Ring):
             for p in leaf.places:
                 self.into(link, p)
 
-    def away(self, node: Node, x: tuple[float, ...], of: list[tuple[float, float]]) -> float:
-        """At most the squared distance of any row below: by its box, a missing value on either side by half the range."""
-        total = 0.0
-        for d, (v, (_, width)) in enumerate(zip(x, of, strict=True)):
-            if v != v:
-                total += 0.25
-                continue
-            gap = max(node.low[d] - v, v - node.high[d], 0.0) if node.low[d] <= node.high[d] else math.inf
-            part = gap / width if width > 0 else 0.0
-            total += min(part, 0.5) ** 2 if node.gap[d] else part * part if part < math.inf else 0.0
+    def away(self, node: Node, seen: list[tuple[int, float, float]], named: list[tuple[int, str]], least: float) -> float:
+        """At most the squared distance of any row below: by its box, a missing value there by half the range, and its names.
+
+        ``seen``: the query's numbers with their dimensions and widths; ``least``: what its missing values add anyway.
+        """
+        total = least
+        for d, v, width in seen:
+            gap = node.low[d] - v
+            if gap < 0:
+                gap = v - node.high[d]
+            if gap > 0:
+                gap = min(gap / width, 0.5) if node.gap[d] else gap / width
+                total += gap * gap
+        for name in named:
+            if name not in node.named:
+                total += 1.0
         return total * (1 - SLACK)
 
     def nearest(self, numbers: tuple[float, ...], names: tuple, k: int) -> list[tuple[float, int]]:
-        of, tie = ranges(self.rows, self.numeric), count()
-        todo, best = [(0.0, next(tie), self.root)], []  # best: the k nearest so far, the farthest on top
+        of, rows, units = self.limits(), self.rows, self.units
+        own = unit(numbers, of)
+        seen = [(d, v, width) for d, (v, (_, width)) in enumerate(zip(numbers, of, strict=True)) if v == v and width > 0]
+        named = [(j, x) for j, x in enumerate(names) if x is not None]
+        least = 0.25 * own.count(None) + len(names) - len(named)
+        todo, best, most = [(0.0, self.root)], [], math.inf  # best: the k nearest so far, the farthest on top, at ``most``
         while todo:
-            far, _, node = heapq.heappop(todo)
-            if len(best) == k and far > -best[0][0]:
-                break
-            if node.dim is not None:
-                for side in node.sides:
-                    heapq.heappush(todo, (self.away(side, numbers, of), next(tie), side))
+            far, node = todo.pop()
+            while node.dim is not None and not far > most:
+                node, other = node.sides
+                far, beyond = self.away(node, seen, named, least), self.away(other, seen, named, least)
+                if beyond < far:
+                    node, other, far, beyond = other, node, beyond, far
+                if not beyond > most:
+                    todo.append((beyond, other))
+            if far > most:
                 continue
             self.looked += len(node.places)
             for p in node.places:
-                row = self.rows[p]
-                found = (-squared(numbers, row[1], names, row[2], of), -p)
+                d = squared(own, units[p], names, rows[p][2])
                 if len(best) < k:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
+                    heapq.heappush(best, (-d, -p))
+                elif (-d, -p) > best[0]:
+                    heapq.heapreplace(best, (-d, -p))
+            if len(best) == k:
+                most = -best[0][0]
         return sorted((-d, -p) for d, p in best)
 
     def shape(self) -> str:
@@ -236,13 +285,14 @@ class Tree(Ring):
                 node.places = told
                 for p in told:
                     self.leaf_of[p] = node
-                    self.widened(node, self.rows[p][1])
+                    self.widened(node, self.rows[p])
                 return node
             node.dim, node.split = told["d"], told["s"]
             node.sides = [made(told["l"], node), made(told["r"], node)]
             for side in node.sides:
                 node.low, node.high = list(map(min, node.low, side.low)), list(map(max, node.high, side.high))
                 node.gap = [a or b for a, b in zip(node.gap, side.gap, strict=True)]
+                node.named |= side.named
             return node
 
         self.root = made(json.loads(shape), None)
@@ -271,14 +321,16 @@ class Live(StatefulProcessor):
             at, x, c, y, shape = self.held.get()
             names = len(c) // max(1, len(at))
             window.restore([(a, tuple(math.nan if v is None else v for v in x[i * self.numeric : (i + 1) * self.numeric]), tuple(c[i * names : (i + 1) * names]), y[i]) for i, a in enumerate(at)], shape)
-        out = []
-        batch = pd.concat(list(rows)).sort_values("at", kind="stable")
-        for at, x, c, y in zip(batch["at"].tolist(), batch["numbers"].tolist(), batch["names"].tolist(), batch["label"].tolist(), strict=True):
-            numbers, names = tuple(math.nan if v is None else float(v) for v in x), tuple(c)
+        batch, asked, found = [], [], []
+        for part in rows:
+            numbers = np.array(part["numbers"].tolist(), float).reshape(len(part), self.numeric).tolist()
+            batch += zip(part["at"].tolist(), map(tuple, numbers), map(tuple, part["names"].tolist()), part["label"].tolist(), strict=True)
+        for row in sorted(batch, key=itemgetter(0)):
             if len(window.rows) == self.size:
-                near = window.nearest(numbers, names, self.k)
-                out += [(key[0], at, y, window.rows[p][0], d, r, window.rows[p][3]) for r, (d, p) in enumerate(near, 1)]
-            window.add((at, numbers, names, y))
+                near = window.nearest(row[1], row[2], self.k)
+                asked += [(row[0], row[3])] * len(near)
+                found += [(window.rows[p][0], d, r, window.rows[p][3]) for r, (d, p) in enumerate(near, 1)]
+            window.add(row)
         every = list(window.rows.values())
         none = lambda v: None if v != v else v
         self.held.update(([r[0] for r in every], [none(v) for r in every for v in r[1]], [v for r in every for v in r[2]], [r[3] for r in every], window.shape()))
@@ -286,7 +338,10 @@ class Live(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+        at, truth = zip(*asked, strict=True) if asked else ((), ())
+        near, d2, rank, label = zip(*found, strict=True) if found else ((), (), (), ())
+        text = lambda values: np.array(values, object)
+        yield pd.DataFrame({"key": text([key[0]] * len(at)), "at": np.array(at, np.int64), "truth": text(truth), "id": np.array(near, np.int64), "d2": np.array(d2, float), "rank": np.array(rank, np.int32), "label": text(label)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.held.clear()

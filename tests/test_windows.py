@@ -86,6 +86,32 @@ def test_the_tree_looks_at_fewer_rows():
     assert ring.looked == 188 * 512 and tree.looked < 0.2 * ring.looked
 
 
+def test_the_tree_passes_over_boxes_without_the_name():
+    """A name that differs counts 1, so boxes without the query's name are mostly beyond the k-th distance."""
+    rng = random.Random(5)
+    ring, tree = windows.Ring(32, 2), windows.Tree(32, 2)
+    for i in range(2000):
+        row = (i, (rng.random(), rng.random()), (str(rng.randrange(7)),), "x")
+        if i >= 32:
+            assert tree.nearest(row[1], row[2], 4) == ring.nearest(row[1], row[2], 4)
+        ring.add(row)
+        tree.add(row)
+    assert tree.looked < 0.6 * ring.looked
+
+
+@pytest.mark.parametrize("kind", ["tree", "ring"])
+def test_ranges_are_made_anew_only_when_a_limit_moves(monkeypatch, kind):
+    made, whole = [], windows.ranges
+    monkeypatch.setattr(windows, "ranges", lambda rows, numeric: made.append(len(rows) > windows.LEAF + 1) or whole(rows, numeric))
+    window = windows.KINDS[kind](64, 2)
+    rng = random.Random(8)
+    for i in range(1000):
+        x = (rng.random(), rng.random())
+        window.nearest(x, ("a",), 4)
+        window.add((i, x, ("a",), "x"))
+    assert sum(made) < 500 and window.limits() == whole(window.rows, 2)
+
+
 class Value:
     def __init__(self):
         self.value = None
