@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwin.operators.balls import SQUARES, vectors
-from nearwin.operators.knn import kth, ranked, sent
+from nearwin.operators.knn import kth, met, ranked
 from nearwin.plans.ordering import bucket_of
 from nearwin.plans.shared import written
 
@@ -44,6 +44,11 @@ class Bins:
         df = df.withColumns({f"p{j}": self.projected(vector, j) for j in range(len(self.cuts))})
         return df.withColumns({f"b{j}": bucket_of(F.col(f"p{j}"), cuts, "double") for j, cuts in enumerate(self.cuts)})
 
+    def cell(self) -> Column:
+        """One number of a row's bins."""
+        base = max(map(len, self.cuts)) + 1
+        return reduce(lambda a, b: a * base + b, (F.col(f"b{j}") for j in range(len(self.cuts))), F.lit(0).cast("long"))
+
     def ring(self, asked: DataFrame, g: int) -> DataFrame:
         """A row for each bin that is ``g`` bins from the query's in one direction at least, and no more in any."""
         steps = [o for o in product(range(-g, g + 1), repeat=len(self.cuts)) if max(map(abs, o)) == g]
@@ -69,24 +74,23 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, dims: int,
     A query meets its own bin, then the bins around it ring by ring, by equality joins. It stops once it has k rows within
     ``c`` times R, the least distance of anything not met yet: with c = 1 its k nearest are exact, with more it stops sooner. After
     ``rings`` rings it stops anyway. Rows without an id or with a missing value take no part. Equal distances: by id.
+    Pairs are dealt to tasks by ``met`` and are never written: beyond its k-th distance so far a query keeps none of them.
     """
     rows = vectors(df, key, vector)
     bins = Bins(rows, dims, per_bin, hashes, seed)
-    names = [f"b{j}" for j in range(len(bins.cuts))]
-    rows = written(bins.placed(rows, "v").select("id", "v", *names))
+    rows = written(bins.placed(rows, "v").select("id", "v", bins.cell().alias("cell")))
+    sizes = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
     asked = written(bins.placed(vectors(queries, key, vector).select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qv"))
-    todo, best, done = asked, None, []
+    todo, best, done = asked.withColumn("bound", F.lit(None).cast("double")), None, []
     for g in range(rings):
-        near = rows.join(sent(bins.ring(todo, g).select("qid", "qv", *names)), names)
-        met = near.select("qid", "id", SQUARES.column(F.col("qv"), F.col("v"), dims).alias("d2"), F.lit(1).alias("looked"))
-        if best is not None:
-            met = met.unionByName(best.select("qid", "id", "d2", F.lit(0).alias("looked")))
-        met = written(met)
-        done.append(met.groupBy("qid").agg(F.sum("looked").alias("points")).withColumn("ring", F.lit(g)))
-        best = written(ranked(met.drop("looked"), k))
-        far = todo.join(kth(best, k), "qid", "left").withColumn("out", bins.outside(g))
-        todo = written(far.filter((F.col("out") < float("inf")) & (F.col("bound").isNull() | (F.sqrt("bound") > F.lit(float(c)) * F.col("out") * (1 - 1e-9)))).select(asked.columns))
+        ring = bins.ring(todo, g).select("qid", "qv", "bound", bins.cell().alias("cell"))
+        done.append(ring.join(sizes, "cell").groupBy("qid").agg(F.sum("n").alias("points")).withColumn("ring", F.lit(g)))
+        pairs = met(rows, ring, sizes).select("qid", "id", SQUARES.column(F.col("qv"), F.col("v"), dims).alias("d2"), "bound")
+        pairs = pairs.filter("bound IS NULL OR d2 <= bound").drop("bound")
+        best = written(ranked(pairs if best is None else pairs.unionByName(best.drop("rank")), k))
+        far = todo.drop("bound").join(kth(best, k), "qid", "left").withColumn("out", bins.outside(g))
+        todo = written(far.filter((F.col("out") < float("inf")) & (F.col("bound").isNull() | (F.sqrt("bound") > F.lit(float(c)) * F.col("out") * (1 - 1e-9)))).select(todo.columns))
         if todo.isEmpty():
             break
     steps = reduce(DataFrame.unionByName, done)
-    return best, steps.filter("points > 0 OR ring = 0").groupBy("qid").agg((F.max("ring") + 1).alias("rings"), F.sum("points").alias("points"))
+    return best, steps.groupBy("qid").agg((F.max("ring") + 1).alias("rings"), F.sum("points").alias("points"))

@@ -419,6 +419,33 @@ def test_probing_stops_early(spark):
     assert right[1.0] == 1 and right[3.0] >= 0.9 and share[3.0] < share[1.0] < 0.3, (right, share)
 
 
+@pytest.mark.parametrize("pairs", [knn.PAIRS, 400])
+def test_probing_writes_no_pairs(spark, monkeypatch, pairs):
+    """Of the pairs that a query meets at most k are written, and each ring's are dealt to tasks of about ``PAIRS``."""
+    sizes, tasks, write, meet = [], [], probing.written, knn.met
+    monkeypatch.setattr(knn, "PAIRS", pairs)
+    monkeypatch.setattr(knn, "MOST_SENT", knn.MOST_SENT if pairs == knn.PAIRS else 10)
+
+    def told(df):
+        df = write(df)
+        sizes.append(df.count() if "d2" in df.columns else 0)
+        return df
+
+    def dealt(*sides):
+        found = meet(*sides)
+        tasks.append((found.count(), found.rdd.getNumPartitions()))
+        return found
+
+    monkeypatch.setattr(probing, "written", told)
+    monkeypatch.setattr(probing, "met", dealt, raising=False)
+    x = np.random.default_rng(7).random((3000, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got, met = probing.nearest(df, df.filter("id % 30 = 0"), "id", "v", 2, 5, per_bin=50)
+    assert found(got) == truth(x, range(0, 3000, 30), 5)
+    assert max(sizes) <= 100 * 5 and sum(n for n, _ in tasks) == met.agg(F.sum("points")).first()[0]
+    assert all(n >= made // pairs for made, n in tasks)
+
+
 def test_bins_grow_with_the_rows(spark):
     df = lambda n: spark.range(n).select("id", F.array(F.col("id").cast("double"), F.sqrt("id")).alias("v"))
     cuts = [len(probing.Bins(df(n), 2, 8, 2, 1).cuts[0]) for n in (10, 800, 3200)]
